@@ -7,8 +7,10 @@ Spark and in the checking engine; for blocks only the line split differs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clauseloom.functions.boxes import make_box
+from clauseloom.schemas import DEFINITIONS, seed_rows
 
 LINES_SPARK = "SELECT doc_id, pos, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) t AS pos, line"
 LINES_DUCK = (
@@ -135,3 +137,197 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapted(spark, sf_dir, FILES_SQL, "orders")
+
+
+# The fields inside the model answers: chunk 1 repeats them with other
+# confidences and drops every third value.
+ANSWERED_SQL = f"""
+SELECT contract_id, 0 AS chunk_no, pos, field_key, value, source_text, pos AS source_page, confidence FROM ({FIELDS_SQL}) f
+UNION ALL SELECT contract_id, 1, pos, field_key, CASE WHEN (contract_id + pos) % 3 = 0 THEN NULL ELSE value END, source_text,
+  pos + 6, round(1 - confidence, 2) FROM ({FIELDS_SQL}) f"""
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``ANSWERED_SQL``, two chunks per contract."""
+    return fields(spark, sf_dir).selectExpr(
+        "contract_id", "pos", "field_key", "source_text",
+        "inline(array(struct(0 AS chunk_no, value AS value, pos AS source_page, confidence AS confidence), "
+        "struct(1 AS chunk_no, CASE WHEN (contract_id + pos) % 3 = 0 THEN NULL ELSE value END AS value, "
+        "pos + 6 AS source_page, round(1 - confidence, 2) AS confidence)))",
+    )
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model answers built from the fields, in five wrappings by contract."""
+    element = (
+        "to_json(struct(field_key, value AS field_value, source_text, source_page, confidence), "
+        "map('ignoreNullFields', 'false'))"
+    )
+    packed = answered(spark, sf_dir).selectExpr(
+        "contract_id", "chunk_no", "pos", "field_key", f"{element} AS j"
+    ).groupBy("contract_id", "chunk_no").agg(F.expr("array_sort(collect_list(struct(pos, field_key, j))) AS items"))
+    listed = "array_join(transform(items, x -> x.j), ',')"
+    mapped = "array_join(transform(items, x -> concat('\"', x.field_key, '\":', x.j)), ',')"
+    kind = "CASE WHEN chunk_no = 1 THEN 'lease' WHEN contract_id % 4 = 0 THEN 'unknown' ELSE 'service' END"
+    plain = f"concat('{{\"fields\":[', {listed}, '],\"contract_type\":\"', {kind}, '\",\"contract_type_confidence\":0.9}}')"
+    return packed.selectExpr(
+        "contract_id", "chunk_no",
+        f"CASE contract_id % 5 WHEN 0 THEN {plain} WHEN 1 THEN concat('```json\\n', {plain}, '\\n```') "
+        f"WHEN 2 THEN concat('结果如下：', {plain}, ' 以上。') "
+        f"WHEN 3 THEN concat('{{', {mapped}, ',\"contract_type\":\"', {kind}, '\"}}') "
+        f"ELSE left({plain}, length({plain}) - 5) END AS raw",
+        "CAST(NULL AS STRING) AS error",
+    )
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields to trace: three lines a page, in odd documents two lines each.
+
+    Every third document does not know its pages.
+    """
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", r"split(text, '\\n') AS ls")
+    return docs.selectExpr("doc_id", "ls", "posexplode(ls) AS (pos, line)").filter("pos % 20 IN (1, 7, 13)").selectExpr(
+        "doc_id AS contract_id", "concat('f', pos) AS field_key", "'v' AS value",
+        "CASE WHEN doc_id % 2 = 0 THEN line ELSE concat(line, ' ', coalesce(get(ls, pos + 1), '')) END AS source_text",
+        "CASE WHEN doc_id % 3 <> 0 THEN CAST(floor(pos / 20) AS INT) + 1 END AS page_no",
+        "CAST(NULL AS STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>) AS bbox",
+    )
+
+
+# The 23 default definitions plus two type-specific and one inactive row.
+EXTRA_DEFINITIONS = [
+    ("lease-term", "租赁期限", "租赁起止", "string", False, 30, True, "lease"),
+    ("service-scope", "服务范围", "服务内容", "string", False, 31, True, "service"),
+    ("old-field", "旧字段", "停用", "string", False, 32, False, None),
+]
+
+
+def definitions(spark: SparkSession, extra: bool = True) -> DataFrame:
+    rows = seed_rows() + (EXTRA_DEFINITIONS if extra else [])
+    return spark.createDataFrame(rows, DEFINITIONS)
+
+
+def definitions_sql(extra: bool = True) -> str:
+    """The same rows as a VALUES list."""
+    def cell(v):
+        if v is None:
+            return "CAST(NULL AS VARCHAR)"
+        return str(v).lower() if isinstance(v, (bool, int)) else "'" + v + "'"
+
+    rows = seed_rows() + (EXTRA_DEFINITIONS if extra else [])
+    names = "field_key, field_name, description, value_type, required, sort_order, is_active, contract_type"
+    return f"(VALUES {', '.join('(' + ', '.join(cell(v) for v in r) + ')' for r in rows)}) AS d({names})"
+
+
+# Fields in their freshly extracted state, with the review columns.
+_FRESH = ["'extracted' AS review_status", "CAST(NULL AS STRING) AS reviewed_value", "CAST(NULL AS STRING) AS reviewer_id",
+          "CAST(NULL AS TIMESTAMP_NTZ) AS reviewed_at"]
+
+
+def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields(spark, sf_dir).selectExpr("*", *_FRESH)
+
+
+TASKS_SQL = """
+SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS contract_id,
+  CASE l_returnflag WHEN 'A' THEN 'running' WHEN 'N' THEN 'pending' ELSE 'retrying' END AS status,
+  l_linenumber % 5 AS attempts, 3 AS max_attempts, CAST(l_quantity AS INT) % 10 AS priority,
+  l_shipdate AS queued_at, l_shipdate AS lease_expires_at,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate END AS next_run_at, l_shipdate AS created_at
+FROM lineitem"""
+
+TASK_EVENTS_SQL = """
+SELECT event_id, user_id AS task_id, ts AS created_at,
+  CASE event_type WHEN 'click' THEN 'ocr' WHEN 'view' THEN 'extracting' WHEN 'error' THEN 'ocr_failed'
+    WHEN 'purchase' THEN 'completed' ELSE 'extraction_failed' END AS event
+FROM events"""
+
+BATCH_SQL = """
+SELECT o_orderkey AS contract_id, o_custkey AS batch_id,
+  CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'processing' END AS ocr_status,
+  CASE o_orderkey % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'pending' END AS extraction_status
+FROM orders"""
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapted(spark, sf_dir, TASKS_SQL, "lineitem")
+
+
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapted(spark, sf_dir, TASK_EVENTS_SQL, "events")
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapted(spark, sf_dir, BATCH_SQL, "orders")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploaded files, with the leading bytes of several types."""
+    head = """CASE page_id % 8 WHEN 0 THEN X'25504446' WHEN 1 THEN X'89504E47' WHEN 2 THEN X'FFD8FF' WHEN 3 THEN X'474946383961'
+      WHEN 4 THEN X'424D' WHEN 5 THEN X'49492A00' ELSE X'' END"""
+    name = "concat(split_part(url, '?', 1), CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.txt' WHEN 3 THEN '' ELSE '.bmp' END)"
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "page_id % 97 AS batch_id", f"{name} AS file_name",
+        f"CASE WHEN page_id % 31 = 7 THEN X'' ELSE concat({head}, CAST(html AS BINARY)) END AS content",
+    ).selectExpr("*", "CAST(length(content) AS BIGINT) AS file_size")
+
+
+def layout_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks wrapped as layout-OCR answers; every seventh item is a seal, every third document has no outer result."""
+    label = """CASE WHEN (contract_id + sort_order) % 7 = 0 THEN 'seal' WHEN block_type = 'title' THEN 'doc_title'
+      WHEN sort_order % 5 = 0 THEN 'table' ELSE 'paragraph' END AS block_label"""
+    box = "CASE WHEN bbox IS NULL THEN array(1D, 2D) ELSE array(bbox.x1, bbox.y1, bbox.x2, bbox.y2) END AS block_bbox"
+    items = blocks(spark, sf_dir).selectExpr("contract_id", "page_no", "sort_order", label, "text AS block_content", box)
+    pages = items.groupBy("contract_id", "page_no").agg(
+        F.expr("transform(array_sort(collect_list(struct(sort_order, block_label, block_content, block_bbox))), "
+               "x -> struct(x.block_label, x.block_content, x.block_bbox)) AS parsing_res_list")
+    )
+    docs = pages.groupBy("contract_id").agg(
+        F.expr("transform(array_sort(collect_list(struct(page_no, parsing_res_list))), "
+               "p -> struct(struct(1192 AS width, 1636 AS height, p.parsing_res_list) AS prunedResult)) AS layoutParsingResults")
+    )
+    body = "to_json(struct(layoutParsingResults))"
+    return docs.selectExpr(
+        "contract_id", f"CASE contract_id % 3 WHEN 0 THEN {body} ELSE concat('{{\"result\":', {body}, '}}') END AS body"
+    )
+
+
+def text_ocr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as text-OCR answers in five shapes by document; documents divisible by 11 report an error."""
+    rows = blocks(spark, sf_dir).selectExpr(
+        "contract_id", "page_no", "sort_order", "text", "confidence AS score",
+        "CASE WHEN bbox IS NOT NULL THEN array(array(bbox.x1, bbox.y1), array(bbox.x2, bbox.y1), array(bbox.x2, bbox.y2), array(bbox.x1, bbox.y2)) END AS poly",
+        "CASE WHEN bbox IS NOT NULL THEN array(bbox.x1, bbox.y1, bbox.x2, bbox.y2) END AS flat",
+    )
+    pages = rows.groupBy("contract_id", "page_no").agg(
+        F.expr("array_sort(collect_list(struct(sort_order, text, score, poly, flat))) AS l")
+    )
+    keep = "map('ignoreNullFields', 'false')"
+    pages = pages.selectExpr(
+        "contract_id", "page_no",
+        f"to_json(struct(transform(l, x -> x.text) AS rec_texts, transform(l, x -> x.poly) AS rec_polys, transform(l, x -> x.score) AS rec_scores), {keep}) AS lists",
+        f"to_json(transform(l, x -> struct(x.text AS transcription, x.poly AS points, x.score AS score)), {keep}) AS objects",
+        f"to_json(transform(l, x -> struct(x.text AS text, x.flat AS bbox, x.score AS confidence)), {keep}) AS flats",
+        f"concat('[', array_join(transform(l, x -> concat('[', coalesce(to_json(x.poly), 'null'), ',[', to_json(struct(x.text AS t)), ',', x.score, ']]')), ','), ']') AS pairs",
+    )
+    docs = pages.groupBy("contract_id").agg(F.expr("array_sort(collect_list(struct(page_no, lists, objects, flats, pairs))) AS p"))
+    paged = "concat('{\"errorCode\":0,\"result\":{\"ocrResults\":[', array_join(transform(p, x -> concat('{\"prunedResult\":', x.lists, '}')), ','), '],\"dataInfo\":{\"width\":800,\"height\":1100}}}')"
+    pair_rows = r"regexp_replace(p[0].pairs, '\\{\"t\":(\"(?:[^\"\\\\\\\\]|\\\\\\\\.)*\")\\}', '$1')"
+    return docs.selectExpr(
+        "contract_id",
+        f"""CASE WHEN contract_id % 11 = 0 THEN '{{"errorCode":5,"errorMsg":"busy"}}'
+          WHEN contract_id % 5 = 0 THEN {paged}
+          WHEN contract_id % 5 = 1 THEN concat('{{"data":', p[0].objects, '}}')
+          WHEN contract_id % 5 = 2 THEN concat('{{"results":', p[0].lists, '}}')
+          WHEN contract_id % 5 = 3 THEN concat('{{"result":', p[0].flats, '}}')
+          ELSE concat('{{"ocr_results":', {pair_rows}, '}}') END AS body""",
+    )
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of document lines as text spans of varying size."""
+    words = r"posexplode(split(line, ' ')) AS (span_no, text)"
+    return lines(spark, sf_dir).selectExpr("doc_id", "pos", words).selectExpr(
+        "doc_id AS contract_id", "CAST(floor(pos / 20) AS INT) + 1 AS page_no", "CAST(floor(pos / 2) AS INT) AS block_no",
+        "pos % 2 AS line_no", "span_no", "text", "CAST(9 + (pos * 3 + span_no + doc_id) % 6 AS DOUBLE) AS size",
+    )

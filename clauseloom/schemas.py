@@ -70,3 +70,15 @@ def seed_rows() -> list[tuple]:
         (key, name, desc, "string", key in REQUIRED_KEYS, order, True, None)
         for order, (key, name, desc) in enumerate(SEED_DEFINITIONS, start=1)
     ]
+
+
+def seed_patches() -> list[tuple]:
+    """The defaults as they are written over existing rows.
+
+    NULL marks what a default leaves alone: the required flag of other keys
+    than the two names, and the value type of the party fields.
+    """
+    return [
+        (key, name, desc, "string" if order > 16 else None, True if key in REQUIRED_KEYS else None, order, True, None)
+        for order, (key, name, desc) in enumerate(SEED_DEFINITIONS, start=1)
+    ]
