@@ -194,6 +194,25 @@ def classify_contract_type(text: str) -> str:
     return f"CASE {' '.join(arms)} ELSE {answer(*TYPE_DEFAULT)} END"
 
 
+def classify_documents(blocks: DataFrame) -> DataFrame:
+    """The keyword guess per contract straight from its blocks.
+
+    A keyword never spans two blocks, so hits are mergeable flags and no
+    document text is put together.
+    """
+    words = [w for group, _, _ in TYPE_KEYWORDS for w in group]
+    hits = blocks.groupBy(K).agg(
+        *[F.expr(f"coalesce(bool_or(contains(text, '{w}')), false) AS w{i}") for i, w in enumerate(words)]
+    )
+    arms = []
+    for group, kind, conf in TYPE_KEYWORDS:
+        test = " OR ".join(f"w{words.index(w)}" for w in group)
+        arms.append(f"WHEN {test} THEN struct('{kind}' AS contract_type, {conf}D AS confidence)")
+    kind, conf = TYPE_DEFAULT
+    guess = f"CASE {' '.join(arms)} ELSE struct('{kind}' AS contract_type, {conf}D AS confidence) END"
+    return hits.selectExpr(K, f"{guess} AS g").selectExpr(K, "g.contract_type", "g.confidence")
+
+
 def definition_lines(field_sets: DataFrame) -> DataFrame:
     """One prompt block per contract: a line for each requested field in order."""
     line = (

@@ -308,11 +308,10 @@ def text_ocr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"to_json(struct(transform(l, x -> x.text) AS rec_texts, transform(l, x -> x.poly) AS rec_polys, transform(l, x -> x.score) AS rec_scores), {keep}) AS lists",
         f"to_json(transform(l, x -> struct(x.text AS transcription, x.poly AS points, x.score AS score)), {keep}) AS objects",
         f"to_json(transform(l, x -> struct(x.text AS text, x.flat AS bbox, x.score AS confidence)), {keep}) AS flats",
-        f"concat('[', array_join(transform(l, x -> concat('[', coalesce(to_json(x.poly), 'null'), ',[', to_json(struct(x.text AS t)), ',', x.score, ']]')), ','), ']') AS pairs",
+        f"concat('[', array_join(transform(l, x -> concat('[', coalesce(to_json(x.poly), 'null'), ',[', substring(to_json(array(x.text)), 2, length(to_json(array(x.text))) - 2), ',', x.score, ']]')), ','), ']') AS pairs",
     )
     docs = pages.groupBy("contract_id").agg(F.expr("array_sort(collect_list(struct(page_no, lists, objects, flats, pairs))) AS p"))
     paged = "concat('{\"errorCode\":0,\"result\":{\"ocrResults\":[', array_join(transform(p, x -> concat('{\"prunedResult\":', x.lists, '}')), ','), '],\"dataInfo\":{\"width\":800,\"height\":1100}}}')"
-    pair_rows = r"regexp_replace(p[0].pairs, '\\{\"t\":(\"(?:[^\"\\\\\\\\]|\\\\\\\\.)*\")\\}', '$1')"
     return docs.selectExpr(
         "contract_id",
         f"""CASE WHEN contract_id % 11 = 0 THEN '{{"errorCode":5,"errorMsg":"busy"}}'
@@ -320,7 +319,7 @@ def text_ocr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
           WHEN contract_id % 5 = 1 THEN concat('{{"data":', p[0].objects, '}}')
           WHEN contract_id % 5 = 2 THEN concat('{{"results":', p[0].lists, '}}')
           WHEN contract_id % 5 = 3 THEN concat('{{"result":', p[0].flats, '}}')
-          ELSE concat('{{"ocr_results":', {pair_rows}, '}}') END AS body""",
+          ELSE concat('{{"ocr_results":', p[0].pairs, '}}') END AS body""",
     )
 
 

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from clauseloom.plans import clause_queries, rule_queries
+from clauseloom.plans import (
+    catalog_queries,
+    clause_queries,
+    extraction_queries,
+    layout_queries,
+    review_queries,
+    rule_queries,
+    source_queries,
+    stream_queries,
+)
 
-_MODULES = [rule_queries, clause_queries]
+_MODULES = [
+    rule_queries, clause_queries, layout_queries, extraction_queries, review_queries, catalog_queries, source_queries,
+    stream_queries,
+]
 
 
 def queries() -> dict:

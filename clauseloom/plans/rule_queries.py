@@ -232,3 +232,6 @@ ORACLES = {
         FROM ({_REQUIRED}) v LEFT JOIN last ON k = contract_id WHERE item_order = 1""",
     "clause_completeness": _COMPLETENESS,
 }
+
+# All findings as a CTE list ending in "found"; "fields" is in it as well.
+ALL_FINDINGS = _all_cte()
