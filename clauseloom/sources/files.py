@@ -24,7 +24,11 @@ def _in(names: tuple[str, ...]) -> str:
 
 
 def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files under a folder: path, name, size, content."""
+    """Files under a folder: path, name, size, content.
+
+    The source does not return zero-length files; tables of uploads from
+    elsewhere may hold them, and ``validate_intake`` refuses them.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     )

@@ -7,6 +7,7 @@ per-batch results that a repeated batch simply overwrites.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         return tempfile.mkdtemp(prefix=f"{name}-")
-    run = spark.sql("SELECT uuid()").first()[0]
-    return f"{shared.rstrip('/')}/{name}-{run}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_responses(spark: SparkSession, path: str, kind: str = "ocr") -> DataFrame:
