@@ -5,12 +5,20 @@ Every helper takes and returns SQL expression text, to be used with
 instead of being assembled call by call from Python.
 
 Whitespace means Unicode whitespace plus the U+001C..U+001F separators, in
-stripping, splitting and matching alike; Spark's ``trim`` only knows U+0020.
+stripping, splitting and matching alike; Spark's plain ``trim`` only knows
+U+0020. The characters are listed, not looked up by property, which keeps the
+patterns cheap; stripping needs no regex at all.
 """
 
 from __future__ import annotations
 
-WS = r"[\s\x1c-\x1f]"
+# Whitespace as a regex class and as the characters themselves.
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NOT_WS = WS.replace("[", "[^", 1)
+SPACES = "".join(
+    f"\\u{c:04x}"
+    for c in [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 
 def quote(text: str) -> str:
@@ -25,22 +33,22 @@ def regex(pattern: str) -> str:
 
 def strip(e: str) -> str:
     """Remove leading and trailing whitespace."""
-    return f"regexp_replace({e}, {regex(f'(?U)^{WS}+|{WS}+$')}, '')"
+    return f"btrim({e}, '{SPACES}')"
 
 
 def has_content(e: str) -> str:
     """True when something other than whitespace is there; cheap to push down."""
-    return f"{e} RLIKE {regex(r'(?U)[^\s\x1c-\x1f]')}"
+    return f"{e} RLIKE {regex(NOT_WS)}"
 
 
 def squash(e: str) -> str:
     """Collapse every whitespace run to one space and drop the edges."""
-    return f"regexp_replace({strip(e)}, {regex(f'(?U){WS}+')}, ' ')"
+    return f"regexp_replace({strip(e)}, {regex(f'{WS}+')}, ' ')"
 
 
 def match_norm(e: str) -> str:
     """Remove all whitespace; NULL becomes the empty string."""
-    return f"coalesce(regexp_replace({e}, {regex(f'(?U){WS}+')}, ''), '')"
+    return f"coalesce(regexp_replace({e}, {regex(f'{WS}+')}, ''), '')"
 
 
 def snippet(e: str, limit: int = 200) -> str:

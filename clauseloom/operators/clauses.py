@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import WS, blank_to_null, has_content, regex, strip
 from clauseloom.operators.layout import tie
-from clauseloom.operators.ordered import BLOCK_SPAN, PAGE_SPAN
+from clauseloom.operators.ordered import BLOCK_BITS, PAGE_BITS
 
 K = "contract_id"
 VERTICAL_GAP = 50.0
@@ -40,10 +40,10 @@ TYPE_KEYWORDS = [
 ]
 
 # One alternation tries the numbering prefixes in their order.
-_NUMBERED = "|".join(body for _, _, body in MARKERS)
+_NUMBERED = "|".join(body.replace(r"\s", WS).replace(r"\d", r"\p{Nd}") for _, _, body in MARKERS)
 _SECTIONS = "|".join(SECTION_TITLES)
-PREFIX = f"(?U)^(?:{_NUMBERED})"
-OPENER = f"(?U)^(?:{_NUMBERED}|{_SECTIONS})"
+PREFIX = f"^(?:{_NUMBERED})"
+OPENER = f"^(?:{_NUMBERED}|{_SECTIONS})"
 
 
 def opens_clause(line: str) -> str:
@@ -64,7 +64,7 @@ def with_marker(df: DataFrame, line: str) -> DataFrame:
     df = df.selectExpr("*", f"{blank_to_null('__cut')} AS __core")
     numbered = (
         "CASE WHEN __core IS NULL THEN NULL WHEN startswith(__core, '第') THEN 'article_cn' "
-        f"WHEN startswith(__core, '（') THEN CASE WHEN __core RLIKE {regex(r'(?U)^（\d')} THEN 'paren_num' ELSE 'paren_cn' END "
+        f"WHEN startswith(__core, '（') THEN CASE WHEN __core RLIKE {regex(r'^（\p{Nd}')} THEN 'paren_num' ELSE 'paren_cn' END "
         "WHEN left(__core, 1) IN ('A', 'a') THEN 'article_en' "
         "WHEN right(__core, 1) IN ('、', '，', '.') THEN "
         "CASE WHEN __core RLIKE '^[一二三四五六七八九十]' THEN 'section_cn' ELSE 'num_dot' END "
@@ -73,8 +73,8 @@ def with_marker(df: DataFrame, line: str) -> DataFrame:
     section = f"CASE WHEN length({line}) >= 2 AND __core IS NULL THEN nullif(regexp_extract({line}, '^(?:{_SECTIONS})', 0), '') END"
     df = df.selectExpr("*", f"{numbered} AS __num", f"{section} AS __sec")
     marker = (
-        f"CASE __num WHEN 'article_cn' THEN regexp_replace(__core, {regex(f'(?U){WS}')}, '') "
-        f"WHEN 'article_en' THEN concat('Article ', regexp_extract(__core, {regex(r'(?U)\d+')}, 0)) "
+        f"CASE __num WHEN 'article_cn' THEN regexp_replace(__core, {regex(WS)}, '') "
+        f"WHEN 'article_en' THEN concat('Article ', regexp_extract(__core, {regex(r'\p{Nd}+')}, 0)) "
         "ELSE coalesce(__core, __sec) END"
     )
     rest = f"substring_index(substring({line}, length(__cut) + 1), '\\n', 1)"
@@ -165,7 +165,9 @@ def number_clauses(blocks: DataFrame) -> DataFrame:
     Three levels keep a very large contract in many tasks: runs of blocks on a
     page, page ranges, then the contract's page ranges.
     """
-    rows = blocks.filter(has_content("text")).selectExpr("*", f"{strip('text')} AS __txt")
+    # the keys are not null in either use of the rows, so that both scans filter alike
+    present = f"{K} IS NOT NULL AND page_no IS NOT NULL AND sort_order IS NOT NULL"
+    rows = blocks.filter(f"{present} AND {has_content('text')}").selectExpr("*", f"{strip('text')} AS __txt")
     rows = with_marker(rows, "__txt")
     head = "struct(CASE WHEN m_pattern IS NOT NULL THEN concat_ws(' ', m_marker, m_title) ELSE __txt END AS title, coalesce(m_level, 0) AS level)"
     rows = rows.selectExpr(
@@ -173,7 +175,7 @@ def number_clauses(blocks: DataFrame) -> DataFrame:
         "__txt",
         "CASE WHEN m_pattern IS NOT NULL THEN 'M' WHEN block_type = 'title' THEN 'T' ELSE 'X' END AS __kind",
         f"CASE WHEN m_pattern IS NOT NULL OR block_type = 'title' THEN {head} END AS __head",
-        f"floor(sort_order / {BLOCK_SPAN}) AS __run",
+        f"shiftright(sort_order, {BLOCK_BITS}) AS __run",
         f"{tie(blocks)} AS __id",
     )
     run = [K, "page_no", "__run"]
@@ -188,7 +190,7 @@ def number_clauses(blocks: DataFrame) -> DataFrame:
         F.expr(f"max_by({here}, struct(sort_order, __id)) AS last"),
         F.expr("sum(__new) AS inner_starts"),
         F.expr(_last_head("__head", "sort_order, __id")),
-    ).selectExpr("*", f"floor(page_no / {PAGE_SPAN}) AS __span")
+    ).selectExpr("*", f"shiftright(page_no, {PAGE_BITS}) AS __span")
     resolved = _carry(units, "page_no, __run", ["__span"]).selectExpr(*run, "opens", "base", "carried")
     rows = rows.selectExpr(
         "*",

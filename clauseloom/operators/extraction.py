@@ -40,66 +40,91 @@ def recover_json(responses: DataFrame, raw: str = "raw", name: str = "json") ->
     return rows.selectExpr(*own, found)
 
 
-def _kind(v: str) -> str:
-    return f"schema_of_variant({v})"
+_FIELD = (
+    "STRUCT<field_key: STRING, field_name: STRING, field_value: STRING, value: STRING, source_text: STRING, "
+    "source_page: INT, source_bbox: ARRAY<DOUBLE>, confidence: DOUBLE>"
+)
+# A typed parse turns every scalar to text, so answers where the JSON type
+# decides are told apart first: keys that are no text, booleans, confidences
+# that are no number, and an explicit null next to the alias.
+_TYPE_SENSITIVE = (
+    r'"field_key"\s*:\s*[^"\s]|"(?:field_value|value)"\s*:\s*[tf]|"confidence"\s*:\s*[^0-9.\s-]|"value"\s*:'
+)
 
 
 def _members(v: str) -> str:
     return f"try_variant_get({v}, '$', 'MAP<STRING, VARIANT>')"
 
 
+def _typed_items() -> str:
+    """Fields of an answer read with a fixed schema."""
+    item = (
+        "struct(f.field_key, f.field_name, f.field_value AS value, f.source_text, f.source_page, f.source_bbox, "
+        "coalesce(f.confidence, 0.8D) AS confidence)"
+    )
+    return f"transform(j.fields, f -> {item})"
+
+
+def _variant_items() -> str:
+    """The same with the JSON type of each member in view, and for top-level field maps."""
+    names = ("field_key", "field_value", "value", "source_text")
+    field_like = " OR ".join(f"map_contains_key({_members('t.value')}, '{k}')" for k in names)
+    # a variant sorts its members, so the written order comes from the text
+    keys = "map_keys(from_json(json, 'MAP<STRING, STRING>'))"
+    mapped = (
+        f"filter(transform({keys}, k -> struct(k AS key, element_at(top, k) AS value)), "
+        "t -> t.key NOT IN ('fields', 'contract_type', 'contract_type_confidence') "
+        f"AND coalesce({field_like}, false))"
+    )
+    listed = "transform(listed, x -> struct(CAST(NULL AS STRING) AS key, x AS value))"
+    m = _members("x.value")
+    get = lambda key, kind: f"try_variant_get(x.value, '$.{key}', '{kind}')"
+    fv = f"CASE WHEN map_contains_key({m}, 'field_value') THEN {get('field_value', 'VARIANT')} ELSE {get('value', 'VARIANT')} END"
+    value = (
+        f"CASE schema_of_variant({fv}) WHEN 'VOID' THEN NULL WHEN 'BOOLEAN' THEN initcap(CAST({fv} AS STRING)) "
+        f"ELSE CAST({fv} AS STRING) END"
+    )
+    field_key = (
+        f"CASE WHEN NOT map_contains_key({m}, 'field_key') THEN x.key "
+        f"WHEN schema_of_variant({get('field_key', 'VARIANT')}) = 'STRING' THEN {get('field_key', 'STRING')} END"
+    )
+    item = (
+        f"struct({field_key} AS field_key, {get('field_name', 'STRING')} AS field_name, {value} AS value, "
+        f"{get('source_text', 'STRING')} AS source_text, {get('source_page', 'INT')} AS source_page, "
+        f"{get('source_bbox', 'ARRAY<DOUBLE>')} AS source_bbox, "
+        f"CASE WHEN map_contains_key({m}, 'confidence') THEN {get('confidence', 'DOUBLE')} ELSE 0.8D END AS confidence)"
+    )
+    return f"transform(CASE WHEN size(listed) > 0 THEN {listed} ELSE {mapped} END, x -> {item})"
+
+
 def explode_fields(responses: DataFrame) -> DataFrame:
     """One row per field of each answer, in answer order.
 
     Fields come from the ``fields`` array, or, when that is empty, from
     top-level keys whose object looks like a field; the key then defaults to
     the map key. A field without a text key, or with a confidence that is not
-    a number, rejects its whole answer.
+    a number, rejects its whole answer. Everything happens inside the answer's
+    own row; there is no shuffle.
     """
-    rows = recover_json(responses).selectExpr(K, "chunk_no", "json", "try_parse_json(json) AS v")
-    # a variant sorts its members, so the written order comes from the text
-    rows = rows.selectExpr(
-        K, "chunk_no", "try_variant_get(v, '$.fields', 'ARRAY<VARIANT>') AS listed", f"{_members('v')} AS top",
-        "map_keys(from_json(json, 'MAP<STRING, STRING>')) AS keys",
-    )
-    field_like = " OR ".join(
-        f"map_contains_key({_members('t.value')}, '{k}')" for k in ("field_key", "field_value", "value", "source_text")
-    )
-    as_field = (
-        "filter(transform(keys, k -> struct(k AS key, element_at(top, k) AS value)), "
-        "t -> t.key NOT IN ('fields', 'contract_type', 'contract_type_confidence') "
-        f"AND coalesce({field_like}, false))"
+    schema = f"STRUCT<fields: ARRAY<{_FIELD}>>"
+    rows = recover_json(responses).selectExpr(
+        K, "chunk_no", "json", f"from_json(json, '{schema}') AS j", f"json RLIKE {regex(_TYPE_SENSITIVE)} AS sensitive"
     )
+    rows = rows.selectExpr(K, "chunk_no", "json", "j", "sensitive OR coalesce(size(j.fields), 0) <= 0 AS by_type")
     rows = rows.selectExpr(
-        K, "chunk_no",
-        "posexplode(CASE WHEN size(listed) > 0 THEN transform(listed, x -> struct(CAST(NULL AS STRING) AS key, x AS value)) "
-        f"ELSE {as_field} END) AS (pos, item)",
-    ).selectExpr(K, "chunk_no", "pos", "item.key", "item.value AS v", f"{_members('item.value')} AS m")
-    get = lambda key, kind: f"try_variant_get(v, '$.{key}', '{kind}')"
-    fields = rows.selectExpr(
-        K, "chunk_no", "pos",
-        f"CASE WHEN NOT map_contains_key(m, 'field_key') THEN key "
-        f"WHEN {_kind(get('field_key', 'VARIANT'))} = 'STRING' THEN {get('field_key', 'STRING')} END AS field_key",
-        f"{get('field_name', 'STRING')} AS field_name",
-        f"CASE WHEN map_contains_key(m, 'field_value') THEN {get('field_value', 'VARIANT')} "
-        f"ELSE {get('value', 'VARIANT')} END AS fv",
-        f"{get('source_text', 'STRING')} AS source_text",
-        f"{get('source_page', 'INT')} AS source_page",
-        f"{get('source_bbox', 'ARRAY<DOUBLE>')} AS source_bbox",
-        f"CASE WHEN map_contains_key(m, 'confidence') THEN {get('confidence', 'DOUBLE')} ELSE 0.8D END AS confidence",
+        K, "chunk_no", "json", "j", "by_type", "CASE WHEN by_type THEN try_parse_json(json) END AS v"
+    ).selectExpr(
+        K, "chunk_no", "json", "j", "by_type", "try_variant_get(v, '$.fields', 'ARRAY<VARIANT>') AS listed",
+        f"{_members('v')} AS top",
     )
-    value = (
-        f"CASE {_kind('fv')} WHEN 'VOID' THEN NULL WHEN 'BOOLEAN' THEN initcap(CAST(fv AS STRING)) "
-        "ELSE CAST(fv AS STRING) END"
+    items = rows.selectExpr(
+        K, "chunk_no", f"CASE WHEN by_type THEN {_variant_items()} ELSE {_typed_items()} END AS items"
     )
-    fields = fields.selectExpr(
-        K, "chunk_no", "pos", "field_key", "field_name", f"{value} AS value", "source_text", "source_page",
-        "source_bbox", "confidence",
+    whole = "CASE WHEN NOT exists(items, x -> x.field_key IS NULL OR x.confidence IS NULL) THEN items END"
+    return items.selectExpr(K, "chunk_no", f"posexplode({whole}) AS (pos, f)").selectExpr(
+        K, "chunk_no", "pos", "f.field_key", "f.field_name", "f.value", "f.source_text", "f.source_page",
+        "f.source_bbox", "f.confidence",
     )
-    # an answer is one row of the input, so this window holds one answer's fields
-    broken = "bool_or(field_key IS NULL OR confidence IS NULL)"
-    checked = fields.selectExpr("*", f"{broken} OVER (PARTITION BY {K}, chunk_no) AS broken")
-    return checked.filter("NOT broken").drop("broken")
 
 
 def response_types(responses: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import has_content, lookup, quote, regex, snippet, strip
-from clauseloom.operators.ordered import PAGE_SPAN, number_rows
+from clauseloom.operators.ordered import PAGE_BITS, number_rows
 
 K = "contract_id"
 
@@ -146,7 +146,7 @@ def page_chunks(pages: DataFrame, pages_per_chunk: int = 6, overlap: int = 1) ->
     to those only and each window gathers at most ``pages_per_chunk`` pages.
     """
     p, step = pages_per_chunk, _step(pages_per_chunk, overlap)
-    index = number_rows(pages.select(K, "page_no"), [K], f"floor(page_no / {PAGE_SPAN})", "page_no", "n", "pages")
+    index = number_rows(pages.select(K, "page_no"), [K], f"shiftright(page_no, {PAGE_BITS})", "page_no", "n", "pages")
     last = f"CASE WHEN pages <= {p} THEN 0 ELSE ceil((pages - {p}) / {step}) END"
     placed = index.selectExpr(K, "page_no", "n - 1 AS i", f"{last} AS last").selectExpr(
         K, "page_no", "last",

@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGE_SPAN = 512  # pages per bucket
-BLOCK_SPAN = 1024  # block positions per bucket
+PAGE_BITS = 9  # a bucket of pages: 512
+BLOCK_BITS = 10  # a bucket of block positions: 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

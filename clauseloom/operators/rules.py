@@ -26,7 +26,7 @@ REQUIRED = [("party-a-name", "甲方"), ("party-b-name", "乙方")]
 LOW_CONFIDENCE = 0.7
 
 # Amount patterns, first match of each in the source text.
-FORMAL_RUN = rf"(?U)[人民币RMB￥]*{WS}*([壹贰叁肆伍陆柒捌玖拾佰仟万亿零元整圆角分，、\s\x1c-\x1f]+)"
+FORMAL_RUN = "[人民币RMB￥]*" + WS + "*((?:[壹贰叁肆伍陆柒捌玖拾佰仟万亿零元整圆角分，、]|" + WS + ")+)"
 FORMAL_RUN_STRICT = r"(?U)([壹贰叁肆伍陆柒捌玖拾佰仟万亿零][壹贰叁肆伍陆柒捌玖拾佰仟万亿零元整圆角分，、\s]*)"
 FIGURES = rf"(?U)[¥￥]{WS}*([\d,]+\.?\d*)"
 RATIO_KEY = "ratio|付款比例"
@@ -151,8 +151,8 @@ def payment_ratio(fields: DataFrame, contracts: DataFrame) -> DataFrame:
         F.expr(f"{parts} AS parts"),
     )
     message = (
-        "format_string('付款比例合计为%.1f%%，不等于100%% (共%d期: %s)', total, n, "
-        "array_join(transform(parts, p -> concat(p.t, '%')), ', '))"
+        "concat('付款比例合计为', format_number(total, '0.0'), '%，不等于100% (共', n, '期: ', "
+        "array_join(transform(parts, p -> concat(p.t, '%')), ', '), ')')"
     )
     return per_contract.filter("n >= 2 AND NOT isnan(total) AND abs(total - 100) > 1").selectExpr(
         K, f"{message} AS message", "field_key", "1 AS item_order"
@@ -160,7 +160,7 @@ def payment_ratio(fields: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 def low_confidence(fields: DataFrame, contracts: DataFrame) -> DataFrame:
-    message = r"format_string('字段 \'%s\' 置信度过低: %.2f', field_key, confidence)"
+    message = r"concat('字段 \'', field_key, '\' 置信度过低: ', format_number(confidence, '0.00'))"
     return _with_pos(fields).filter(f"confidence < {LOW_CONFIDENCE} AND NOT isnan(confidence)").selectExpr(
         K, f"{message} AS message", "field_key", "CAST(pos AS INT) AS item_order"
     )
@@ -180,7 +180,7 @@ BUILTIN = [
         items=(
             (
                 "abs(formal - low) > 0.01",
-                "format_string('大写金额(%s)与小写金额(%,.2f)不一致', run, low)",
+                "concat('大写金额(', run, ')与小写金额(', format_number(low, 2), ')不一致')",
                 "contract-amount",
             ),
         ),

@@ -62,11 +62,11 @@ def block_scores(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     routed = known.unionByName(anywhere)
     grams = prepared.selectExpr("*", f"{bigrams('norm')} AS b_grams")
     pairs = routed.join(grams, [K, "page_no", "bucket"]).selectExpr(
-        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "norm", "source", "s_grams",
+        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
         "size(array_intersect(s_grams, b_grams)) AS n", "size(s_grams) AS ns", "size(b_grams) AS nb",
     )
     scored = pairs.selectExpr(
-        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "source",
+        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
         "n / ns * 0.7D + n / (ns + nb - n) * 0.3D AS score",
     )
     ranked = scored.selectExpr(
@@ -94,7 +94,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         "*", f"bool_or({passed}) OVER (PARTITION BY {K}, field_key) AS done"
     ).filter("(done AND rank = 1) OR (NOT done AND field_page IS NOT NULL)")
     anchors = scores.selectExpr(
-        K, "field_key", "page_no", "rank", "done", "source", "bbox AS a_box", "score AS a_score",
+        K, "field_key", "page_no", "rank", "done", "CASE WHEN NOT done THEN s_grams END AS s_grams", "bbox AS a_box", "score AS a_score",
         "sort_order AS a_order", "block_id AS a_id",
         f"explode(CASE WHEN done THEN array(-1L) ELSE sequence(floor(sort_order / {BUCKET}), "
         f"floor((sort_order + {reach}) / {BUCKET})) END) AS bucket",
@@ -107,7 +107,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         "AND (sort_order > a_order OR (sort_order = a_order AND block_id >= a_id))"
     )
     runs = anchors.join(near, F.expr(match), "left").groupBy(K, "field_key", "page_no", "rank", "done").agg(
-        F.expr("any_value(source) AS source"), F.expr("any_value(a_box) AS a_box"), F.expr("any_value(a_score) AS a_score"),
+        F.expr("any_value(s_grams) AS s_grams"), F.expr("any_value(a_box) AS a_box"), F.expr("any_value(a_score) AS a_score"),
         F.expr(
             "array_sort(collect_list(struct(sort_order, block_id, norm, bbox)) FILTER (WHERE norm IS NOT NULL)) AS run"
         ),
@@ -120,18 +120,15 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         runs.selectExpr("*", f"explode(CASE WHEN done THEN array(1) ELSE sequence(2, {MAX_SPAN}) END) AS span")
         .filter(reachable)
         .selectExpr(
-            K, "field_key", "page_no", "rank", "done", "span", "source", "a_box", "a_score",
-            "slice(run, 1, span) AS win", "array_join(transform(slice(run, 1, span), b -> b.norm), '') AS text",
-        )
-        .selectExpr(
-            K, "field_key", "page_no", "rank", "done", "span", "a_box", "a_score", "transform(win, b -> b.bbox) AS boxes",
-            f"CASE WHEN NOT done THEN {bigrams('source')} END AS s_grams",
-            f"CASE WHEN NOT done THEN {bigrams('text')} END AS w_grams",
+            K, "field_key", "page_no", "rank", "done", "span", "s_grams", "a_box", "a_score",
+            "transform(slice(run, 1, span), b -> b.bbox) AS boxes",
+            "array_join(transform(slice(run, 1, span), b -> b.norm), '') AS text",
         )
         .selectExpr(
             K, "field_key", "page_no", "rank", "done", "span",
             f"CASE WHEN done THEN a_box ELSE {union_box('boxes')} END AS bbox",
-            "CASE WHEN done THEN a_score ELSE size(array_intersect(s_grams, w_grams)) / size(s_grams) END AS score",
+            # a two-character gram is in the window's gram set exactly when the text contains it
+            "CASE WHEN done THEN a_score ELSE size(filter(s_grams, g -> contains(text, g))) / size(s_grams) END AS score",
         )
     )
     hit = f"(done OR score >= {MERGED_PASS}) AND bbox IS NOT NULL"

@@ -95,8 +95,8 @@ def brute(rows):
 
 def test_random_contracts_against_brute_force(make, monkeypatch):
     """Small buckets, so that every level of the numbering is crossed."""
-    monkeypatch.setattr(C, "BLOCK_SPAN", 3)
-    monkeypatch.setattr(C, "PAGE_SPAN", 2)
+    monkeypatch.setattr(C, "BLOCK_BITS", 1)
+    monkeypatch.setattr(C, "PAGE_BITS", 1)
     rng = random.Random(3)
     rows, expected = [], {}
     for k in range(120):
