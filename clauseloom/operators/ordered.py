@@ -35,7 +35,8 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` over ``keys`` ordered by (bucket, order).
 
-    ``bucket`` must rise with the order, so that a bucket is a contiguous run.
+    ``bucket`` must rise with the order, so that a bucket is a contiguous run;
+    keys and bucket are never NULL (coalesce them where they may be).
     ``total`` optionally adds the row count of the key.
     """
     rows = df.selectExpr("*", f"{bucket} AS __b")

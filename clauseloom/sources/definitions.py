@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import blank_to_null, has_content, regex, strip
+from clauseloom.operators.ordered import number_rows
 
 # Accepted header names per column.
 HEADERS = {
@@ -76,9 +77,7 @@ def assign_field_keys(rows: DataFrame, existing: DataFrame, offset: int = 0) ->
         r"regexp_extract(field_key, '^custom-(.*)-([0-9]+)$', 1) AS slug",
         r"try_cast(regexp_extract(field_key, '^custom-(.*)-([0-9]+)$', 2) AS BIGINT) AS n",
     ).groupBy("slug").agg(F.expr("max(n) AS used_n"))
-    fresh = marked.filter("NOT keeps").selectExpr(
-        "*", "row_number() OVER (PARTITION BY slug ORDER BY pos) AS n"
-    ).join(used, "slug", "left")
+    fresh = number_rows(marked.filter("NOT keeps"), ["slug"], "floor(pos / 4096)", "pos", "n").join(used, "slug", "left")
     cols = ["field_name", "description", "value_type", "pos"]
     named = kept.selectExpr("given AS field_key", *cols).unionByName(
         fresh.selectExpr("concat('custom-', slug, '-', coalesce(used_n, 0) + n) AS field_key", *cols)
