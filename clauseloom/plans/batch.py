@@ -71,8 +71,9 @@ def extract(
 
     inline = E.merge_contract_type(E.response_types(responses))
     types = E.resolve_type(typed, inline)
-    done = traced.select(K).distinct().join(types, K, "left")
+    # rules read values and confidences only, so they need not wait for tracing
+    done = fields.select(K).distinct()
     stored = traced.drop("missing").selectExpr(
         "*", "'extracted' AS review_status", "CAST(NULL AS STRING) AS reviewed_value"
     )
-    return Extracted(stored, types, V.validate(stored, done), failed)
+    return Extracted(stored, types, V.validate(fields, done), failed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clauseloom.operators import extraction as E
 from clauseloom.operators import trace as T
 from clauseloom.plans import adapters as A
+from clauseloom.plans import batch
 from clauseloom.plans.clause_queries import BLOCKS
 
 REQUESTED = ["party-a-name", "party-b-name", "contract-amount", "sign-date", "effective-date", "end-date", "payment-method"]
@@ -131,8 +132,22 @@ def trace_attach(spark, sf_dir):
     )
 
 
+def extract_contracts(spark, sf_dir):
+    """The whole batch plan: one answered field per document, traced, completed to the field set and validated."""
+    field = "struct('party-a-name' AS field_key, concat('V', contract_id) AS field_value, source_text, page_no AS source_page, 0.9D AS confidence)"
+    responses = A.traces(spark, sf_dir).filter("field_key = 'f1'").selectExpr(
+        "contract_id", "0 AS chunk_no", f"to_json(struct(array({field}) AS fields)) AS raw", "CAST(NULL AS STRING) AS error"
+    )
+    contracts = A.table(spark, sf_dir, "documents").selectExpr("doc_id AS contract_id", "'done' AS ocr_completed_at")
+    out = batch.extract(contracts, A.blocks(spark, sf_dir), responses, A.definitions(spark))
+    fields = out.fields.groupBy("contract_id").agg(F.expr("count(*) AS n_fields"), F.expr("count(bbox) AS located"))
+    found = out.violations.groupBy("contract_id").agg(F.expr("count(*) AS n_findings"))
+    kinds = out.types.select("contract_id", "contract_type")
+    return fields.join(found, "contract_id").join(kinds, "contract_id")
+
+
 QUERIES = {
-    "recover_json": recover_json, "explode_fields": explode_fields, "type_fields": type_fields,
+    "extract_contracts": extract_contracts, "recover_json": recover_json, "explode_fields": explode_fields, "type_fields": type_fields,
     "unrequested_fields": unrequested_fields, "merge_chunks": merge_chunks, "merge_types": merge_types,
     "reconcile": reconcile, "reconcile_failed": reconcile_failed, "extraction_diagnostics": extraction_diagnostics,
     "upsert_fields": upsert_fields, "field_sets": field_sets, "field_set_overrides": field_set_overrides,
@@ -205,6 +220,9 @@ _TRACE = f"""{BLOCKS}, docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls
     SELECT contract_id, field_key, page_no, x1, y1, x2, y2, score, span FROM merged WHERE rn = 1)"""
 
 ORACLES = {
+    "extract_contracts": f"""{_TRACE} SELECT t.contract_id, CAST(23 AS BIGINT) AS n_fields, count(f.x1) AS located, CAST(23 AS BIGINT) AS n_findings,
+        'sale' AS contract_type FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key
+        WHERE t.field_key = 'f1' GROUP BY t.contract_id""",
     "recover_json": """SELECT o_orderkey AS contract_id, c.chunk_no, o_orderkey % 5 <> 4 AS found,
         CASE WHEN o_orderkey % 5 <> 4 THEN '{' ELSE '' END AS opens FROM orders, (VALUES (0), (1)) AS c(chunk_no)""",
     "explode_fields": f"""{_ANSWERED} SELECT contract_id, chunk_no, CAST(row_number() OVER (PARTITION BY contract_id, chunk_no
