@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import line_dedup
+from clauseloom.llm import line_dedup, near_dedup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,13 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY k.doc_id
 """
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_near_dedup": op3_near_dedup, "op5_packing": op5_packing, "op9_line_dedup": op9_line_dedup}
 ORACLES = {"op9_line_dedup": OP9_SQL}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,25 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="clauseloom-")) / package.name
+        context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 class Scratch:
     """Parquet tables under one fresh folder of the shared root; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, table: str, *partition_by: str) -> DataFrame:
