@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import line_dedup, near_dedup, packing
+from clauseloom.llm import line_dedup, near_dedup, packing, passage_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,5 +44,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_near_dedup": op3_near_dedup, "op5_packing": op5_packing, "op9_line_dedup": op9_line_dedup}
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passage_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op3_near_dedup": op3_near_dedup, "op5_packing": op5_packing, "op8_passage_dedup": op8_passage_dedup,
+    "op9_line_dedup": op9_line_dedup,
+}
 ORACLES = {"op9_line_dedup": OP9_SQL}
