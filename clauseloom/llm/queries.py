@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import line_dedup, near_dedup, packing, passage_dedup
+from clauseloom.llm import language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity
+from clauseloom.llm.shared import crc_of_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,19 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY k.doc_id
 """
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_of_id(5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (crc_of_id(5) == 0).alias("held_out"), "score", "predicted", "neighbours", "cosines")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang").where(crc_of_id(4) != 2))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (crc_of_id(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +64,7 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id,
     "op3_near_dedup": op3_near_dedup, "op5_packing": op5_packing, "op8_passage_dedup": op8_passage_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
