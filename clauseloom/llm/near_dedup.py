@@ -24,8 +24,8 @@ AGREE = 62
 HUB_ROUNDS = 3
 
 _RANDOM = np.random.default_rng(20240229)
-_A = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_B = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _STEPS = _RANDOM.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -52,11 +52,16 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def minima(names: np.ndarray) -> np.ndarray:
-    """The least value of each of the 128 multiply-add hashes over a set, upper halves."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(names), 1024):
-        least = np.minimum(least, (names[i : i + 1024, None] * _A + _B).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32)
+    """The least value of each of the 128 hashes a * x + b modulo 2^32 over a set's names, upper halves."""
+    upper = (names >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    held = np.empty((256, BANDS * ROWS), np.uint32)
+    for i in range(0, len(upper), len(held)):
+        part = upper[i : i + len(held), None]
+        values = np.multiply(part, _A, out=held[: len(part)])
+        np.add(values, _B, out=values)
+        np.minimum(least, values.min(axis=0), out=least)
+    return least
 
 
 SKETCH = "doc_id long, tk int, n_shingles int, cls binary, sig binary"
