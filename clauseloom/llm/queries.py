@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity
+from clauseloom.llm import byte_bpe, language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity, url_filter
 from clauseloom.llm.shared import crc_of_id
 
 
@@ -63,9 +63,42 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The rules of the registered URL query.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = """
+WITH rules(rule, host, path, verdict) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+)
+SELECT p.page_id, p.host, p.path, max_by(r.rule, length(r.rule)) AS rule,
+       coalesce(max_by(r.verdict, length(r.rule)), 'allow') AS verdict
+FROM parts p LEFT JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path)
+GROUP BY p.page_id, p.host, p.path
+"""
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op4_language_id": op4_language_id,
-    "op3_near_dedup": op3_near_dedup, "op5_packing": op5_packing, "op8_passage_dedup": op8_passage_dedup,
-    "op9_line_dedup": op9_line_dedup,
+    "op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing, "op7_url_filter": op7_url_filter, "op8_passage_dedup": op8_passage_dedup,
+    "op9_line_dedup": op9_line_dedup, "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op9_line_dedup": OP9_SQL}
+ORACLES = {"op7_url_filter": OP7_SQL, "op9_line_dedup": OP9_SQL}
