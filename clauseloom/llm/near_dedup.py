@@ -144,8 +144,9 @@ def _joined(scratch: Scratch, labels: DataFrame | None, links: DataFrame, turn:
     return scratch.keep(old.unionByName(new), f"labels-{turn}")
 
 
-def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; ``with_class`` adds tk (a number of the text) and
+    group (the component by content, null without words), which tell rows apart where doc_ids do not.
 
     Words are runs of anything but 0x20 and 0x09-0x0D with A-Z lower-cased. Documents of equal shingle sets form a
     class; classes whose sets have ``100 * intersection >= threshold_pct * union`` are linked, confirmed on the full
@@ -193,14 +194,14 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
             found = pairs.links(tried.distinct())
             if found is not None:
                 labels = _joined(scratch, labels, found, turn)
-    top = classes.select("cls", "least")
+    top = classes.select("cls", "least", F.col("cls").alias("root"))
     if labels is not None:
-        rooted = top.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        top = scratch.keep(rooted.join(ids, "root").select("cls", "component_id"), "result")
-    else:
-        top = top.withColumnRenamed("least", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "cls").join(top, "cls", "left")
-    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"),
-                      own.eqNullSafe(F.col("doc_id")).alias("kept"))
+        own = labels.select(F.col("node").alias("cls"), F.col("root").alias("found"))
+        rooted = top.join(own, "cls", "left").select("cls", "least", F.coalesce("found", "root").alias("root"))
+        ids = rooted.groupBy("root").agg(F.min("least").alias("first"))
+        top = scratch.keep(rooted.join(ids, "root").select("cls", "root", F.col("first").alias("least")), "result")
+    out = sketch.select("doc_id", "tk", "n_shingles", "cls").join(top, "cls", "left")
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    out = out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"),
+                     own.eqNullSafe(F.col("doc_id")).alias("kept"), "tk", F.col("root").alias("group"))
+    return out if with_class else out.drop("tk", "group")
