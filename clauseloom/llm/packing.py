@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +23,16 @@ LOCAL_PIECES, FAN_IN = 20_000, 8
 #: Unfinished bins that a group hands on for another round, the emptiest first; the other bins are done.
 CARRIED = 512
 #: Word encodings that a Python worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: Runs of ASCII punctuation, but for the apostrophe, with a letter, digit or white space on either side.
+_MARKS = re.compile(r"(?<![^\w\s])(?<!_)([!-&(-/:-@\[-`{-~]++)(?![^\w\s])")
 
 
 class WordEncoder:
     """Token ids as little-endian uint32 bytes. A run without blanks and line ends is encoded on its own, which
-    the tokenizer allows: its normaliser and pre-tokeniser never look across white space."""
+    the tokenizer allows: its normaliser and pre-tokeniser never look across white space. So that words repeat more
+    often, Latin-1 texts are lower-cased as the normaliser does, and get blanks round punctuation where the
+    pre-tokeniser cuts anyway."""
 
     def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
@@ -38,6 +43,16 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
 
+    @staticmethod
+    def words(text: str | None) -> list[str]:
+        text = text or ""
+        try:
+            text.encode("latin-1")
+            text = _MARKS.sub(r" \1 ", text.lower())
+        except UnicodeEncodeError:
+            pass  # elsewhere a letter can turn into a letter and a mark that belongs to the punctuation after it
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, end id included; a group of texts of about a million characters at a time."""
         start = 0
@@ -46,14 +61,14 @@ class WordEncoder:
             while stop < len(texts) and (size < 1_000_000 or stop == start):
                 size += len(texts[stop] or "")
                 stop += 1
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[start:stop]]
+            split = [self.words(t) for t in texts[start:stop]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list({w for words in split for w in words} - self.known.keys())
+            new = list(set().union(*split) - self.known.keys())
             for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(part, made, strict=True))
+                some = new[i : i + 4096]
+                made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                self.known.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(some, made, strict=True))
             get = self.known.__getitem__
             for words in split:
                 yield b"".join(map(get, words)) + self.end

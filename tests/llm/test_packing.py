@@ -41,6 +41,15 @@ def test_odd_rows(docs):
     assert packing.pack(docs().limit(0)).count() == 0
 
 
+def test_words_are_cut_where_the_tokenizer_cuts():
+    rng = random.Random(11)
+    bits = ["a", "B", "é", "É", "1", ".", ",", "_", "'", "'s", "'LL", "-", "\u0301", "…", " ", "\n", "\t", "Σ", "İ", "ß", "<|endoftext|>", "\u00a0", "ª", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    encoder = packing.WordEncoder(packing.TOKENIZER)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+
+
 def test_tree_of_groups(docs, monkeypatch):
     monkeypatch.setattr(packing, "LOCAL_PIECES", 150)
     monkeypatch.setattr(packing, "CARRIED", 30)
