@@ -178,15 +178,18 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
     found: DataFrame | None = None
     for turn, size in enumerate((*SPLITS, 0)):
         many = nodes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        many = scratch.keep(many, f"many-{turn}")  # stored, so that the join can split a core of many nodes
         nodes = scratch.keep(nodes.join(many, "core"), f"nodes-{turn}")
         wholes = nodes.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "a", "lo", "hi")).alias("row"))
         wholes = scratch.keep(wholes, f"wholes-{turn}")
+        scratch.drop(f"many-{turn}")
         settled = nodes.join(wholes.where("n > 1").select("core", "whole"), ["core", "whole"])
         ranges = settled.select("doc_id", "tk", F.expr("a - hi").alias("start"), F.expr(f"a - lo + {length}").alias("stop"))
         found = ranges if found is None else found.unionByName(ranges)
         if not size:
             return found
         unlike = wholes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        unlike = scratch.keep(unlike, f"unlike-{turn}")
         rows = wholes.join(unlike, "core").select("row.*")  # one node for each different whole
         listed = rows.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("nodes"))
         nodes = _same(docs.select("doc_id", "tk", "text"), listed, "inner").select("doc_id", "tk", "text", "nodes")
