@@ -24,8 +24,9 @@ LOCAL_PIECES, FAN_IN = 20_000, 8
 CARRIED = 512
 #: Word encodings that a Python worker remembers before it starts anew.
 REMEMBERED = 1_000_000
-#: Runs of ASCII punctuation, but for the apostrophe, with a letter, digit or white space on either side.
-_MARKS = re.compile(r"(?<![^\w\s])(?<!_)([!-&(-/:-@\[-`{-~]++)(?![^\w\s])")
+#: Runs of ASCII punctuation, but for the apostrophe, with a letter, digit or white space on either side
+#: (U+001C to U+001F, white space elsewhere, are punctuation to the tokenizer).
+_MARKS = re.compile(r"(?<![^\w\s])(?<![_\x1c-\x1f])([!-&(-/:-@\[-`{-~]++)(?![^\w\s])(?![\x1c-\x1f])")
 
 
 class WordEncoder:
