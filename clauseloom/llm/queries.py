@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import byte_bpe, language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity, url_filter
+from clauseloom.llm import byte_bpe, language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity, url_filter, vector_dedup
 from clauseloom.llm.shared import crc_of_id
 
 
@@ -50,6 +50,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (crc_of_id(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -97,7 +101,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op3_near_dedup": op3_near_dedup, "op4_language_id": op4_language_id,
+    "op1_toxicity": op1_toxicity, "op2_vector_dedup": op2_vector_dedup, "op3_near_dedup": op3_near_dedup, "op4_language_id": op4_language_id,
     "op5_packing": op5_packing, "op7_url_filter": op7_url_filter, "op8_passage_dedup": op8_passage_dedup,
     "op9_line_dedup": op9_line_dedup, "op10_byte_bpe": op10_byte_bpe,
 }
