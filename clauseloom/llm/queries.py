@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import byte_bpe, language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity, url_filter, vector_dedup
+from clauseloom.llm import byte_bpe, language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity, url_filter, vector_dedup, vector_search
 from clauseloom.llm.shared import crc_of_id
 
 
@@ -71,6 +71,11 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.neighbours(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -102,7 +107,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_vector_dedup": op2_vector_dedup, "op3_near_dedup": op3_near_dedup, "op4_language_id": op4_language_id,
-    "op5_packing": op5_packing, "op7_url_filter": op7_url_filter, "op8_passage_dedup": op8_passage_dedup,
+    "op5_packing": op5_packing, "op6_vector_search": op6_vector_search, "op7_url_filter": op7_url_filter, "op8_passage_dedup": op8_passage_dedup,
     "op9_line_dedup": op9_line_dedup, "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {"op7_url_filter": OP7_SQL, "op9_line_dedup": OP9_SQL}
