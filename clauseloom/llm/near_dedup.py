@@ -17,11 +17,13 @@ from clauseloom.llm.shared import ASCII_LOWER, Scratch, text_key
 WIDTH = 5
 #: 32 bands of 4 minima: two sets of similarity 0.75 miss every band with a chance of 5e-6, closer ones sooner never.
 BANDS, ROWS = 32, 4
-#: Equal minima of 128 below which a pair is not confirmed on full sets. A pair of similarity 0.75 expects 96 with a
-#: deviation of 4.9, so it stays below 62 with a chance of about 1e-11.
-AGREE = 62
-#: Rounds in which a bucket's members meet one hub each, before the pairs that are left are compared.
-HUB_ROUNDS = 3
+#: Bits in which the low bytes of the 128 minima of two sets may differ for the pair to be confirmed on full sets.
+#: Half of the bits of unequal minima differ: at similarity 0.75 that makes 128 with a deviation of 21, so a linked
+#: pair has more than 234 with a chance of about 3e-7; unlinked ones of similarity below a half mostly have more.
+DIFFER = 234
+#: Rounds in which a bucket's members meet one hub each, before the pairs that are left are compared; with no more
+#: than PAIRS_LEFT such pairs for each member left they are compared at once.
+HUB_ROUNDS, PAIRS_LEFT = 3, 8
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -64,20 +66,39 @@ def minima(names: np.ndarray) -> np.ndarray:
     return least
 
 
-SKETCH = "doc_id long, tk int, n_shingles int, cls binary, sig binary"
+def bands(least: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each band of minima."""
+    pairs = least.reshape(BANDS, ROWS // 2, 2).astype(np.uint64)
+    joined = pairs[:, :, 0] << np.uint64(32) | pairs[:, :, 1]
+    name = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS // 2):
+        name = _mixed(name * _STEPS[0] + joined[:, k])
+    return name.view(np.int64)
+
+
+SKETCH = "doc_id long, tk int, n_shingles int, cls binary, sig array<bigint>, bands array<bigint>"
+LONGS = BANDS * ROWS // 8
+
+
+def _alike(a: str, b: str) -> str:
+    """SQL: two signatures, arrays of longs, differ in few bits."""
+    return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LONGS)) + f" <= {DIFFER}"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, cls, sig = [], [], []
+        n, cls, sig, filed = [], [], [], []
         for text in batch.column(2):
             names = shingles(text.as_py())
             n.append(len(names))
             cls.append(xxhash.xxh3_128_digest(names.tobytes()) if len(names) else None)
-            sig.append(minima(names).tobytes() if len(names) else None)
+            least = minima(names)
+            sig.append(least.astype(np.uint8).view(np.int64) if len(names) else None)
+            filed.append(bands(least) if len(names) else None)
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (sig, filed)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-            ["doc_id", "tk", "n_shingles", "cls", "sig"])
+            [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), *lists],
+            ["doc_id", "tk", "n_shingles", "cls", "sig", "bands"])
 
 
 def _confirmed(threshold_pct: int):
@@ -112,8 +133,7 @@ class _Pairs:
         a = sides.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
         b = sides.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
         sized = F.expr(f"100L * least(na, nb) >= {self.pct}L * greatest(na, nb)")
-        equal = " + ".join(f"int(substring(sa, {4 * i + 1}, 4) = substring(sb, {4 * i + 1}, 4))" for i in range(BANDS * ROWS))
-        found = pairs.join(b, "b").join(a, "a").where(sized).where(F.expr(f"{equal} >= {AGREE}")).select("a", "b")
+        found = pairs.join(b, "b").join(a, "a").where(sized & F.expr(_alike("sa", "sb"))).select("a", "b")
         found = self.scratch.keep(found, f"pairs-{self.rounds}")
         if found.isEmpty():
             return None
@@ -154,8 +174,8 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool =
 
     No bucket is expanded into all its pairs at first: in each round every member of a bucket meets one hub of it,
     the links found are contracted to components, and only buckets that still hold two components go on. After
-    HUB_ROUNDS rounds the remaining pairs of different components in a bucket are compared too, so that no
-    candidate is lost. A document without words (null or empty text) has n_shingles 0 and is its own component.
+    HUB_ROUNDS rounds, or once few are left, the remaining pairs of different components in a bucket are compared
+    too, so that no candidate is lost. A document without words (null or empty text) has n_shingles 0 and is its own component.
     Repeated rows and rows that share a doc_id count as documents of their own; a null doc_id takes part, and is
     never a component_id while another id can be reached. An empty table gives an empty result.
     """
@@ -165,11 +185,11 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool =
     sketch = scratch.keep(docs.select("doc_id", "tk", "text").mapInArrow(_sketched, SKETCH), "sketch")
     classes = scratch.keep(
         sketch.where("cls is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tk", "n_shingles", "sig")).alias("row"))
-        .select("cls", "least", "row.*"), "classes")
+            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tk", "n_shingles")).alias("row"),
+            F.first("sig").alias("sig"), F.first("bands").alias("bands"))  # alike in all rows of a class
+        .select("cls", "least", "row.*", "sig", "bands"), "classes")
     pairs = _Pairs(scratch, docs, classes, threshold_pct)
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)])
-    filed = classes.select("cls", F.explode(bands).alias("bucket"))
+    filed = classes.select("cls", F.explode("bands").alias("bucket"))
     hubs = filed.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("bucket", "hub")
     members = scratch.keep(filed.join(hubs, "bucket"), "members")
     labels: DataFrame | None = None
@@ -183,17 +203,24 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool =
                 F.min("root").alias("r0"), F.max("root").alias("r1"),
                 F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("h")).where("r0 <> r1")
             left = scratch.keep(at.join(spread.select("bucket", F.col("h.cls").alias("hub"), F.col("h.root").alias("hub_root")), "bucket"), f"left-{turn}")
-            if left.isEmpty():
+            sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+            if not sizes["n"]:
                 break
-            if turn <= HUB_ROUNDS:
+            last = turn > HUB_ROUNDS or sizes["pairs"] <= PAIRS_LEFT * sizes["n"]
+            if not last:
                 tried = left.where("root <> hub_root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
             else:
-                x = left.select("bucket", F.col("cls").alias("a"), F.col("root").alias("ra"))
-                y = left.select("bucket", F.col("cls").alias("b"), F.col("root").alias("rb"))
-                tried = x.join(y, "bucket").where("a < b and ra <> rb").select("a", "b")
+                signed = left.select("bucket", "cls", "root").join(classes.select("cls", "n_shingles", "sig"), "cls")
+                x, y = (signed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n_shingles", "sig")]) for side in "xy")
+                sized = f"100L * least(n_shingles_x, n_shingles_y) >= {threshold_pct}L * greatest(n_shingles_x, n_shingles_y)"
+                # the estimate is part of the join: pairs that do not look alike are never rows
+                fit = F.expr(f"cls_x < cls_y and root_x <> root_y and {sized} and {_alike('sig_x', 'sig_y')}")
+                tried = x.join(y, (x["bucket"] == y["bucket"]) & fit).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
             found = pairs.links(tried.distinct())
             if found is not None:
                 labels = _joined(scratch, labels, found, turn)
+            if last:
+                break
     top = classes.select("cls", "least", F.col("cls").alias("root"))
     if labels is not None:
         own = labels.select(F.col("node").alias("cls"), F.col("root").alias("found"))

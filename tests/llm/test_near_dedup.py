@@ -69,8 +69,10 @@ def test_large_group_of_near_copies(docs, edits):
     assert got(near_dedup.near_duplicates(docs(*rows))) == brute(rows)
 
 
-def test_final_round_alone(docs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+@pytest.mark.parametrize("hub_rounds, pairs_left", [(1, 8), (3, 0)])
+def test_rounds(docs, monkeypatch, hub_rounds, pairs_left):
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", hub_rounds)
+    monkeypatch.setattr(near_dedup, "PAIRS_LEFT", pairs_left)
     rows = near_copies(120, 8)
     assert got(near_dedup.near_duplicates(docs(*rows))) == brute(rows)
 
