@@ -24,15 +24,20 @@ def latest_files(files: DataFrame) -> DataFrame:
     )
 
 
+def _check_page(page: int, page_size: int) -> None:
+    if page < 1 or not 1 <= page_size <= 100:
+        raise ValueError("page starts at 1, page_size is 1 to 100")
+
+
 def list_contracts(
     contracts: DataFrame, files: DataFrame, status: str | None = None, page: int = 1, page_size: int = 20
 ) -> DataFrame:
     """One page of contracts, newest first, with the total and the latest file.
 
-    The page is cut before files are joined, so only its contracts' files are
-    aggregated.
+    A page holds 1 to 100 rows; other sizes are refused. The page is cut before
+    files are joined, so only its contracts' files are aggregated.
     """
-    page_size = min(page_size, 100)
+    _check_page(page, page_size)
     rows = contracts if status is None else contracts.filter(F.col("status") == status)
     total = rows.agg(F.expr("count(*) AS total")).scalar()
     shown = rows.orderBy(F.desc("created_at"), K).offset((page - 1) * page_size).limit(page_size)
@@ -47,6 +52,8 @@ def contract_detail(contracts: DataFrame, files: DataFrame, fields: DataFrame, v
     """Contracts with their files, fields and violations as arrays.
 
     Each list is aggregated on its own before the join, so lists never multiply.
+    A list is one cell by definition: all files, fields or violations of a
+    contract meet in it.
     """
     def gather(df: DataFrame, name: str) -> DataFrame:
         cols = ", ".join(c for c in df.columns if c != K)
@@ -69,18 +76,33 @@ def active_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def add_definitions(definitions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (definitions, refused rows); a taken key is refused, inactive keys count."""
-    keys = definitions.select("field_key")
+    """Returns (definitions, refused rows); a taken key is refused, inactive keys count.
+
+    Of new rows that share a key the first by ``sort_order`` is added, the others are refused.
+    """
+    keys = definitions.select("field_key").distinct().selectExpr("field_key", "true AS __taken")
+    order = [c for c in ("sort_order", *sorted(set(new.columns) - {"sort_order"})) if c in new.columns]
+    turn = f"row_number() OVER (PARTITION BY field_key ORDER BY {', '.join(order)}) AS __turn"
+    marked = new.selectExpr("*", turn).join(keys, "field_key", "left")
+    free = "__taken IS NULL AND (__turn = 1 OR field_key IS NULL)"
     return (
-        definitions.unionByName(new.join(keys, "field_key", "left_anti"), allowMissingColumns=True),
-        new.join(keys, "field_key", "left_semi"),
+        definitions.unionByName(marked.filter(free).select(*new.columns), allowMissingColumns=True),
+        marked.filter(f"NOT ({free})").select(*new.columns),
     )
 
 
 def update_definitions(definitions: DataFrame, patches: DataFrame) -> DataFrame:
-    """Partial update: ``set_cols`` names the columns a patch supplies, NULL included."""
+    """Partial update: ``set_cols`` names the columns a patch supplies, NULL included.
+
+    Several patches of a key are applied in the order of ``patched_at`` where there is one: each column takes
+    the value of the last patch that supplies it.
+    """
     changeable = [c for c in DEFINITION_COLUMNS if c != "field_key" and c in patches.columns]
-    patch = patches.selectExpr("field_key", "set_cols", *[f"{c} AS p_{c}" for c in changeable])
+    order = "patched_at" if "patched_at" in patches.columns else f"struct({', '.join(changeable)})"
+    last = [f"max_by({c}, {order}) FILTER (WHERE array_contains(set_cols, '{c}')) AS p_{c}" for c in changeable]
+    patch = patches.groupBy("field_key").agg(
+        F.expr("array_distinct(flatten(collect_list(set_cols))) AS set_cols"), *[F.expr(e) for e in last]
+    )
     swap = {
         c: f"CASE WHEN array_contains(set_cols, '{c}') THEN p_{c} ELSE {c} END AS {c}" for c in changeable
     }
@@ -122,7 +144,11 @@ def sync_definitions(definitions: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def search_definitions(definitions: DataFrame, query: str, page: int = 1, page_size: int = 20) -> DataFrame:
-    """Active definitions whose name or description contains the text, any case."""
+    """Active definitions whose name or description contains the text, any case.
+
+    A page holds 1 to 100 rows; other sizes are refused.
+    """
+    _check_page(page, page_size)
     text = F.lower(F.lit(query.strip()))
     hits = definitions.filter("is_active").filter(
         F.lower("field_name").contains(text) | F.lower(F.coalesce("description", F.lit(""))).contains(text)

@@ -35,8 +35,8 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` over ``keys`` ordered by (bucket, order).
 
-    ``bucket`` must rise with the order, so that a bucket is a contiguous run;
-    keys and bucket are never NULL (coalesce them where they may be).
+    ``bucket`` must rise with the order, so that a bucket is a contiguous run.
+    NULL keys are one key, a NULL bucket comes before all others.
     ``total`` optionally adds the row count of the key.
     """
     rows = df.selectExpr("*", f"{bucket} AS __b")
@@ -48,7 +48,7 @@ def number_rows(
         f"sum(__size) OVER ({per_key}) AS __total",
     )
     local = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {', '.join(part)} ORDER BY {order}) AS __local")
-    out = local.join(sizes, part)
+    out = null_safe_join(local, sizes, part)
     extra = [f"__total AS {total}"] if total else []
     return out.selectExpr(*df.columns, f"__local + __skip AS {name}", *extra)
 

@@ -72,6 +72,10 @@ def classify(spark, sf_dir):
     return docs.selectExpr("doc_id AS contract_id", f"{guess} AS g").select("contract_id", "g.contract_type", "g.confidence")
 
 
+# One sentence per contract type, as a caller would supply them.
+HINTS = {"service": "看服务做什么、怎样算完成。", "purchase": "看买什么、何时交付。", "lease": "看租什么、租多久。"}
+
+
 def classifier_samples(spark, sf_dir):
     docs = L.document_text(A.blocks(spark, sf_dir))
     return docs.selectExpr("contract_id", f"{L.classifier_sample('text')} AS sample")
@@ -82,23 +86,14 @@ def prompts(spark, sf_dir):
         "doc_id AS contract_id", "CASE doc_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'lease' WHEN 2 THEN 'unknown' END AS contract_type"
     )
     chunks = L.page_chunks(L.page_markdown(A.blocks(spark, sf_dir)))
-    return L.build_prompts(chunks, E.fields_for_type(docs, A.definitions(spark)), docs)
-
-
-def model_hook(spark, sf_dir):
-    """A stand-in model that reports the prompt length and refuses one chunk in some."""
-    chunks = L.page_chunks(L.page_markdown(A.blocks(spark, sf_dir)), 2, 1).withColumnRenamed("text", "prompt")
-
-    def measure(prompt: str) -> str:
-        if len(prompt) % 7 == 0:
-            raise ValueError("refused")
-        return str(len(prompt))
-
-    return L.infer(chunks, measure, attempts=1)
+    hints = spark.createDataFrame(list(HINTS.items()), "contract_type STRING, hint STRING")
+    return L.build_prompts(chunks, E.fields_for_type(docs, A.definitions(spark)), docs, hints)
 
 
 def inference_status(spark, sf_dir):
-    return L.inference_status(model_hook(spark, sf_dir))
+    """Answers by order line; every seventh of an order's parts failed."""
+    failed = "CASE WHEN l_partkey % 7 = 0 THEN 'timeout' END AS error"
+    return L.inference_status(A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS contract_id", failed))
 
 
 def reading_order(spark, sf_dir):
@@ -116,7 +111,7 @@ QUERIES = {
     "document_text": document_text, "document_markdown": document_markdown, "load_pages": load_pages, "titles": titles,
     "page_counts": page_counts, "keyword_contexts": keyword_contexts, "ocr_diagnostics": ocr_diagnostics,
     "page_chunks": page_chunks, "markdown_chunks": markdown_chunks, "classify": classify,
-    "classifier_samples": classifier_samples, "prompts": prompts, "model_hook": model_hook,
+    "classifier_samples": classifier_samples, "prompts": prompts,
     "inference_status": inference_status, "reading_order": reading_order,
 }
 
@@ -144,7 +139,7 @@ _CTX = f"""WITH docs AS (SELECT doc_id AS contract_id, {_PARTIES} AS text FROM d
  cut AS (SELECT contract_id, keyword, substring(text, greatest(1, hit - 80), hit + length(keyword) + 120 - greatest(1, hit - 80)) AS t FROM hits WHERE hit > 0),
  flat AS (SELECT contract_id, keyword, regexp_replace({strip_sql('t')}, '\\s+', ' ', 'g') AS t FROM cut)"""
 
-_HINTS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.TYPE_HINTS.items())
+_HINTS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in HINTS.items())
 
 ORACLES = {
     "document_text": f"{_TEXT} SELECT * FROM doc",
@@ -167,7 +162,7 @@ ORACLES = {
     "classify": """SELECT doc_id AS contract_id,
         CASE doc_id % 6 WHEN 0 THEN 'service' WHEN 1 THEN 'purchase' WHEN 2 THEN 'lease' WHEN 3 THEN 'service' ELSE 'sale' END AS contract_type,
         CASE doc_id % 6 WHEN 0 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 WHEN 3 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM documents""",
-    "classifier_samples": f"{_TEXT} SELECT contract_id, left(text, 2000) AS sample FROM doc",
+    "classifier_samples": f"{_TEXT} SELECT contract_id, text AS sample FROM doc",
     "prompts": f"""{_chunks(6, 5)}, defs AS (SELECT * FROM {A.definitions_sql()}),
      c AS (SELECT doc_id AS contract_id, CASE doc_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'lease' WHEN 2 THEN 'unknown' END AS t FROM documents),
      deflines AS (SELECT c.contract_id, any_value(c.t) AS t, string_agg(concat('- field_key=', field_key, '；field_name=', field_name, '；value_type=', value_type,
@@ -175,11 +170,8 @@ ORACLES = {
          (coalesce(c.t, 'unknown') = 'unknown' OR d.contract_type IS NULL OR d.contract_type = c.t) GROUP BY c.contract_id)
      SELECT ch.contract_id, chunk_no, concat_ws(concat(chr(10), chr(10)), '合同类型参考：' || CASE t {_HINTS} END,
        '需要抽取的字段：', field_lines, '下面是合同全文：', text) AS prompt FROM chunks ch JOIN deflines l ON l.contract_id = ch.contract_id""",
-    "model_hook": f"""{_chunks(2, 1)} SELECT contract_id, chunk_no,
-        CASE WHEN length(text) % 7 <> 0 THEN CAST(length(text) AS VARCHAR) END AS raw,
-        CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM chunks""",
-    "inference_status": f"""{_chunks(2, 1)} SELECT contract_id, count(*) AS chunks,
-        count(*) FILTER (WHERE length(text) % 7 = 0) AS failed_chunks, bool_or(length(text) % 7 <> 0) AS ok FROM chunks GROUP BY contract_id""",
+    "inference_status": """SELECT l_orderkey AS contract_id, count(*) AS chunks, count(*) FILTER (WHERE l_partkey % 7 = 0) AS failed_chunks,
+        bool_or(l_partkey % 7 <> 0) AS ok FROM lineitem GROUP BY l_orderkey""",
     "reading_order": f"""{BLOCKS} SELECT contract_id, page_no, CAST(row_number() OVER (PARTITION BY contract_id, page_no
         ORDER BY coalesce(y1, 0), coalesce(x1, 0), (sort_order * 7) % 23) AS INT) AS sort_order, text FROM blocks""",
 }

@@ -77,10 +77,13 @@ def validate_batch(files: DataFrame) -> DataFrame:
     """First reason to refuse each file of an upload batch (NULL: accepted).
 
     A batch holds at most five files; images stay under 5 MB, other files
-    under 60 MB. The batch size is a mergeable count joined back, not a window.
+    under 60 MB. Files without a batch count as one batch. The batch size is a
+    mergeable count joined back, not a window.
     """
     from pyspark.sql import functions as F
 
+    from clauseloom.operators.ordered import null_safe_join
+
     sizes = files.groupBy("batch_id").agg(F.expr("count(*) AS n_files"))
     ext = file_extension("file_name")
     image = f"{ext} IN {_in(IMAGE_TYPES)}"
@@ -90,4 +93,4 @@ def validate_batch(files: DataFrame) -> DataFrame:
         f"CASE WHEN n_files > {BATCH_FILES} THEN 'too_many_files' WHEN {ext} NOT IN {_in(BATCH_ALLOWED)} THEN 'unsupported_type' "
         f"WHEN file_size > CASE WHEN {image} THEN {5 * MB} ELSE {60 * MB} END THEN 'too_large' END AS reason"
     )
-    return files.join(sizes, "batch_id").selectExpr(*files.columns, "n_files", reason)
+    return null_safe_join(files, sizes, ["batch_id"]).selectExpr(*files.columns, "n_files", reason)

@@ -22,12 +22,14 @@ K = "contract_id"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors must share.
 
-    Only where none is configured (tests, local runs) a temporary one is made.
+    Only a session that runs in one process (a local master) may go without the setting; it gets a temp folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -35,7 +37,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
 def read_responses(spark: SparkSession, path: str, kind: str = "ocr") -> DataFrame:
     """Response files (JSON lines) as a stream, every file taken up once."""
     schema = OCR_RESPONSES if kind == "ocr" else MODEL_RESPONSES
-    return spark.readStream.schema(schema).json(path)
+    return spark.readStream.schema(schema).json(path).select("*", "_metadata.file_modification_time")
+
+
+def newest_responses(rows: DataFrame) -> DataFrame:
+    """Of several responses for a page of a contract the one of the newest file; between equal times the greater text."""
+    at = "struct(file_modification_time, body)" if "file_modification_time" in rows.columns else "body"
+    whole = F.expr(f"max_by(struct(*), {at}) AS r")
+    return rows.groupBy(K, "page_no").agg(whole).select("r.*").drop("file_modification_time")
 
 
 def _run(stream: DataFrame, handle, folder: str, mode: str = "append") -> StreamingQuery:
@@ -51,7 +60,7 @@ def ingest_blocks(responses: DataFrame, folder: str) -> StreamingQuery:
     def handle(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         try:
-            tables.write_batch(batch.ingest(rows).blocks, rows, f"{folder}/blocks", batch_id)
+            tables.write_batch(batch.ingest(newest_responses(rows)).blocks, rows, f"{folder}/blocks", batch_id)
         finally:
             rows.unpersist()
 
