@@ -33,6 +33,28 @@ def terms_of(text: str | None) -> dict[str, int]:
     return out
 
 
+class Terms:
+    """Finds the kept terms of whole texts; what a word stands for is remembered, up to a million words."""
+
+    def __init__(self, terms: list[str]):
+        self.number, self.known = {t: i for i, t in enumerate(terms)}, {}
+
+    def __reduce__(self):
+        return Terms, (sorted(self.number, key=self.number.get),)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        known, number, out = self.known, self.number, {}
+        if len(known) > 1_000_000:
+            known.clear()
+        for word in _WORD.findall((text or "").lower()):
+            held = known.get(word)
+            if held is None:
+                held = known[word] = tuple(number[t] for t in {word, word[:4], word[:5], word[:6]} if t in number)
+            for k in held:
+                out[k] = out.get(k, 0) + 1
+        return out
+
+
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, found = [], []
@@ -43,9 +65,9 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], ["toxic", "term"])
 
 
-def vector(text: str | None, number: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term, weight) of a whole text over the kept terms, of unit length; nothing if none occurs."""
-    tf = {number[t]: n for t, n in terms_of(text).items() if t in number}
+    tf = terms.counts(text)
     at = np.array(sorted(tf), np.int64)
     x = np.array([1 + np.log(tf[k]) for k in at.tolist()]) * idf[at] if len(at) else np.empty(0)
     return at, x / np.sqrt(x @ x) if len(at) else x
@@ -58,7 +80,7 @@ class BlockMaxIndex:
     n_terms: int
     rows: list[tuple[np.ndarray, np.ndarray]]
     block: int = BLOCK
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self):
         posted: list[list[tuple[int, float]]] = [[] for _ in range(self.n_terms)]
@@ -70,35 +92,39 @@ class BlockMaxIndex:
             weights = np.array([v for _, v in own])
             blocks, starts = np.unique(ids // self.block, return_index=True)
             best = np.maximum.reduceat(weights, starts) if len(own) else weights
-            self.lists.append((blocks, np.r_[starts, len(own)], best, np.stack([ids, weights]) if len(own) else np.empty((2, 0))))
+            self.lists.append((ids, weights, ids // self.block, blocks, best))
+
+    def _sums(self, at: list[int], x: list[float], open_blocks: np.ndarray) -> np.ndarray:
+        """Scores of the examples in the open blocks; the postings of all others are passed over."""
+        sums = np.zeros(len(self.rows))
+        for t, q in zip(at, x, strict=True):
+            ids, weights, own, _, _ = self.lists[t]
+            some = open_blocks[own]
+            sums[ids[some]] += q * weights[some]
+        return sums
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The exact k nearest examples by cosine above 0: most similar first, ties to the smaller number."""
-        n_blocks = -(-len(self.rows) // self.block)
-        bound = np.zeros(n_blocks)
-        for t, q in zip(at.tolist(), x.tolist(), strict=True):
-            blocks, _, best, _ = self.lists[t]
-            bound[blocks] += q * best
-        order = np.argsort(-bound, kind="stable")
-        ids, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for i in range(0, n_blocks, 8):  # eight blocks at a time, the most promising first
-            part = order[i : i + 8]
-            part = part[(bound[part] > 0) & (bound[part] >= least - 1e-12)]
-            if not len(part):
+        """The exact k nearest examples by cosine above 0: most similar first, ties to the smaller number.
+
+        The blocks of the largest bounds are scored first; their k-th best score closes all blocks whose bound is less.
+        """
+        at, x = at.tolist(), x.tolist()
+        bound = np.zeros(-(-len(self.rows) // self.block))
+        for t, q in zip(at, x, strict=True):
+            bound[self.lists[t][3]] += q * self.lists[t][4]
+        ids, scores, least, closed = np.empty(0, np.int64), np.empty(0), 0.0, bound <= 0
+        for some in (max(8, 2 * k // self.block), len(bound)):
+            left = np.where(closed | (bound < least - 1e-12), -1.0, bound)
+            chosen = np.zeros(len(bound), bool)
+            chosen[np.argsort(-left, kind="stable")[:some]] = True
+            chosen &= left > 0
+            if not chosen.any():
                 break
-            sums = np.zeros((len(part), self.block))
-            for t, q in zip(at.tolist(), x.tolist(), strict=True):
-                blocks, starts, _, own = self.lists[t]
-                if not len(blocks):
-                    continue
-                where = np.minimum(np.searchsorted(blocks, part), len(blocks) - 1)
-                for row in np.flatnonzero(blocks[where] == part):
-                    span = slice(starts[where[row]], starts[where[row] + 1])
-                    sums[row, own[0, span].astype(np.int64) - part[row] * self.block] += q * own[1, span]
-            row, col = np.nonzero(sums)
-            found = part[row] * self.block + col
-            keep = found != skip
-            ids, scores = np.r_[ids, found[keep]], np.r_[scores, sums[row, col][keep]]
+            closed |= chosen
+            sums = self._sums(at, x, chosen)
+            found = np.flatnonzero(sums)
+            found = found[found != skip]
+            ids, scores = np.r_[ids, found], np.r_[scores, sums[found]]
             best = np.lexsort((ids, -np.round(scores, 12)))[:k]
             ids, scores = ids[best], scores[best]
             least = scores[-1] if len(ids) == k else 0.0
@@ -118,7 +144,7 @@ class Model:
     base: float = 0.0
 
     def __post_init__(self):
-        self.number = {t: i for i, t in enumerate(self.terms)}
+        self.finder = Terms(self.terms)
 
     def votes(self, at: np.ndarray, x: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic votes, weighted by nearness and by how many documents an example stands for."""
@@ -128,7 +154,7 @@ class Model:
         return float((w @ self.toxic[ids] + self.base) / (w.sum() + 1)), ids, cosine
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        at, x = vector(text, self.number, self.idf)
+        at, x = vector(text, self.finder, self.idf)
         if not len(at):
             return self.calibrated(self.base), [], []
         share, ids, cosine = self.votes(at, x)
@@ -179,13 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
         ratio = ratio + F.expr(f"CASE WHEN ({got}) > 0 AND ({expected}) > 0 THEN 2 * ({got}) * ln(({got}) / ({expected})) ELSE 0D END")
     best = seen.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS)
     terms = sorted(r["term"] for r in best.select("term").collect())
-    number = {t: i for i, t in enumerate(terms)}
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(terms), np.int64), 0
+        total, n, finder = np.zeros(len(terms), np.int64), 0, Terms(terms)
         for batch in batches:
             for text in batch.column(0):
-                total[[k for k in map(number.get, terms_of(text.as_py())) if k is not None]] += 1
+                total[list(finder.counts(text.as_py()))] += 1
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms), dtype=np.int32)), pa.array(np.r_[n, total])], ["k", "n"])
 
@@ -194,8 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Terms(terms)
         for batch in batches:
-            rows = [vector(text.as_py(), number, idf) for text in batch.column(2)]
+            rows = [vector(text.as_py(), finder, idf) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([a for a, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.float64()))],
                 ["doc_id", "toxic", "at", "x"])
