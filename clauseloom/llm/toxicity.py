@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.shared import ship
+from clauseloom.llm import near_dedup
+from clauseloom.llm.shared import Scratch, ship
 
 #: Labelled examples of each class, as expected numbers, drawn by a hash of the doc_id.
 EXAMPLES = {1: 4000, 0: 8000}
-#: Terms kept for TF-IDF, and the log-likelihood ratio against the labels that a term needs.
-TERMS, LEAST_RATIO = 1024, 12.0
+#: Terms kept for TF-IDF, of those whose log-likelihood ratio against the labels is more than chance gives one of all
+#: terms tried; and how many examples a term needs.
+TERMS, LEAST_EXAMPLES = 1024, 3
 #: Neighbours that vote, and examples in a block of an inverted list.
 NEIGHBOURS, BLOCK = 25, 64
 
@@ -33,6 +35,21 @@ def terms_of(text: str | None) -> dict[str, int]:
     return out
 
 
+COPY_KEYS = ("k0", "k1", "k2")
+
+
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds three pairs of hash minima over the shingles, of which near copies share one almost surely; texts without
+    words have keys of their own."""
+    for batch in batches:
+        keys = []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            names = near_dedup.shingles(text.as_py())
+            keys.append(near_dedup.minima(names)[:6].view(np.int64) if len(names) else np.full(3, doc))
+        columns = np.array(keys, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in columns]], ["doc_id", "toxic", "text", *COPY_KEYS])
+
+
 class Terms:
     """Finds the kept terms of whole texts; what a word stands for is remembered, up to a million words."""
 
@@ -194,16 +211,24 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     share = F.when(F.col("toxic") == 1, min(1.0, want[1] / max(1, sizes.get(1, 0)))).otherwise(min(1.0, want[0] / max(1, sizes.get(0, 0))))
     drawn = known.where(draw < share)  # bounded by ``examples``
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+    # one of several near copies: words they happen to share are no evidence
+    sample = sample.mapInArrow(_copy_keys, "doc_id long, toxic int, text string, k0 long, k1 long, k2 long")
+    for key in COPY_KEYS:
+        sample = sample.dropDuplicates(["toxic", key])
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.keep(sample.drop(*COPY_KEYS), "examples")
     of_class = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = of_class.get(1, 0), of_class.get(0, 0)
     if not n1 + n0:
         return None
     seen = sample.select("toxic", "text").mapInArrow(_example_terms, "toxic int, term string")
-    seen = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where("n >= 3")
+    seen = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_EXAMPLES)
+    seen = scratch.keep(seen, "terms")
+    least = 2 * np.log(max(1, seen.count())) + 2  # the ratio of a chance term exceeds x with a chance of about exp(-x / 2)
     rate, ratio = n1 / (n1 + n0), F.lit(0.0)
     for got, expected in (("a", f"n * {rate!r}D"), ("n - a", f"n * {1 - rate!r}D"), (f"{n1} - a", f"({n1 + n0} - n) * {rate!r}D"), (f"{n0} - (n - a)", f"({n1 + n0} - n) * {1 - rate!r}D")):
         ratio = ratio + F.expr(f"CASE WHEN ({got}) > 0 AND ({expected}) > 0 THEN 2 * ({got}) * ln(({got}) / ({expected})) ELSE 0D END")
-    best = seen.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    best = seen.withColumn("ratio", ratio).where(F.col("ratio") >= float(least)).orderBy(F.desc("ratio"), "term").limit(TERMS)
     terms = sorted(r["term"] for r in best.select("term").collect())
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
