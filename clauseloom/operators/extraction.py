@@ -11,15 +11,13 @@ from clauseloom.functions.text import has_content, regex, snippet, strip
 K = "contract_id"
 
 
-def _valid(json: str) -> str:
-    return f"try_parse_json({json}) IS NOT NULL"
-
-
-def recover_json(responses: DataFrame, raw: str = "raw", name: str = "json") -> DataFrame:
+def recover_json(responses: DataFrame, raw: str = "raw", name: str = "json", parsed: str | None = None) -> DataFrame:
     """Add the JSON text found in a raw model answer, NULL when none is valid.
 
     Tried in order: the whole text when it starts an object, the first fenced
-    block, the span from the first opening to the last closing brace.
+    block, the span from the first opening to the last closing brace. Each is
+    parsed once, and only where those before failed; ``parsed`` names a column
+    to keep the parsed variant in.
     """
     text = strip(raw)
     fence = regex(r"(?s)```(?:json)?\s*\n?(.*?)\n?```")
@@ -33,68 +31,78 @@ def recover_json(responses: DataFrame, raw: str = "raw", name: str = "json") ->
         f"CASE WHEN __t RLIKE {fence} THEN {strip(f'regexp_extract(__t, {fence}, 1)')} END AS __fenced",
         f"CASE WHEN {first} > 0 AND {last} > {first} THEN substring(__t, {first}, {last} - {first} + 1) END AS __braces",
     )
+    rows = rows.selectExpr("*", "try_parse_json(__whole) AS __v1")
+    rows = rows.selectExpr("*", "CASE WHEN __v1 IS NULL THEN try_parse_json(__fenced) END AS __v2")
+    rows = rows.selectExpr("*", "CASE WHEN __v1 IS NULL AND __v2 IS NULL THEN try_parse_json(__braces) END AS __v3")
     found = (
-        f"CASE WHEN {_valid('__whole')} THEN __whole WHEN {_valid('__fenced')} THEN __fenced "
-        f"WHEN {_valid('__braces')} THEN __braces END AS {name}"
+        "CASE WHEN __v1 IS NOT NULL THEN __whole WHEN __v2 IS NOT NULL THEN __fenced "
+        f"WHEN __v3 IS NOT NULL THEN __braces END AS {name}"
     )
-    return rows.selectExpr(*own, found)
+    return rows.selectExpr(*own, found, *([f"coalesce(__v1, __v2, __v3) AS {parsed}"] if parsed else []))
 
 
-_FIELD = (
-    "STRUCT<field_key: STRING, field_name: STRING, field_value: STRING, value: STRING, source_text: STRING, "
-    "source_page: INT, source_bbox: ARRAY<DOUBLE>, confidence: DOUBLE>"
-)
-# A typed parse turns every scalar to text, so answers where the JSON type
-# decides are told apart first: keys that are no text, booleans, confidences
-# that are no number, and an explicit null next to the alias.
-_TYPE_SENSITIVE = (
-    r'"field_key"\s*:\s*[^"\s]|"(?:field_value|value)"\s*:\s*[tf]|"confidence"\s*:\s*[^0-9.\s-]|"value"\s*:'
-)
+_MEMBERS = ("field_key", "field_name", "field_value", "value", "source_text", "source_page", "source_bbox", "confidence")
 
 
-def _members(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'MAP<STRING, VARIANT>')"
+def _kind(v: str) -> str:
+    """JSON type of a variant: NULL where it is missing, 'VOID' for null."""
+    return f"schema_of_variant({v})"
 
 
-def _typed_items() -> str:
-    """Fields of an answer read with a fixed schema."""
-    item = (
-        "struct(f.field_key, f.field_name, f.field_value AS value, f.source_text, f.source_page, f.source_bbox, "
-        "coalesce(f.confidence, 0.8D) AS confidence)"
+def _number(v: str) -> str:
+    """The number a variant stands for: a number, a text of one, or a boolean as 0 or 1; else NULL."""
+    return (
+        f"CASE WHEN {_kind(v)} = 'BOOLEAN' THEN CAST(try_variant_get({v}, '$', 'BOOLEAN') AS DOUBLE) "
+        f"WHEN {_kind(v)} = 'STRING' THEN try_cast(trim(try_variant_get({v}, '$', 'STRING')) AS DOUBLE) "
+        f"WHEN {_kind(v)} <> 'VOID' THEN try_variant_get({v}, '$', 'DOUBLE') END"
     )
-    return f"transform(j.fields, f -> {item})"
 
 
-def _variant_items() -> str:
-    """The same with the JSON type of each member in view, and for top-level field maps."""
-    names = ("field_key", "field_value", "value", "source_text")
-    field_like = " OR ".join(f"map_contains_key({_members('t.value')}, '{k}')" for k in names)
+def _absent(v: str) -> str:
+    return f"coalesce({_kind(v)} = 'VOID', true)"
+
+
+def _items() -> str:
+    """Candidates of an answer as structs of variants, one for each member, with the key they stand under."""
+    get = ", ".join(f"try_variant_get(x.value, '$.{m}', 'VARIANT') AS {m}" for m in _MEMBERS)
+    members = "try_variant_get(v, '$', 'MAP<STRING, VARIANT>')"
+    field_like = " OR ".join(
+        f"try_variant_get(t.value, '$.{k}', 'VARIANT') IS NOT NULL" for k in ("field_key", "field_value", "value", "source_text")
+    )
     # a variant sorts its members, so the written order comes from the text
     keys = "map_keys(from_json(json, 'MAP<STRING, STRING>'))"
     mapped = (
-        f"filter(transform({keys}, k -> struct(k AS key, element_at(top, k) AS value)), "
+        f"filter(transform({keys}, k -> struct(k AS key, element_at({members}, k) AS value)), "
         "t -> t.key NOT IN ('fields', 'contract_type', 'contract_type_confidence') "
-        f"AND coalesce({field_like}, false))"
+        f"AND coalesce(schema_of_variant(t.value) LIKE 'OBJECT%' AND ({field_like}), false))"
     )
     listed = "transform(listed, x -> struct(CAST(NULL AS STRING) AS key, x AS value))"
-    m = _members("x.value")
-    get = lambda key, kind: f"try_variant_get(x.value, '$.{key}', '{kind}')"
-    fv = f"CASE WHEN map_contains_key({m}, 'field_value') THEN {get('field_value', 'VARIANT')} ELSE {get('value', 'VARIANT')} END"
-    value = (
-        f"CASE schema_of_variant({fv}) WHEN 'VOID' THEN NULL WHEN 'BOOLEAN' THEN initcap(CAST({fv} AS STRING)) "
-        f"ELSE CAST({fv} AS STRING) END"
+    whole = "coalesce(schema_of_variant(x.value) LIKE 'OBJECT%', false) AS is_object"
+    return f"transform(CASE WHEN size(listed) > 0 THEN {listed} ELSE {mapped} END, x -> struct(x.key AS key, {whole}, {get}))"
+
+
+def _field() -> str:
+    """One field of a candidate ``m``; ``ok`` tells whether every member has a type it may have."""
+    value = "CASE WHEN m.field_value IS NOT NULL THEN m.field_value ELSE m.value END"
+    shown = (
+        f"CASE {_kind(value)} WHEN 'VOID' THEN NULL WHEN 'BOOLEAN' THEN initcap(CAST({value} AS STRING)) "
+        f"ELSE CAST({value} AS STRING) END"
     )
-    field_key = (
-        f"CASE WHEN NOT map_contains_key({m}, 'field_key') THEN x.key "
-        f"WHEN schema_of_variant({get('field_key', 'VARIANT')}) = 'STRING' THEN {get('field_key', 'STRING')} END"
+    text = lambda k: f"CASE WHEN {_kind(f'm.{k}')} = 'STRING' THEN CAST(m.{k} AS STRING) END"
+    key = f"CASE WHEN m.field_key IS NULL THEN m.key ELSE {text('field_key')} END"
+    page, box = _number("m.source_page"), "try_variant_get(m.source_bbox, '$', 'ARRAY<VARIANT>')"
+    corners = f"transform({box}, e -> {_number('e')})"
+    sure = f"CASE WHEN m.confidence IS NULL THEN 0.8D ELSE {_number('m.confidence')} END"
+    texts = " AND ".join(f"coalesce({_kind(f'm.{k}')} IN ('VOID', 'STRING'), true)" for k in ("field_name", "source_text"))
+    ok = (
+        f"m.is_object AND {key} IS NOT NULL AND {texts} "
+        f"AND ({_absent('m.source_page')} OR coalesce({page} = floor({page}) AND abs({page}) < 2147483648, false)) "
+        f"AND ({_absent('m.source_bbox')} OR coalesce(forall({corners}, c -> c IS NOT NULL), false)) AND {sure} IS NOT NULL"
     )
-    item = (
-        f"struct({field_key} AS field_key, {get('field_name', 'STRING')} AS field_name, {value} AS value, "
-        f"{get('source_text', 'STRING')} AS source_text, {get('source_page', 'INT')} AS source_page, "
-        f"{get('source_bbox', 'ARRAY<DOUBLE>')} AS source_bbox, "
-        f"CASE WHEN map_contains_key({m}, 'confidence') THEN {get('confidence', 'DOUBLE')} ELSE 0.8D END AS confidence)"
+    return (
+        f"struct({key} AS field_key, {text('field_name')} AS field_name, {shown} AS value, {text('source_text')} AS source_text, "
+        f"try_cast({page} AS INT) AS source_page, {corners} AS source_bbox, {sure} AS confidence, {ok} AS ok)"
     )
-    return f"transform(CASE WHEN size(listed) > 0 THEN {listed} ELSE {mapped} END, x -> {item})"
 
 
 def explode_fields(responses: DataFrame) -> DataFrame:
@@ -102,25 +110,24 @@ def explode_fields(responses: DataFrame) -> DataFrame:
 
     Fields come from the ``fields`` array, or, when that is empty, from
     top-level keys whose object looks like a field; the key then defaults to
-    the map key. A field without a text key, or with a confidence that is not
-    a number, rejects its whole answer. Everything happens inside the answer's
-    own row; there is no shuffle.
+    the map key. Every answer is parsed once and read by the same rules:
+
+    * a key must be text; a name and a source text are text or null;
+    * a page is a whole number, a box a list of numbers and a confidence a
+      number, where texts of numbers and booleans count as numbers;
+    * the answer's own type is text or null, its confidence a number.
+
+    A field or answer that breaks a rule rejects its whole answer. Everything
+    happens inside the answer's own row; there is no shuffle.
     """
-    schema = f"STRUCT<fields: ARRAY<{_FIELD}>>"
-    rows = recover_json(responses).selectExpr(
-        K, "chunk_no", "json", f"from_json(json, '{schema}') AS j", f"json RLIKE {regex(_TYPE_SENSITIVE)} AS sensitive"
-    )
-    rows = rows.selectExpr(K, "chunk_no", "json", "j", "sensitive OR coalesce(size(j.fields), 0) <= 0 AS by_type")
-    rows = rows.selectExpr(
-        K, "chunk_no", "json", "j", "by_type", "CASE WHEN by_type THEN try_parse_json(json) END AS v"
-    ).selectExpr(
-        K, "chunk_no", "json", "j", "by_type", "try_variant_get(v, '$.fields', 'ARRAY<VARIANT>') AS listed",
-        f"{_members('v')} AS top",
-    )
-    items = rows.selectExpr(
-        K, "chunk_no", f"CASE WHEN by_type THEN {_variant_items()} ELSE {_typed_items()} END AS items"
+    rows = recover_json(responses, parsed="v").selectExpr(
+        K, "chunk_no", "json", "v", "try_variant_get(v, '$.fields', 'ARRAY<VARIANT>') AS listed",
+        "try_variant_get(v, '$.contract_type', 'VARIANT') AS t", "try_variant_get(v, '$.contract_type_confidence', 'VARIANT') AS s",
     )
-    whole = "CASE WHEN NOT exists(items, x -> x.field_key IS NULL OR x.confidence IS NULL) THEN items END"
+    typed = f"coalesce({_kind('t')} IN ('VOID', 'STRING'), true) AND (s IS NULL OR {_number('s')} IS NOT NULL)"
+    found = rows.selectExpr(K, "chunk_no", f"CASE WHEN {typed} THEN {_items()} END AS found")
+    items = found.selectExpr(K, "chunk_no", f"transform(found, m -> {_field()}) AS items")
+    whole = "CASE WHEN forall(items, x -> x.ok) THEN items END"
     return items.selectExpr(K, "chunk_no", f"posexplode({whole}) AS (pos, f)").selectExpr(
         K, "chunk_no", "pos", "f.field_key", "f.field_name", "f.value", "f.source_text", "f.source_page",
         "f.source_bbox", "f.confidence",
@@ -129,7 +136,7 @@ def explode_fields(responses: DataFrame) -> DataFrame:
 
 def response_types(responses: DataFrame) -> DataFrame:
     """Contract type each readable answer reports for itself."""
-    rows = recover_json(responses).filter("json IS NOT NULL").selectExpr(K, "chunk_no", "try_parse_json(json) AS v")
+    rows = recover_json(responses, parsed="v").filter("json IS NOT NULL").select(K, "chunk_no", "v")
     return rows.selectExpr(
         K, "chunk_no", "try_variant_get(v, '$.contract_type', 'STRING') AS contract_type",
         "coalesce(try_variant_get(v, '$.contract_type_confidence', 'DOUBLE'), 0D) AS contract_type_confidence",

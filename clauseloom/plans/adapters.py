@@ -158,11 +158,16 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model answers built from the fields, in five wrappings by contract."""
-    element = (
-        "to_json(struct(field_key, value AS field_value, source_text, source_page, confidence), "
-        "map('ignoreNullFields', 'false'))"
+    """Raw model answers built from the fields, in five wrappings by contract.
+
+    Pages come as numbers, texts and numbers with a point; boxes mix numbers and texts of numbers.
+    """
+    plain_members = (
+        "to_json(struct(field_key, value AS field_value, source_text, confidence), map('ignoreNullFields', 'false'))"
     )
+    page = "CASE pos % 3 WHEN 0 THEN CAST(source_page AS STRING) WHEN 1 THEN concat('\"', source_page, '\"') ELSE concat(source_page, '.0') END"
+    box = "concat('[', pos, ',\"', pos + 1, '\",', pos, '.5,', pos + 4, ']')"
+    element = f"concat(rtrim('}}', {plain_members}), ',\"source_page\":', {page}, ',\"source_bbox\":', {box}, '}}')"
     packed = answered(spark, sf_dir).selectExpr(
         "contract_id", "chunk_no", "pos", "field_key", f"{element} AS j"
     ).groupBy("contract_id", "chunk_no").agg(F.expr("array_sort(collect_list(struct(pos, field_key, j))) AS items"))

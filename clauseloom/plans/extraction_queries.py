@@ -15,12 +15,16 @@ REQUESTED = ["party-a-name", "party-b-name", "contract-amount", "sign-date", "ef
 
 def recover_json(spark, sf_dir):
     out = E.recover_json(A.model_responses(spark, sf_dir))
-    return out.selectExpr("contract_id", "chunk_no", "json IS NOT NULL AS found", "coalesce(left(json, 1), '') AS opens")
+    return out.selectExpr(
+        "contract_id", "chunk_no", "json IS NOT NULL AS found", "coalesce(left(json, 1), '') AS opens",
+        "coalesce(right(json, 1), '') AS closes", "coalesce(length(json) - length(replace(json, 'field_key', '')), 0) DIV 9 AS fields",
+    )
 
 
 def explode_fields(spark, sf_dir):
     return E.explode_fields(A.model_responses(spark, sf_dir)).select(
-        "contract_id", "chunk_no", "pos", "field_key", "value", "source_text", "source_page", "confidence"
+        "contract_id", "chunk_no", "pos", "field_key", "value", "source_text", "source_page", "confidence",
+        F.expr("source_bbox[1] AS y1"), F.expr("source_bbox[2] AS x2"),
     )
 
 
@@ -223,10 +227,13 @@ ORACLES = {
     "extract_contracts": f"""{_TRACE} SELECT t.contract_id, CAST(23 AS BIGINT) AS n_fields, count(f.x1) AS located, CAST(23 AS BIGINT) AS n_findings,
         'sale' AS contract_type FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key
         WHERE t.field_key = 'f1' GROUP BY t.contract_id""",
-    "recover_json": """SELECT o_orderkey AS contract_id, c.chunk_no, o_orderkey % 5 <> 4 AS found,
-        CASE WHEN o_orderkey % 5 <> 4 THEN '{' ELSE '' END AS opens FROM orders, (VALUES (0), (1)) AS c(chunk_no)""",
+    "recover_json": f"""{_ANSWERED}, n AS (SELECT contract_id, chunk_no, count(*) AS fields FROM readable GROUP BY ALL)
+        SELECT o_orderkey AS contract_id, c.chunk_no, o_orderkey % 5 <> 4 AS found, CASE WHEN o_orderkey % 5 <> 4 THEN '{{' ELSE '' END AS opens,
+          CASE WHEN o_orderkey % 5 <> 4 THEN '}}' ELSE '' END AS closes, coalesce(n.fields, 0) AS fields
+        FROM orders CROSS JOIN (VALUES (0), (1)) AS c(chunk_no) LEFT JOIN n ON n.contract_id = o_orderkey AND n.chunk_no = c.chunk_no""",
     "explode_fields": f"""{_ANSWERED} SELECT contract_id, chunk_no, CAST(row_number() OVER (PARTITION BY contract_id, chunk_no
-        ORDER BY pos) - 1 AS INT) AS pos, field_key, value, source_text, source_page, confidence FROM readable""",
+        ORDER BY pos) - 1 AS INT) AS pos, field_key, value, source_text, source_page, confidence,
+        CAST(readable.pos + 1 AS DOUBLE) AS y1, readable.pos + CAST(0.5 AS DOUBLE) AS x2 FROM readable""",
     "type_fields": f"""{_ANSWERED}, {_DEFS} SELECT contract_id, chunk_no, r.field_key, d.field_name, value, d.value_type,
         source_page AS page_no, confidence FROM readable r JOIN defs d ON d.field_key = r.field_key""",
     "unrequested_fields": f"""{_ANSWERED}, {_DEFS} SELECT field_key, count(*) AS n FROM readable

@@ -157,3 +157,29 @@ def test_whole_batch(make, spark):
     assert {r.contract_id: r.contract_type for r in out.types.collect()}["c"] == "lease"
     keys = [(r.contract_id, r.rule_key, r.field_key) for r in out.violations.collect() if r.rule_key == "required_fields"]
     assert keys == [("c", "required_fields", "party-b-name")]
+
+
+def test_one_set_of_rules_for_all_answers(answers):
+    """The same field reads alike whatever its siblings look like."""
+    field = {"field_key": "k", "value": "v", "source_page": "3", "source_bbox": ["1", "2", 3, 4.5], "confidence": "0.5"}
+    boolean = {"field_key": "b", "field_value": True, "source_page": 3.0, "field_name": None}
+    docs = [{"fields": [field]}, {"fields": [field, boolean]}]
+    got = E.explode_fields(answers(*[json.dumps(d) for d in docs])).filter("field_key = 'k'").collect()
+    assert [(r.source_page, r.source_bbox, r.confidence) for r in got] == [(3, [1.0, 2.0, 3.0, 4.5], 0.5)] * 2
+    assert [r.source_page for r in E.explode_fields(answers(json.dumps(docs[1]))).collect()] == [3, 3]
+
+
+@pytest.mark.parametrize("broken", [
+    {"source_page": 3.5}, {"source_page": "x"}, {"source_page": [1]}, {"source_bbox": [1, "x"]}, {"source_bbox": 5}, {"source_bbox": [1, None]},
+    {"field_name": 5}, {"source_text": 12}, {"confidence": None}, {"confidence": {}}, {"field_key": True},
+])
+def test_members_of_other_types_reject_the_answer(answers, broken):
+    good = {"field_key": "a", "value": "x", "source_page": None, "source_bbox": None, "source_text": None}
+    raws = [json.dumps({"fields": [good, {**good, **broken}]}), json.dumps({"fields": [good, good]})]
+    assert {r.chunk_no for r in E.explode_fields(answers(*raws)).collect()} == {1}
+
+
+def test_types_of_the_answer_itself(answers):
+    raws = ['{"fields":[{"field_key":"a"}],"contract_type":5}', '{"fields":[{"field_key":"a"}],"contract_type_confidence":null}',
+            '{"fields":[{"field_key":"a"}],"contract_type":null,"contract_type_confidence":"0.5"}', '{"fields":[{"field_key":"a"}, 7]}']
+    assert [r.chunk_no for r in E.explode_fields(answers(*raws)).collect()] == [2]
