@@ -23,11 +23,17 @@ BANDS, ROWS = 32, 4
 DIFFER = 234
 #: Rounds in which a bucket's members meet one hub each, before the pairs that are left are compared; with no more
 #: than PAIRS_LEFT such pairs for each member left they are compared at once.
-HUB_ROUNDS, PAIRS_LEFT = 3, 8
+HUB_ROUNDS, PAIRS_LEFT = 1, 8
+#: Single bits of so many more minima tell the members that are left apart: half of those of unequal minima differ, at
+#: similarity 0.75 in all 256 with a deviation of 15, so a linked pair has more than 331 with a chance of about 3e-7,
+#: and one of similarity below two thirds mostly has more.
+FINE, FINE_DIFFER = 2048, 331
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_FINE_A = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1)
+_FINE_B = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32)
 _STEPS = _RANDOM.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -53,15 +59,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(names: np.ndarray) -> np.ndarray:
-    """The least value of each of the 128 hashes a * x + b modulo 2^32 over a set's names, upper halves."""
+def minima(names: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """The least value of each of the hashes a * x + b modulo 2^32 over a set's names, upper halves."""
     upper = (names >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    held = np.empty((256, BANDS * ROWS), np.uint32)
+    least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    held = np.empty((max(1, 32_768 // len(a)), len(a)), np.uint32)
     for i in range(0, len(upper), len(held)):
         part = upper[i : i + len(held), None]
-        values = np.multiply(part, _A, out=held[: len(part)])
-        np.add(values, _B, out=values)
+        values = np.multiply(part, a, out=held[: len(part)])
+        np.add(values, b, out=values)
         np.minimum(least, values.min(axis=0), out=least)
     return least
 
@@ -80,9 +86,15 @@ SKETCH = "doc_id long, tk int, n_shingles int, cls binary, sig array<bigint>, ba
 LONGS = BANDS * ROWS // 8
 
 
-def _alike(a: str, b: str) -> str:
+def _alike(a: str, b: str, longs: int = LONGS, differ: int = DIFFER) -> str:
     """SQL: two signatures, arrays of longs, differ in few bits."""
-    return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LONGS)) + f" <= {DIFFER}"
+    return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(longs)) + f" <= {differ}"
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = [np.packbits((minima(shingles(t.as_py()), _FINE_A, _FINE_B) & np.uint32(1)).astype(np.uint8)).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["cls", "fine"])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +136,12 @@ class _Pairs:
         self.scratch, self.docs, self.classes, self.pct, self.rounds = scratch, docs, classes, threshold_pct, 0
         self.seen: DataFrame | None = None
 
+    def texts(self, some: DataFrame) -> DataFrame:
+        """(cls, text) of a document of each class in ``some``; rows that repeat come more than once."""
+        wanted = self.classes.join(some, "cls", "left_semi").select("cls", F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
+        return self.docs.join(wanted, same).select("cls", "text")
+
     def links(self, pairs: DataFrame) -> DataFrame | None:
         """The linked ones among ``pairs``; None if none is new."""
         self.rounds += 1
@@ -139,9 +157,7 @@ class _Pairs:
             return None
         self.seen = found if self.seen is None else self.seen.unionByName(found)
         ends = found.select(F.col("a").alias("cls")).unionByName(found.select(F.col("b").alias("cls"))).distinct()
-        wanted = self.classes.join(ends, "cls", "left_semi").select("cls", F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
-        texts = self.scratch.keep(self.docs.join(wanted, same).select("cls", "text"), f"texts-{self.rounds}")
+        texts = self.scratch.keep(self.texts(ends), f"texts-{self.rounds}")
         with_b = found.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         with_both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
         checked = with_both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(self.pct), "a binary, b binary")
@@ -190,10 +206,16 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool =
         .select("cls", "least", "row.*", "sig", "bands"), "classes")
     pairs = _Pairs(scratch, docs, classes, threshold_pct)
     filed = classes.select("cls", F.explode("bands").alias("bucket"))
-    hubs = filed.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("bucket", "hub")
-    members = scratch.keep(filed.join(hubs, "bucket"), "members")
+    sizes = filed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = scratch.keep(filed.join(sizes, "bucket"), "shared")
+    # the hub of a bucket is its member with most company over all buckets: of copies edited apart, the original
+    company = shared.groupBy("cls").agg(F.sum("size").alias("company"))
+    hubs = shared.join(company, "cls").groupBy("bucket").agg(F.max(F.struct("company", "cls")).alias("h")).select("bucket", F.col("h.cls").alias("hub"))
+    members = scratch.keep(shared.select("bucket", "cls").join(scratch.keep(hubs, "hubs"), "bucket"), "members")
+    scratch.drop("shared")
+    scratch.drop("hubs")
     labels: DataFrame | None = None
-    found = pairs.links(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+    found = pairs.links(members.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct())
     if found is not None:
         labels = _joined(scratch, labels, found, 1)
         for turn in range(2, HUB_ROUNDS + 2):
@@ -210,11 +232,12 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool =
             if not last:
                 tried = left.where("root <> hub_root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
             else:
-                signed = left.select("bucket", "cls", "root").join(classes.select("cls", "n_shingles", "sig"), "cls")
-                x, y = (signed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n_shingles", "sig")]) for side in "xy")
+                fine = pairs.texts(left.select("cls").distinct()).mapInArrow(_fine, "cls binary, fine array<bigint>").dropDuplicates(["cls"])
+                signed = left.select("bucket", "cls", "root").join(classes.select("cls", "n_shingles").join(scratch.keep(fine, "fine"), "cls"), "cls")
+                x, y = (signed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n_shingles", "fine")]) for side in "xy")
                 sized = f"100L * least(n_shingles_x, n_shingles_y) >= {threshold_pct}L * greatest(n_shingles_x, n_shingles_y)"
                 # the estimate is part of the join: pairs that do not look alike are never rows
-                fit = F.expr(f"cls_x < cls_y and root_x <> root_y and {sized} and {_alike('sig_x', 'sig_y')}")
+                fit = F.expr(f"cls_x < cls_y and root_x <> root_y and {sized} and {_alike('fine_x', 'fine_y', FINE // 64, FINE_DIFFER)}")
                 tried = x.join(y, (x["bucket"] == y["bucket"]) & fit).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
             found = pairs.links(tried.distinct())
             if found is not None:
