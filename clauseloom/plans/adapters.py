@@ -298,9 +298,13 @@ def layout_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_ocr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks as text-OCR answers in five shapes by document; documents divisible by 11 report an error."""
+    """Blocks as text-OCR answers in five shapes by document, all pages of it; documents divisible by 11 report an error.
+
+    Documents of one page come without a page list, but for those of the first shape. Some texts read 0 or false.
+    """
     rows = blocks(spark, sf_dir).selectExpr(
-        "contract_id", "page_no", "sort_order", "text", "confidence AS score",
+        "contract_id", "page_no", "sort_order", "CASE sort_order % 19 WHEN 7 THEN '0' WHEN 11 THEN 'false' ELSE text END AS text",
+        "confidence AS score",
         "CASE WHEN bbox IS NOT NULL THEN array(array(bbox.x1, bbox.y1), array(bbox.x2, bbox.y1), array(bbox.x2, bbox.y2), array(bbox.x1, bbox.y2)) END AS poly",
         "CASE WHEN bbox IS NOT NULL THEN array(bbox.x1, bbox.y1, bbox.x2, bbox.y2) END AS flat",
     )
@@ -317,14 +321,14 @@ def text_ocr_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = pages.groupBy("contract_id").agg(F.expr("array_sort(collect_list(struct(page_no, lists, objects, flats, pairs))) AS p"))
     paged = "concat('{\"errorCode\":0,\"result\":{\"ocrResults\":[', array_join(transform(p, x -> concat('{\"prunedResult\":', x.lists, '}')), ','), '],\"dataInfo\":{\"width\":800,\"height\":1100}}}')"
+    page = """CASE contract_id % 5 WHEN 1 THEN concat('{"data":', x.objects, '}') WHEN 2 THEN concat('{"results":', x.lists, '}')
+      WHEN 3 THEN concat('{"result":', x.flats, '}') ELSE concat('{"ocr_results":', x.pairs, '}') END"""
+    several = f"concat('{{\"errorCode\":null,\"result\":{{\"ocrResults\":[', array_join(transform(p, x -> concat('{{\"prunedResult\":', {page}, '}}')), ','), ']}}}}')"
     return docs.selectExpr(
         "contract_id",
-        f"""CASE WHEN contract_id % 11 = 0 THEN '{{"errorCode":5,"errorMsg":"busy"}}'
+        f"""CASE WHEN contract_id % 11 = 0 THEN concat('{{"errorCode":', CASE WHEN contract_id % 2 = 0 THEN '5' ELSE '"E5"' END, ',"errorMsg":"busy"}}')
           WHEN contract_id % 5 = 0 THEN {paged}
-          WHEN contract_id % 5 = 1 THEN concat('{{"data":', p[0].objects, '}}')
-          WHEN contract_id % 5 = 2 THEN concat('{{"results":', p[0].lists, '}}')
-          WHEN contract_id % 5 = 3 THEN concat('{{"result":', p[0].flats, '}}')
-          ELSE concat('{{"ocr_results":', p[0].pairs, '}}') END AS body""",
+          WHEN size(p) = 1 THEN transform(p, x -> {page})[0] ELSE {several} END AS body""",
     )
 
 

@@ -43,7 +43,8 @@ def text_ocr_blocks(spark, sf_dir):
 
 
 def text_ocr_errors(spark, sf_dir):
-    return O.text_ocr_errors(A.text_ocr_responses(spark, sf_dir))
+    responses = A.text_ocr_responses(spark, sf_dir)
+    return O.text_ocr_errors(responses, O.blocks_from_text_ocr(responses))
 
 
 def text_ocr_pages(spark, sf_dir):
@@ -140,7 +141,7 @@ _UP = """WITH named AS (SELECT page_id, page_id % 97 AS batch_id, concat(split_p
    CASE file_type WHEN 'pdf' THEN '.pdf' WHEN 'png' THEN '.png' WHEN 'jpg' THEN '.jpg' WHEN 'jpeg' THEN '.jpg' WHEN 'gif' THEN '.gif'
      WHEN 'bmp' THEN '.bmp' WHEN 'tiff' THEN '.tiff' WHEN 'tif' THEN '.tiff' ELSE '.bin' END AS dot FROM typed)"""
 _LABEL = """CASE WHEN block_type = 'title' THEN 'title' WHEN sort_order % 5 = 0 THEN 'table' ELSE 'text' END"""
-_OCR_DOCS = f"{BLOCKS}, src AS (SELECT *, contract_id % 5 AS shape FROM blocks WHERE contract_id % 11 <> 0 AND (contract_id % 5 = 0 OR page_no = 1))"
+_OCR_DOCS = f"{BLOCKS}, src AS (SELECT * REPLACE (CASE sort_order % 19 WHEN 7 THEN '0' WHEN 11 THEN 'false' ELSE text END AS text), contract_id % 5 AS shape FROM blocks WHERE contract_id % 11 <> 0)"
 _STATUS = "CASE status WHEN 'completed' THEN '完成' WHEN 'failed' THEN '失败' WHEN 'skipped' THEN '跳过' WHEN 'processing' THEN '处理中' ELSE '未处理' END"
 _EXPORT = f"""WITH raw AS ({A.FIELDS_SQL}), fields AS (SELECT *, CASE WHEN contract_id % 4 = 0 THEN 'a,"b"' WHEN contract_id % 4 = 1 THEN '' END AS reviewed_value FROM raw),
  items AS ({A.BATCH_SQL}), batch AS (SELECT contract_id, row_number() OVER (ORDER BY contract_id) AS idx, concat('contract-', CAST(contract_id AS VARCHAR), '.pdf') AS file_name,
@@ -180,8 +181,8 @@ ORACLES = {
     "text_ocr_blocks": f"""{_OCR_DOCS} SELECT contract_id, page_no, CAST(row_number() OVER (PARTITION BY contract_id, page_no
           ORDER BY coalesce(y1, 0), coalesce(x1, 0), sort_order) AS INT) AS sort_order, {strip_sql('text')} AS text, x1, y1, x2, y2, confidence
         FROM src WHERE {strip_sql('text')} <> ''""",
-    "text_ocr_errors": "SELECT doc_id AS contract_id, 'OCR error 5: busy' AS error FROM documents WHERE doc_id % 11 = 0",
-    "text_ocr_pages": f"""{BLOCKS}, p AS (SELECT DISTINCT contract_id, page_no FROM blocks WHERE contract_id % 11 <> 0 AND (contract_id % 5 = 0 OR page_no = 1))
+    "text_ocr_errors": "SELECT doc_id AS contract_id, CASE WHEN doc_id % 2 = 0 THEN 'OCR error 5: busy' ELSE 'OCR error E5: busy' END AS error FROM documents WHERE doc_id % 11 = 0",
+    "text_ocr_pages": f"""{BLOCKS}, p AS (SELECT DISTINCT contract_id, page_no FROM blocks WHERE contract_id % 11 <> 0)
         SELECT contract_id, page_no AS position, CASE WHEN contract_id % 3 <> 0 THEN page_no + 10 ELSE page_no END AS page_no,
           CASE WHEN contract_id % 5 = 0 AND page_no = 1 THEN 800 WHEN contract_id % 3 <> 0 THEN 500 END AS page_width,
           CASE WHEN contract_id % 5 = 0 AND page_no = 1 THEN 1100 WHEN contract_id % 3 <> 0 THEN 700 END AS page_height FROM p""",

@@ -69,13 +69,20 @@ def _is(v: str, kind: str) -> str:
 
 
 def _truthy(v: str, keys: tuple[str, ...]) -> str:
-    """First member that is neither null, '' nor an empty list."""
-    arms = " ".join(
-        f"WHEN coalesce(CAST({_get(v, k)} AS STRING), '') NOT IN ('', '[]', '{{}}', '0', 'false') THEN {_get(v, k)}" for k in keys
-    )
+    """First member that is neither null, '', 0, false nor an empty list; the texts '0' and 'false' count."""
+    arms = " ".join(f"WHEN {_filled(_get(v, k))} THEN {_get(v, k)}" for k in keys)
     return f"CASE {arms} END"
 
 
+def _filled(v: str) -> str:
+    text = f"CAST({v} AS STRING)"
+    return (
+        f"CASE WHEN coalesce(schema_of_variant({v}), 'VOID') = 'VOID' THEN false WHEN schema_of_variant({v}) = 'STRING' THEN {text} <> '' "
+        f"WHEN schema_of_variant({v}) = 'BOOLEAN' THEN {text} = 'true' "
+        f"WHEN {_is(v, 'ARRAY')} OR {_is(v, 'OBJECT')} THEN {text} NOT IN ('[]', '{{}}') ELSE try_variant_get({v}, '$', 'DOUBLE') <> 0 END"
+    )
+
+
 def _box(raw: str) -> str:
     """Box from an object, four numbers, or a polygon."""
     corner = [_get(raw, c, "DOUBLE") for c in ("x1", "y1", "x2", "y2")]
@@ -94,21 +101,30 @@ def _box(raw: str) -> str:
 
 
 def _parsed(responses: DataFrame) -> DataFrame:
+    """Responses as variants; ``error_code`` is any code but null and 0, as text, and NULL where there is none."""
+    code = _get("v", "errorCode")
+    none = f"coalesce(schema_of_variant({code}), 'VOID') = 'VOID' OR coalesce(try_variant_get({code}, '$', 'DOUBLE') = 0 AND schema_of_variant({code}) <> 'STRING', false)"
     return responses.selectExpr(K, "try_parse_json(body) AS v").selectExpr(
-        K, "v", f"coalesce({_get('v', 'errorCode', 'INT')}, 0) AS error_code"
+        K, "v", f"CASE WHEN NOT ({none}) THEN CAST({code} AS STRING) END AS error_code"
     )
 
 
-def text_ocr_errors(responses: DataFrame) -> DataFrame:
-    """Responses that report an error code or are no JSON."""
-    return _parsed(responses).filter("error_code <> 0 OR v IS NULL").selectExpr(
-        K, f"concat('OCR error ', error_code, ': ', coalesce({_get('v', 'errorMsg', 'STRING')}, 'unknown error')) AS error"
+def text_ocr_errors(responses: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Responses that report an error code or are no JSON and, given their ``blocks``, those without any text."""
+    message = f"coalesce({_get('v', 'errorMsg', 'STRING')}, 'unknown error')"
+    failed = _parsed(responses).filter("error_code IS NOT NULL OR v IS NULL").selectExpr(
+        K, f"concat('OCR error ', coalesce(error_code, '0'), ': ', {message}) AS error"
     )
+    if blocks is None:
+        return failed
+    fine = _parsed(responses).filter("error_code IS NULL AND v IS NOT NULL").select(K).distinct()
+    empty = fine.join(blocks.select(K).distinct(), K, "left_anti").selectExpr(K, "'no text blocks' AS error")
+    return failed.unionByName(empty)
 
 
 def _page_payloads(responses: DataFrame) -> DataFrame:
     """One variant per page: the items of ``result.ocrResults``, else the whole response."""
-    ok = _parsed(responses).filter("error_code = 0 AND v IS NOT NULL")
+    ok = _parsed(responses).filter("error_code IS NULL AND v IS NOT NULL")
     listed = _get("v", "result.ocrResults", "ARRAY<VARIANT>")
     return ok.selectExpr(
         K, "v AS response", f"{listed} IS NOT NULL AS paged",
