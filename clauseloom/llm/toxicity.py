@@ -18,7 +18,8 @@ from clauseloom.llm.shared import Scratch, ship
 #: Labelled examples of each class, as expected numbers, drawn by a hash of the doc_id.
 EXAMPLES = {1: 4000, 0: 8000}
 #: Terms kept for TF-IDF, of those whose log-likelihood ratio against the labels is more than chance gives one of all
-#: terms tried; and how many examples a term needs.
+#: terms tried and that stand in toxic examples more than half way from the base rate to always; and how many examples
+#: a term needs. Common words, a little more frequent in one class, would make every text a long query.
 TERMS, LEAST_EXAMPLES = 1024, 3
 #: Neighbours that vote, and examples in a block of an inverted list.
 NEIGHBOURS, BLOCK = 25, 64
@@ -228,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     rate, ratio = n1 / (n1 + n0), F.lit(0.0)
     for got, expected in (("a", f"n * {rate!r}D"), ("n - a", f"n * {1 - rate!r}D"), (f"{n1} - a", f"({n1 + n0} - n) * {rate!r}D"), (f"{n0} - (n - a)", f"({n1 + n0} - n) * {1 - rate!r}D")):
         ratio = ratio + F.expr(f"CASE WHEN ({got}) > 0 AND ({expected}) > 0 THEN 2 * ({got}) * ln(({got}) / ({expected})) ELSE 0D END")
-    best = seen.withColumn("ratio", ratio).where(F.col("ratio") >= float(least)).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    best = seen.withColumn("ratio", ratio).where(F.col("ratio") >= float(least)).where(F.col("a") >= F.col("n") * (1 + rate) / 2).orderBy(F.desc("ratio"), "term").limit(TERMS)
     terms = sorted(r["term"] for r in best.select("term").collect())
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
