@@ -46,7 +46,7 @@ class Coder:
         known = self.pieces
         if len(known) > REMEMBERED:
             known.clear()
-        for piece in set(pieces) - known.keys():
+        for piece in {p for p in pieces if p not in known}:
             known[piece] = np.array(self.merges._encode_single_piece(piece.encode("utf-8", "replace")), "<i4").tobytes()
         return b"".join(map(known.__getitem__, pieces))
 

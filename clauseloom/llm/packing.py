@@ -65,7 +65,7 @@ class WordEncoder:
             split = [self.words(t) for t in texts[start:stop]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list(set().union(*split) - self.known.keys())
+            new = [w for w in set().union(*split) if w not in self.known]
             for i in range(0, len(new), 4096):
                 some = new[i : i + 4096]
                 made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
