@@ -40,7 +40,7 @@ def components(scratch: Scratch, links: DataFrame, name: str = "components") ->
         if now == mark or not now[0]:
             break
         mark, turn = now, turn + 1
-        starred = _small_star(_large_star(edges).distinct()).distinct()
+        starred = _small_star(_large_star(edges)).distinct()
         edges = scratch.keep(starred, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
