@@ -17,16 +17,16 @@ from clauseloom.llm.shared import ASCII_LOWER, Scratch, text_key
 WIDTH = 5
 #: 32 bands of 4 minima: two sets of similarity 0.75 miss every band with a chance of 5e-6, closer ones sooner never.
 BANDS, ROWS = 32, 4
-#: Bits in which the low bytes of the 128 minima of two sets may differ for the pair to be confirmed on full sets.
+#: Bits in which a byte mixed from each of the 128 minima of two sets may differ for the pair to be confirmed on full sets.
 #: Half of the bits of unequal minima differ: at similarity 0.75 that makes 128 with a deviation of 21, so a linked
 #: pair has more than 234 with a chance of about 3e-7; unlinked ones of similarity below a half mostly have more.
 DIFFER = 234
 #: Rounds in which a bucket's members meet one hub each, before the pairs that are left are compared; with no more
 #: than PAIRS_LEFT such pairs for each member left they are compared at once.
 HUB_ROUNDS, PAIRS_LEFT = 1, 8
-#: Single bits of so many more minima tell the members that are left apart: half of those of unequal minima differ, at
-#: similarity 0.75 in all 256 with a deviation of 15, so a linked pair has more than 331 with a chance of about 3e-7,
-#: and one of similarity below two thirds mostly has more.
+#: Single bits mixed from so many more minima tell the members that are left apart: half of those of unequal minima
+#: differ, at similarity 0.75 in all 256 with a deviation of 15 for small sets and large, so a linked pair has more than
+#: 331 with a chance of about 3e-7, and one of similarity below two thirds mostly has more.
 FINE, FINE_DIFFER = 2048, 331
 
 _RANDOM = np.random.default_rng(20240229)
@@ -34,6 +34,7 @@ _A = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _FINE_A = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1)
 _FINE_B = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32)
+_OWN = np.arange(FINE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _STEPS = _RANDOM.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -82,6 +83,12 @@ def bands(least: np.ndarray) -> np.ndarray:
     return name.view(np.int64)
 
 
+def mixed(least: np.ndarray) -> np.ndarray:
+    """64 bits of each minimum and its number. The low bits of a * x + b follow the low bits of x alone, whatever the
+    hash: taken as they are, those of all minima would agree or differ together."""
+    return _mixed(least.astype(np.uint64) ^ _OWN[: len(least)])
+
+
 SKETCH = "doc_id long, tk int, n_shingles int, cls binary, sig array<bigint>, bands array<bigint>"
 LONGS = BANDS * ROWS // 8
 
@@ -93,7 +100,8 @@ def _alike(a: str, b: str, longs: int = LONGS, differ: int = DIFFER) -> str:
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = [np.packbits((minima(shingles(t.as_py()), _FINE_A, _FINE_B) & np.uint32(1)).astype(np.uint8)).view(np.int64) for t in batch.column(1)]
+        least = (minima(shingles(t.as_py()), _FINE_A, _FINE_B) for t in batch.column(1))
+        bits = [np.packbits((mixed(x) >> np.uint64(63)).astype(np.uint8)).view(np.int64) for x in least]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["cls", "fine"])
 
 
@@ -105,7 +113,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(names))
             cls.append(xxhash.xxh3_128_digest(names.tobytes()) if len(names) else None)
             least = minima(names)
-            sig.append(least.astype(np.uint8).view(np.int64) if len(names) else None)
+            sig.append((mixed(least) >> np.uint64(56)).astype(np.uint8).view(np.int64) if len(names) else None)
             filed.append(bands(least) if len(names) else None)
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (sig, filed)]
         yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from clauseloom.llm import near_dedup, queries
@@ -77,6 +78,42 @@ def test_rounds(docs, monkeypatch, hub_rounds, pairs_left):
     assert got(near_dedup.near_duplicates(docs(*rows))) == brute(rows)
 
 
+def edited(base, rng, edits):
+    own = list(base)
+    for _ in range(edits):
+        own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+    return " ".join(own)
+
+
+@pytest.mark.parametrize("low, high", [(8, 11), (12, 17), (18, 30)])
+def test_estimates_keep_linked_pairs_of_short_texts(low, high):
+    rng = random.Random(low)
+    texts, linked = [], []
+    while len(linked) < 300:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(low, high))]
+        a, b = " ".join(base), " ".join(base[rng.randrange(3) :]) if rng.random() < 0.5 else edited(base, rng, 1)
+        x, y = shingle_set(a), shingle_set(b)
+        if x != y and 100 * len(x & y) >= 75 * len(x | y):
+            linked.append(len(texts))
+            texts += [a, b]
+    sides = pa.RecordBatch.from_arrays([pa.array([b""] * len(texts), pa.binary()), pa.array(texts)], ["cls", "text"])
+    fine = next(near_dedup._fine([sides])).column(1).to_pylist()
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["doc_id", "tk", "text"])
+    sig = next(near_dedup._sketched([rows])).column(4).to_pylist()
+    for signature, most in ((fine, near_dedup.FINE_DIFFER), (sig, near_dedup.DIFFER)):
+        apart = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(signature[i], signature[i + 1], strict=True)) for i in linked]
+        assert max(apart) <= most
+
+
+def test_groups_of_short_texts(docs):
+    rng, rows = random.Random(5), []
+    for words in range(8, 31):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        rows += [edited(base, rng, rng.randrange(3)) for _ in range(40)]
+    rows = list(enumerate(rows))
+    assert got(near_dedup.near_duplicates(docs(*rows))) == brute(rows)
+
+
 def test_empty(docs):
     assert near_dedup.near_duplicates(docs().limit(0)).count() == 0
 
