@@ -226,32 +226,34 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool =
     found = pairs.links(members.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct())
     if found is not None:
         labels = _joined(scratch, labels, found, 1)
-        for turn in range(2, HUB_ROUNDS + 2):
-            at = members.select("bucket", "cls").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    for turn in range(2, HUB_ROUNDS + 2):
+        at = members.select("bucket", "cls", F.col("cls").alias("root"))  # without links so far each class is its own root
+        if labels is not None:
+            at = at.drop("root").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left")
             at = at.select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-            spread = at.groupBy("bucket").agg(
-                F.min("root").alias("r0"), F.max("root").alias("r1"),
-                F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("h")).where("r0 <> r1")
-            left = scratch.keep(at.join(spread.select("bucket", F.col("h.cls").alias("hub"), F.col("h.root").alias("hub_root")), "bucket"), f"left-{turn}")
-            sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
-            if not sizes["n"]:
-                break
-            last = turn > HUB_ROUNDS or sizes["pairs"] <= PAIRS_LEFT * sizes["n"]
-            if not last:
-                tried = left.where("root <> hub_root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
-            else:
-                fine = pairs.texts(left.select("cls").distinct()).mapInArrow(_fine, "cls binary, fine array<bigint>").dropDuplicates(["cls"])
-                signed = left.select("bucket", "cls", "root").join(classes.select("cls", "n_shingles").join(scratch.keep(fine, "fine"), "cls"), "cls")
-                x, y = (signed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n_shingles", "fine")]) for side in "xy")
-                sized = f"100L * least(n_shingles_x, n_shingles_y) >= {threshold_pct}L * greatest(n_shingles_x, n_shingles_y)"
-                # the estimate is part of the join: pairs that do not look alike are never rows
-                fit = F.expr(f"cls_x < cls_y and root_x <> root_y and {sized} and {_alike('fine_x', 'fine_y', FINE // 64, FINE_DIFFER)}")
-                tried = x.join(y, (x["bucket"] == y["bucket"]) & fit).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
-            found = pairs.links(tried.distinct())
-            if found is not None:
-                labels = _joined(scratch, labels, found, turn)
-            if last:
-                break
+        spread = at.groupBy("bucket").agg(
+            F.min("root").alias("r0"), F.max("root").alias("r1"),
+            F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("h")).where("r0 <> r1")
+        left = scratch.keep(at.join(spread.select("bucket", F.col("h.cls").alias("hub"), F.col("h.root").alias("hub_root")), "bucket"), f"left-{turn}")
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+        if not sizes["n"]:
+            break
+        last = turn > HUB_ROUNDS or sizes["pairs"] <= PAIRS_LEFT * sizes["n"]
+        if not last:
+            tried = left.where("root <> hub_root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"))
+        else:
+            fine = pairs.texts(left.select("cls").distinct()).mapInArrow(_fine, "cls binary, fine array<bigint>").dropDuplicates(["cls"])
+            signed = left.select("bucket", "cls", "root").join(classes.select("cls", "n_shingles").join(scratch.keep(fine, "fine"), "cls"), "cls")
+            x, y = (signed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n_shingles", "fine")]) for side in "xy")
+            sized = f"100L * least(n_shingles_x, n_shingles_y) >= {threshold_pct}L * greatest(n_shingles_x, n_shingles_y)"
+            # the estimate is part of the join: pairs that do not look alike are never rows
+            fit = F.expr(f"cls_x < cls_y and root_x <> root_y and {sized} and {_alike('fine_x', 'fine_y', FINE // 64, FINE_DIFFER)}")
+            tried = x.join(y, (x["bucket"] == y["bucket"]) & fit).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
+        found = pairs.links(tried.distinct())
+        if found is not None:
+            labels = _joined(scratch, labels, found, turn)
+        if last:
+            break
     top = classes.select("cls", "least", F.col("cls").alias("root"))
     if labels is not None:
         own = labels.select(F.col("node").alias("cls"), F.col("root").alias("found"))

@@ -114,6 +114,20 @@ def test_groups_of_short_texts(docs):
     assert got(near_dedup.near_duplicates(docs(*rows))) == brute(rows)
 
 
+def test_linked_pair_behind_an_unlike_hub(docs):
+    """Every bucket that the two linked texts share has a third one as its hub, too long to be linked to them."""
+    for seed in range(5000):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(42)]
+        texts = [" ".join(x) for x in (words[3:35], words[7:39], words)]
+        a, b, hub = (set(near_dedup.bands(near_dedup.minima(near_dedup.shingles(t))).tolist()) for t in texts)
+        if a & b and a & b <= hub:
+            break
+    rows = list(enumerate(texts))
+    assert brute(rows) == [(0, 28, 0), (1, 28, 0), (2, 38, 2)]
+    assert got(near_dedup.near_duplicates(docs(*rows))) == brute(rows)
+
+
 def test_empty(docs):
     assert near_dedup.near_duplicates(docs().limit(0)).count() == 0
 
