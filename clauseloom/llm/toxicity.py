@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,9 @@ from clauseloom.llm.shared import Scratch, ship
 
 #: Labelled examples of each class, as expected numbers, drawn by a hash of the doc_id.
 EXAMPLES = {1: 4000, 0: 8000}
-#: Terms kept for TF-IDF, of those whose log-likelihood ratio against the labels is more than chance gives one of all
-#: terms tried and that stand in toxic examples more than half way from the base rate to always; and how many examples
-#: a term needs. Common words, a little more frequent in one class, would make every text a long query.
-TERMS, LEAST_EXAMPLES = 1024, 3
+#: Part of its TF-IDF weight that a term without association with toxic examples keeps; one that is beyond chance for
+#: the number of terms tried (log-likelihood ratio) and always toxic has this and 1.
+FAINT = 0.05
 #: Neighbours that vote, and examples in a block of an inverted list.
 NEIGHBOURS, BLOCK = 25, 64
 
@@ -52,7 +51,7 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Terms:
-    """Finds the kept terms of whole texts; what a word stands for is remembered, up to a million words."""
+    """Finds the known terms of whole texts; what a word stands for is remembered, up to a million words."""
 
     def __init__(self, terms: list[str]):
         self.number, self.known = {t: i for i, t in enumerate(terms)}, {}
@@ -84,54 +83,60 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def vector(text: str | None, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(term, weight) of a whole text over the kept terms, of unit length; nothing if none occurs."""
+    """(term, weight) of a whole text over the known terms, of unit length; nothing if none occurs."""
     tf = terms.counts(text)
     at = np.array(sorted(tf), np.int64)
-    x = np.array([1 + np.log(tf[k]) for k in at.tolist()]) * idf[at] if len(at) else np.empty(0)
+    x = (1 + np.log(np.array([tf[k] for k in at.tolist()], float))) * idf[at]
     return at, x / np.sqrt(x @ x) if len(at) else x
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the ranges' lengths."""
+    n = stops - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists over examples in blocks; a block's largest weight bounds what it can add to a score."""
+    """Inverted lists over examples in blocks; a block's largest weight bounds what it can add to a score.
+
+    All lists lie in one array, term by term; an entry is the run of one term's postings in one block.
+    """
 
     n_terms: int
     rows: list[tuple[np.ndarray, np.ndarray]]
     block: int = BLOCK
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self):
-        posted: list[list[tuple[int, float]]] = [[] for _ in range(self.n_terms)]
-        for i, (at, x) in enumerate(self.rows):
-            for k, v in zip(at.tolist(), x.tolist(), strict=True):
-                posted[k].append((i, v))
-        for own in posted:
-            ids = np.array([i for i, _ in own], np.int64)
-            weights = np.array([v for _, v in own])
-            blocks, starts = np.unique(ids // self.block, return_index=True)
-            best = np.maximum.reduceat(weights, starts) if len(own) else weights
-            self.lists.append((ids, weights, ids // self.block, blocks, best))
-
-    def _sums(self, at: list[int], x: list[float], open_blocks: np.ndarray) -> np.ndarray:
-        """Scores of the examples in the open blocks; the postings of all others are passed over."""
-        sums = np.zeros(len(self.rows))
-        for t, q in zip(at, x, strict=True):
-            ids, weights, own, _, _ = self.lists[t]
-            some = open_blocks[own]
-            sums[ids[some]] += q * weights[some]
-        return sums
+        self.n_rows = len(self.rows)
+        terms = np.concatenate([np.empty(0, np.int64), *[a for a, _ in self.rows]])
+        order = np.argsort(terms, kind="stable")
+        terms = terms[order]
+        self.ids = np.repeat(np.arange(self.n_rows, dtype=np.int32), [len(a) for a, _ in self.rows])[order]
+        self.weights = np.concatenate([np.empty(0), *[x for _, x in self.rows]])[order]
+        blocks = self.ids // self.block
+        starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])][: len(terms)])
+        self.starts, self.blocks = np.r_[starts, len(terms)], blocks[starts]
+        self.best = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
+        self.firsts = np.searchsorted(terms[starts], np.arange(self.n_terms + 1))
+
+    def _sums(self, entries: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Scores of the examples in the entries of open blocks; the postings of all others are passed over."""
+        at, n = _ranges(self.starts[entries], self.starts[entries + 1])
+        return np.bincount(self.ids[at], np.repeat(q, n) * self.weights[at], minlength=self.n_rows)
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact k nearest examples by cosine above 0: most similar first, ties to the smaller number.
 
-        The blocks of the largest bounds are scored first; their k-th best score closes all blocks whose bound is less.
+        The blocks of the largest bounds are scored first, then twice as many each time; the k-th best score so far
+        closes all blocks whose bound is less.
         """
-        at, x = at.tolist(), x.tolist()
-        bound = np.zeros(-(-len(self.rows) // self.block))
-        for t, q in zip(at, x, strict=True):
-            bound[self.lists[t][3]] += q * self.lists[t][4]
+        entries, n = _ranges(self.firsts[at], self.firsts[at + 1])
+        q, blocks = np.repeat(x, n), self.blocks[entries]
+        bound = np.bincount(blocks, q * self.best[entries], minlength=-(-self.n_rows // self.block))
         ids, scores, least, closed = np.empty(0, np.int64), np.empty(0), 0.0, bound <= 0
-        for some in (max(8, 2 * k // self.block), len(bound)):
+        some = max(8, 2 * k // self.block)
+        while True:
             left = np.where(closed | (bound < least - 1e-12), -1.0, bound)
             chosen = np.zeros(len(bound), bool)
             chosen[np.argsort(-left, kind="stable")[:some]] = True
@@ -139,13 +144,15 @@ class BlockMaxIndex:
             if not chosen.any():
                 break
             closed |= chosen
-            sums = self._sums(at, x, chosen)
+            own = chosen[blocks]
+            sums = self._sums(entries[own], q[own])
             found = np.flatnonzero(sums)
             found = found[found != skip]
             ids, scores = np.r_[ids, found], np.r_[scores, sums[found]]
             best = np.lexsort((ids, -np.round(scores, 12)))[:k]
             ids, scores = ids[best], scores[best]
             least = scores[-1] if len(ids) == k else 0.0
+            some *= 2
         return ids, scores
 
 
@@ -200,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     """Index labelled documents. ``labels`` has doc_id and toxic; an id labelled twice counts as toxic if any says so.
 
     About ``examples[c]`` documents of class c are drawn; that sample alone, its terms and its vectors reach the
-    driver. The document counts of the kept terms cover every row of ``docs``. None if no labelled row is found.
+    driver. All terms of all drawn examples are indexed, their document counts cover every row of ``docs``. None if no labelled row is found.
     """
     ship(docs.sparkSession)
     want = examples or EXAMPLES
@@ -223,14 +230,15 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     if not n1 + n0:
         return None
     seen = sample.select("toxic", "text").mapInArrow(_example_terms, "toxic int, term string")
-    seen = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_EXAMPLES)
-    seen = scratch.keep(seen, "terms")
-    least = 2 * np.log(max(1, seen.count())) + 2  # the ratio of a chance term exceeds x with a chance of about exp(-x / 2)
-    rate, ratio = n1 / (n1 + n0), F.lit(0.0)
-    for got, expected in (("a", f"n * {rate!r}D"), ("n - a", f"n * {1 - rate!r}D"), (f"{n1} - a", f"({n1 + n0} - n) * {rate!r}D"), (f"{n0} - (n - a)", f"({n1 + n0} - n) * {1 - rate!r}D")):
-        ratio = ratio + F.expr(f"CASE WHEN ({got}) > 0 AND ({expected}) > 0 THEN 2 * ({got}) * ln(({got}) / ({expected})) ELSE 0D END")
-    best = seen.withColumn("ratio", ratio).where(F.col("ratio") >= float(least)).where(F.col("a") >= F.col("n") * (1 + rate) / 2).orderBy(F.desc("ratio"), "term").limit(TERMS)
-    terms = sorted(r["term"] for r in best.select("term").collect())
+    seen = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    seen = scratch.keep(seen, "terms").toArrow().sort_by("term")
+    terms, a, n = seen.column(0).to_pylist(), seen.column(1).to_numpy().astype(float), seen.column(2).to_numpy().astype(float)
+    least = 2 * np.log(max(1, len(terms))) + 2  # the ratio of a chance term exceeds x with a chance of about exp(-x / 2)
+    rate, ratio = n1 / (n1 + n0), np.zeros(len(terms))
+    for got, expected in ((a, n * rate), (n - a, n * (1 - rate)), (n1 - a, (n1 + n0 - n) * rate), (n0 - n + a, (n1 + n0 - n) * (1 - rate))):
+        some = (got > 0) & (expected > 0)
+        ratio[some] += 2 * got[some] * np.log(got[some] / expected[some])
+    telling = np.minimum(ratio / least, 1) * np.maximum(a / n - rate, 0) / max(1 - rate, 1e-9)
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, finder = np.zeros(len(terms), np.int64), 0, Terms(terms)
@@ -238,11 +246,12 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
             for text in batch.column(0):
                 total[list(finder.counts(text.as_py()))] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms), dtype=np.int32)), pa.array(np.r_[n, total])], ["k", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, total[some]])], ["k", "n"])
 
-    total = docs.select("text").mapInArrow(document_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    df = {r["k"]: r["n"] for r in total}
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))])
+    total = docs.select("text").mapInArrow(document_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(total.column(0).to_pylist(), total.column(1).to_pylist(), strict=True))
+    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))]) * (FAINT + telling)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Terms(terms)
@@ -258,10 +267,23 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     stands = np.where(toxic == 1, sizes.get(1, 0) / max(1, n1), sizes.get(0, 0) / max(1, n0))
     stands = stands / stands.mean()
     full = np.array([len(a) > 0 for a, _ in pairs], bool)
-    base = float((stands * toxic)[~full].sum() + 0.5) / float(stands[~full].sum() + 1)
+    # texts without words: their own share of toxic ones, and one at the rate of all
+    base = float((stands * toxic)[~full].sum() + stands @ toxic / stands.sum()) / float(stands[~full].sum() + 1)
     model = Model(terms, idf, BlockMaxIndex(len(terms), [p for p, f in zip(pairs, full, strict=True) if f]), rows.column(0).to_numpy()[full],
                   toxic[full].astype(float), stands[full], base=base)
-    shares = [model.votes(a, x, i)[0] for i, (a, x) in enumerate(model.index.rows)]  # each example judged by the others
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = sent.value
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([judge.votes(*judge.index.rows[i], i)[0] for i in at], pa.float64())], ["id", "share"])
+
+    # each example judged by the others
+    judged = docs.sparkSession.range(len(model.index.rows)).mapInArrow(votes, "id long, share double").toArrow().sort_by("id")
+    shares = judged.column(1).to_pylist()
+    model.index.rows = []
+    sent.unpersist()
     x = np.log((np.array([*shares, base]) + 1e-3) / (1 - np.array([*shares, base]) + 1e-3))
     rest = stands[~full]
     y = np.r_[model.toxic, (rest * toxic[~full]).sum() / max(rest.sum(), 1e-9)]

@@ -62,6 +62,22 @@ def test_learns_words_and_beginnings(spark, docs):
     assert got[500].neighbours and dict(labels)[got[500].neighbours[0]] == 1
 
 
+def test_every_text_with_a_known_word_meets_its_nearest_examples(spark, docs):
+    rows, labels = corpus(300)
+    model = toxicity.train(docs(*rows), spark.createDataFrame(labels[:200], "doc_id long, toxic int"))
+    texts = dict(rows)
+    known = set().union(*(toxicity.terms_of(texts[i]) for i in range(200)))
+    assert set(model.terms) == known and sorted(model.ids.tolist()) == list(range(200))
+    dense = {i: np.zeros(len(known)) for i in texts}
+    for i, text in rows:
+        at, x = toxicity.vector(text, model.finder, model.idf)
+        dense[i][at] = x
+    for r in toxicity.score(docs(*rows[200:]), model).collect():
+        cosine = {i: round(float(dense[i] @ dense[r.doc_id]), 12) for i in range(200)}
+        assert r.neighbours == sorted(range(200), key=lambda i: (-cosine[i], i))[:3]
+        assert np.allclose(r.cosines, [cosine[i] for i in r.neighbours])
+
+
 def test_odd_rows(spark, docs):
     rows, labels = corpus(200)
     model = toxicity.train(docs(*rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
