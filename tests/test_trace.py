@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 from clauseloom.operators import trace as T
+from clauseloom.plans import adapters as A
+from clauseloom.plans import registry
 
 BOX = "bbox STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 FIELDS = f"contract_id STRING, field_key STRING, value STRING, source_text STRING, page_no INT, {BOX}"
@@ -98,3 +100,9 @@ def test_hot_page_is_split_into_buckets(spark):
     fields = spark.createDataFrame([("hot", "f", "v", "第12345号条款内容说明文字", 1, None)], FIELDS)
     row = T.locate_sources(fields, blocks).first()
     assert row.bbox.y1 == 12345
+
+
+def test_every_line_is_traced(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = A.table(spark, sf, "documents").selectExpr(r"explode(split(text, '\\n'))").count()
+    assert registry.queries()["trace_attach_every_line"](spark, sf).agg({"fields": "sum"}).first()[0] == lines
