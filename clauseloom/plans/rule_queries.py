@@ -77,6 +77,26 @@ def violation_reviews(spark, sf_dir):
     return V.apply_violation_reviews(violations, events)[0]
 
 
+# A finding's own id; item_order is the field's position for low confidence.
+_FINDING_ID = "CAST(contract_id AS BIGINT) * 100000 + rule_order * 10000 + item_order"
+
+
+def violation_reviews_every_rule(spark, sf_dir):
+    """The findings of all rules; an event goes to every second finding of its contract."""
+    reviews = A.reviews(spark, sf_dir).select("event_id", "contract_id", "action", "reviewer_id", "created_at")
+    when = reviews.schema["created_at"].dataType.simpleString()
+    found = _all(spark, sf_dir).selectExpr(f"{_FINDING_ID} AS id", "*")
+    targets = found.select("id", "contract_id", "rule_order", "item_order")
+    events = reviews.join(targets, "contract_id").where("(event_id + rule_order + item_order) % 2 = 0").selectExpr(
+        "event_id", "id AS target_id", "action", "reviewer_id", "created_at"
+    )
+    violations = found.selectExpr(
+        "id", "contract_id", "rule_key", "field_key", "item_order", "'active' AS status",
+        f"CAST(NULL AS {when}) AS ignored_at", "CAST(NULL AS STRING) AS ignored_by",
+    )
+    return V.apply_violation_reviews(violations, events)[0]
+
+
 def clause_completeness(spark, sf_dir):
     kinds = A.table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS contract_id", "CASE doc_id % 3 WHEN 0 THEN 'service' WHEN 1 THEN 'development' ELSE 'lease' END AS contract_type"
@@ -96,6 +116,7 @@ QUERIES |= {
     "refresh_violations_suppressed": refresh_violations_suppressed,
     "recompute_violations": recompute_violations,
     "violation_reviews": violation_reviews,
+    "violation_reviews_every_rule": violation_reviews_every_rule,
     "clause_completeness": clause_completeness,
 }
 
@@ -230,6 +251,17 @@ ORACLES = {
           CASE WHEN action = 'approve' THEN created_at END AS ignored_at,
           CASE WHEN action = 'approve' THEN reviewer_id END AS ignored_by
         FROM ({_REQUIRED}) v LEFT JOIN last ON k = contract_id WHERE item_order = 1""",
+    "violation_reviews_every_rule": f"""{_all_cte()}, reviews AS ({A.REVIEWS_SQL}
+        ), ids AS (SELECT *, CAST(contract_id AS BIGINT) * 100000 + rule_order * 10000 + item_order AS id FROM found),
+        last AS (SELECT v.id AS k, arg_max(action, struct_pack(a := created_at, b := event_id)) AS action,
+            arg_max(reviewer_id, struct_pack(a := created_at, b := event_id)) AS reviewer_id, max(created_at) AS created_at
+            FROM reviews r JOIN ids v ON v.contract_id = r.contract_id AND (event_id + rule_order + item_order) % 2 = 0
+            WHERE action IN ('approve', 'reject') GROUP BY v.id)
+        SELECT id, contract_id, rule_key, field_key, item_order,
+          CASE WHEN action = 'approve' THEN 'ignored' ELSE 'active' END AS status,
+          CASE WHEN action = 'approve' THEN created_at END AS ignored_at,
+          CASE WHEN action = 'approve' THEN reviewer_id END AS ignored_by
+        FROM ids LEFT JOIN last ON k = id""",
     "clause_completeness": _COMPLETENESS,
 }
 

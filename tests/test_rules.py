@@ -155,3 +155,15 @@ def test_violation_reviews(make):
     out, refused = V.apply_violation_reviews(violations, events)
     assert sorted((r.id, r.status, r.ignored_by) for r in out.collect()) == [(1, "ignored", "a"), (2, "active", None), (3, "active", None)]
     assert sorted(r.event_id for r in refused.collect()) == [3, 4]
+
+
+def test_reviews_reach_the_findings_of_every_rule(spark):
+    from clauseloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = registry.queries()["violation_reviews_every_rule"](spark, sf).collect()
+    found = registry.queries()["validate_all"](spark, sf).collect()
+    assert len({r.id for r in rows}) == len(rows) == len(found)
+    kinds = {r.rule_key for r in found}
+    assert len(kinds) > 1 and {r.rule_key for r in rows} == kinds
+    assert {r.rule_key for r in rows if r.status == "ignored"} > {"required_fields"}
