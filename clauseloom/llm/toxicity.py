@@ -111,9 +111,22 @@ class BlockMaxIndex:
         self.n_rows = len(self.rows)
         terms = np.concatenate([np.empty(0, np.int64), *[a for a, _ in self.rows]])
         order = np.argsort(terms, kind="stable")
-        terms = terms[order]
+        self.counts = np.bincount(terms, minlength=self.n_terms).astype(np.int32)
         self.ids = np.repeat(np.arange(self.n_rows, dtype=np.int32), [len(a) for a, _ in self.rows])[order]
         self.weights = np.concatenate([np.empty(0), *[x for _, x in self.rows]])[order]
+        self._index()
+
+    def __getstate__(self):
+        """Postings alone, without what they give again."""
+        return self.n_terms, self.block, self.n_rows, self.counts, self.ids, self.weights
+
+    def __setstate__(self, state):
+        self.n_terms, self.block, self.n_rows, self.counts, self.ids, self.weights = state
+        self.rows = []
+        self._index()
+
+    def _index(self):
+        terms = np.repeat(np.arange(self.n_terms), self.counts)
         blocks = self.ids // self.block
         starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])][: len(terms)])
         self.starts, self.blocks = np.r_[starts, len(terms)], blocks[starts]
@@ -276,14 +289,17 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
-            at = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([judge.votes(*judge.index.rows[i], i)[0] for i in at], pa.float64())], ["id", "share"])
+            own = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)
+            share = [judge.votes(a.values.to_numpy(), x.values.to_numpy(), i)[0] for i, a, x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64())], ["id", "share"])
 
     # each example judged by the others
-    judged = docs.sparkSession.range(len(model.index.rows)).mapInArrow(votes, "id long, share double").toArrow().sort_by("id")
+    numbers = pa.array(np.arange(full.sum()), pa.int64())
+    numbered = rows.filter(pa.array(full)).select(["at", "x"]).add_column(0, "id", numbers)
+    judged = docs.sparkSession.createDataFrame(numbered).mapInArrow(votes, "id long, share double").toArrow().sort_by("id")
     shares = judged.column(1).to_pylist()
     model.index.rows = []
-    sent.unpersist()
+    sent.destroy()
     x = np.log((np.array([*shares, base]) + 1e-3) / (1 - np.array([*shares, base]) + 1e-3))
     rest = stands[~full]
     y = np.r_[model.toxic, (rest * toxic[~full]).sum() / max(rest.sum(), 1e-9)]
