@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import byte_bpe, language_id, line_dedup, near_dedup, packing, passage_dedup, toxicity, url_filter, vector_dedup, vector_search
+from clauseloom.llm import (
+    byte_bpe, hard_negatives, language_id, line_dedup, near_dedup, packing, passage_dedup, spelling, toxicity, url_filter, vector_dedup,
+    vector_packing, vector_search,
+)
 from clauseloom.llm.shared import crc_of_id
 
 
@@ -105,9 +108,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")), anchors="vec_id % 100 = 0")
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vector_packing.Limits(tokens=1024, segments=64, loss=1024))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(_table(spark, sf_dir, "documents").select("doc_id", "text"), slips=97))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity, "op2_vector_dedup": op2_vector_dedup, "op3_near_dedup": op3_near_dedup, "op4_language_id": op4_language_id,
     "op5_packing": op5_packing, "op6_vector_search": op6_vector_search, "op7_url_filter": op7_url_filter, "op8_passage_dedup": op8_passage_dedup,
-    "op9_line_dedup": op9_line_dedup, "op10_byte_bpe": op10_byte_bpe,
+    "op9_line_dedup": op9_line_dedup, "op10_byte_bpe": op10_byte_bpe, "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_packing": op12_vector_packing, "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op7_url_filter": OP7_SQL, "op9_line_dedup": OP9_SQL}

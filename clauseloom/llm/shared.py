@@ -36,6 +36,17 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that long texts can't fill a worker; a bound set by the user stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Parquet tables under one fresh folder of the shared root; they cut lineage and survive lost executors."""
 
