@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -15,9 +16,16 @@ from clauseloom.llm import vector_packing as vp
 from tests.llm.conftest import ODD, SF
 
 
-def ids_of(prompt, text):
+@functools.cache
+def own_tokenizer():
     tokenizer = Tokenizer.from_file(vp.TOKENIZER)
     tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@functools.cache
+def ids_of(prompt, text):
+    tokenizer = own_tokenizer()
     return [tokenizer.encode(x or "", add_special_tokens=False).ids for x in (prompt, text)]
 
 
