@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -11,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +24,42 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW_TOKENS, WINDOW_EXAMPLES = 1_000_000, 1_500
 #: Encodings that a Python worker remembers before it starts anew.
 REMEMBERED = 1_000_000
-#: A blank after anything but a word character or ASCII punctuation: white space may run on there.
-_UNSURE = re.compile(r"[^\w!-/:-@\[-`{-~] ")
-_SURE_BLANK = re.compile(r"(?<=[\w!-/:-@\[-`{-~]) ")
+#: A blank or line end after anything but a word character or ASCII punctuation: white space may run on there.
+_UNSURE = re.compile(r"[^\w!-/:-@\[-`{-~][ \n]")
+_SURE = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?: (?!\n)|(?=\n))")
+#: The same for ASCII texts: two of white space.
+_ASCII_UNSURE = tuple(a + b for a in " \n\t\r\v\f" for b in " \n")
+
+
+def ranked(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary for the faster merging by rank, if the file is byte-level BPE whose ids follow its merges."""
+    with open(path, encoding="utf-8") as text:
+        made = json.load(text)
+    model, cutter = made["model"], made.get("pre_tokenizer") or {}
+    plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or made.get("normalizer") or model.get("dropout") or model.get("byte_fallback"):
+        return None
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    single = [t for t in model["vocab"] if len(t) == 1]
+    if len(single) != 256 or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    # printable bytes stand for themselves, the others for the code points from 256 on, in their order
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    names = [*single, *(a + b for a, b in merges)]
+    ranks = {bytes(byte[c] for c in name): model["vocab"][name] for name in names}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _plain(piece: str) -> bool:
+    """Printable and of the first 384 code points, of which all libraries know the same letters."""
+    return piece != "" and piece.isprintable() and max(piece) < "\u0180"
 
 
 class BlankEncoder:
-    """Token ids as little-endian uint32 bytes. The pre-tokeniser always cuts before a blank that follows a letter,
-    digit or punctuation, and looks only ahead, so what lies between two such blanks is encoded on its own and
-    remembered: once as it stands at the start of a text, once with the blank before it."""
+    """Token ids as little-endian uint32 bytes. The pre-tokeniser always cuts before a blank or line end that follows
+    a letter, digit or punctuation, and looks only ahead, so what lies between two such places is encoded on its own
+    and remembered: a piece that starts with a line end as it stands, any other with the blank before it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,22 +68,43 @@ class BlankEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            made = self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(some, made, strict=True))
+        self.merges = ranked(path)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        if self.merges:
+            end = self.merges.encode_ordinary("\n")
+            for mark, own in (("", [p for p in pieces if p[:1] == "\n" and _plain(p[1:])]), (" ", [p for p in pieces if _plain(p)])):
+                before = b"" if mark else np.array(end, "<u4").tobytes()
+                for i in range(0, len(own), 8192):
+                    some = own[i : i + 8192]
+                    # a line end is a pre-token of its own here, so many pieces can share a text
+                    joined = "\n".join(mark + p if mark else p[1:] for p in some)
+                    ids = self.merges.encode_to_numpy(joined, disallowed_special=()).astype("<u4")
+                    cuts, data = np.flatnonzero(ids == end[0]).tolist(), ids.tobytes()
+                    self.known.update((p, before + data[4 * a : 4 * b]) for p, a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+        rest = [p for p in pieces if p not in self.known]
+        made = self.tokenizer.encode_batch_fast([p if p[:1] == "\n" else " " + p for p in rest], add_special_tokens=False)
+        self.known.update((p, np.array(m.ids, "<u4").tobytes()) for p, m in zip(rest, made, strict=True))
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        unsure = any(c in text for c in _ASCII_UNSURE) if text.isascii() else _UNSURE.search(text)
+        return _SURE.split(text) if unsure else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[] if not t else _SURE_BLANK.split(t) if _UNSURE.search(t) else t.split(" ") for t in texts]
+        split = [self.split(t) if t else [""] for t in texts]
+        first = self.tokenizer.encode_batch_fast([words[0] for words in split], add_special_tokens=False)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self._learn(set().union(*(words[1:] for words in split)))
-        made = self.tokenizer.encode_batch_fast([words[0] if words else "" for words in split], add_special_tokens=False)
-        get = self.known.__getitem__
-        return [np.array(m.ids, "<u4").tobytes() + b"".join(map(get, words[1:])) for m, words in zip(made, split, strict=True)]
+        found = [list(map(self.known.get, words[1:])) for words in split]
+        lacking = [i for i, parts in enumerate(found) if None in parts]
+        self._learn(list({w for i in lacking for w, part in zip(split[i][1:], found[i], strict=True) if part is None}))
+        for i in lacking:
+            found[i] = map(self.known.__getitem__, split[i][1:])
+        return [np.array(m.ids, "<u4").tobytes() + b"".join(parts) for m, parts in zip(first, found, strict=True)]
 
 
 _ENCODERS: dict[str, BlankEncoder] = {}  # one for each Python worker
