@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.shared import ship
+from clauseloom.llm.shared import bound_batches, ship
 
 #: Hashed n-grams of one to three characters.
 ORDERS, BITS = 3, 14
@@ -35,20 +35,36 @@ def _letters() -> np.ndarray:
     return out
 
 
+#: Code points folded at a time.
+SLICE = 1_000_000
+
+
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(bucket, count) of the n-grams of a whole text, and whether it has a letter."""
+    """(bucket, count) of the n-grams of a whole text, and whether it has a letter.
+
+    Runs of other characters than letters are one blank, and a blank stands before and after the text. Long texts
+    are folded a slice at a time; each slice goes on from the last folded characters of the one before, so every
+    n-gram is counted once, wherever the cuts are.
+    """
     total, any_letter = np.zeros(1 << BITS, np.int64), False
     text = text or ""
-    for start in range(0, len(text), 1_000_000):  # n-grams over a cut are counted from the overlap
-        code = np.frombuffer(text[max(0, start - ORDERS) : start + 1_000_000].encode("utf-32-le", "surrogatepass"), "<u4")
+    before, counted = np.array([32], np.uint32), 0  # folded characters before the slice, and how many are counted
+    for start in range(0, max(1, len(text)), SLICE):
+        code = np.frombuffer(text[start : start + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
         chars = _letters()[np.minimum(code, 0x10FFFF)]
         blank = chars == 32
         any_letter = any_letter or not blank.all()
-        chars = np.concatenate(([np.uint32(32)], chars[~(blank & np.r_[True, blank[:-1]])], [np.uint32(32)]))
+        parts = [before, chars[~(blank & np.r_[before[-1] == 32, blank[:-1]])] if len(chars) else chars]
+        if start + SLICE >= len(text):
+            parts.append(np.array([32], np.uint32))
+        chars = np.concatenate(parts)
         name = np.zeros(len(chars), np.uint32)
         for n in range(min(ORDERS, len(chars))):
             name = (name[: len(chars) - n] ^ (chars[n:] + np.uint32(n + 1))) * _MULTIPLIERS[n]
-            total += np.bincount((name ^ (name >> np.uint32(15))) >> np.uint32(32 - BITS), minlength=1 << BITS)
+            new = name[max(0, counted - n) :]  # those that end behind what is counted
+            total += np.bincount((new ^ (new >> np.uint32(15))) >> np.uint32(32 - BITS), minlength=1 << BITS)
+        before = chars[-(ORDERS - 1) :]
+        counted = len(before)
     found = np.flatnonzero(total) if any_letter else np.empty(0, np.int64)
     return found, total[found], any_letter
 
@@ -144,8 +160,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     The document counts of the IDF cover all those rows. The weights are fitted on a sample of about ``sample``
     documents, in equal parts from each language, chosen by a hash of the doc_id; it is all that reaches the driver.
+    Whole texts count, whatever their length; repeated rows count again; null and empty texts have no n-grams and
+    texts without a letter teach nothing; of equally frequent languages the first by name counts. Without a row with a
+    lang, as in an empty table, the model knows no language.
     """
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     known = docs.where("lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     labels = sorted(sizes)
@@ -178,22 +198,29 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(labels, idf, weights, scale)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``docs`` with lang_pred and score (columns of those names are replaced).
 
-    Null and empty texts and texts without a letter give ``und`` and score 0, as does a model without languages.
+    ``text`` names the text, with points if it lies inside a struct; it goes to the workers once. Null and empty texts
+    and texts without a letter give ``und`` and score 0, as does a model without languages. Texts of any length are
+    judged as a whole; ties go to the language first by name; repeated rows give repeated results; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
+    bound_batches(spark)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    own = docs.select(F.col("text").alias("_text"), F.struct(*columns).alias("carried"))
+    own = docs.select(F.struct(*columns).alias("carried"))
     sent = spark.sparkContext.broadcast(model)  # 16,384 rows for each of the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sent.value.predict(text.as_py()) for text in batch.column(0)]
+            texts = batch.column(0)
+            for name in text.split("."):
+                texts = texts.field(name)
+            out = [sent.value.predict(x.as_py()) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
+                [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                 ["carried", "lang_pred", "score"])
 
     made = own.mapInArrow(run, f"carried {own.schema['carried'].dataType.simpleString()}, lang_pred string, score double")

@@ -21,7 +21,7 @@ _SPACED = bytes(ASCII_LOWER[c] if c in LETTERS else 32 for c in range(256))
 #: Distinct words counted before a task hands its counts on.
 COUNTED = 500_000
 #: Levels of the trie: the count of each group of letters, frequent letters first; the last group is all other letters.
-GROUPS = ("e", "a", "t", "n", "i", "o", "r", "s", "h", "d", "l", "u", "cg", "mw", "fyb", "pvk", "")
+GROUPS = (*"eatniorshdlucgmwfybpvk", "jqxz", "")
 _GROUP = np.full(256, len(GROUPS) - 1, np.uint8)
 for _number, _letters in enumerate(GROUPS[:-1]):
     _GROUP[list(_letters.encode())] = _number
@@ -30,8 +30,8 @@ MOST = 250
 #: Words of a trie that one task builds, words that look through it in one task, words of a leaf, and nodes of the
 #: upper trie at most (beyond, its tries get larger in proportion).
 TRIE, LOOKING, LEAF, UPPER = 20_000, 100_000, 24, 1 << 17
-#: Pairs compared at a time.
-AT_ONCE = 1 << 20
+#: Pairs compared at a time, and letters of a word up to which many are compared at once.
+AT_ONCE, WIDE = 1 << 19, 32
 
 
 def words(docs: DataFrame, least: int = 5, often: int = 3, slips: int | None = None) -> DataFrame:
@@ -88,28 +88,49 @@ def vectors(some: list[bytes]) -> np.ndarray:
     return np.minimum(counts, MOST).astype(np.uint8)
 
 
-def one_edit(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Whether the pairs of words differ by exactly one inserted, deleted or replaced letter."""
-    out = np.zeros(len(a), bool)
-    sizes = np.array([list(map(len, a)), list(map(len, b))]).reshape(2, -1)
-    for size in np.unique(sizes.min(axis=0)):
-        for gap in (0, 1):
-            at = np.flatnonzero((sizes.min(axis=0) == size) & (sizes.max(axis=0) == size + gap))
-            step = max(1, (AT_ONCE << 4) // (int(size) + 1))
-            for i in range(0, len(at), step):
-                own = at[i : i + step]
-                short, long = zip(*[(a[k], b[k]) if len(a[k]) <= len(b[k]) else (b[k], a[k]) for k in own])
-                x = np.frombuffer(b"".join(short), np.uint8).reshape(len(own), size)
-                y = np.frombuffer(b"".join(long), np.uint8).reshape(len(own), size + gap)
-                if gap == 0:
-                    out[own] = (x != y).sum(axis=1) == 1
-                else:
-                    before = np.logical_and.accumulate(x == y[:, :-1], axis=1).sum(axis=1)
-                    after = np.logical_and.accumulate((x == y[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-                    out[own] = before + after >= size
+@dataclass
+class Spelled:
+    """Words as rows of bytes, from the left and from the right; those over WIDE letters are kept as they are."""
+
+    words: list[bytes]
+    sizes: np.ndarray = field(default=None)
+    left: np.ndarray = field(default=None)
+    right: np.ndarray = field(default=None)
+
+    def __post_init__(self):
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        shown = [w if len(w) <= WIDE else b"" for w in self.words]
+        self.left, self.right = (
+            np.frombuffer(b"".join(pad(w) for w in shown), np.uint8).reshape(-1, WIDE) for pad in (lambda w: w.ljust(WIDE, b"\0"), lambda w: w.rjust(WIDE, b"\0"))
+        )
+
+
+def one_edit(a: Spelled, b: Spelled, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether words ``x`` of ``a`` and ``y`` of ``b`` differ by exactly one inserted, deleted or replaced letter."""
+    out = np.zeros(len(x), bool)
+    sizes, others = a.sizes[x], b.sizes[y]
+    narrow = np.maximum(sizes, others) <= WIDE
+    same = np.flatnonzero(narrow & (sizes == others))
+    out[same] = np.count_nonzero(a.left[x[same]] != b.left[y[same]], axis=1) == 1
+    apart = np.flatnonzero(narrow & (np.abs(sizes - others) == 1))
+    before = np.argmax(a.left[x[apart]] != b.left[y[apart]], axis=1)  # there is a difference, since lengths differ
+    after = np.argmax((a.right[x[apart]] != b.right[y[apart]])[:, ::-1], axis=1)
+    out[apart] = before + after >= np.minimum(sizes, others)[apart]
+    for i in np.flatnonzero(~narrow & (np.abs(sizes - others) <= 1)):
+        out[i] = _one_edit(a.words[x[i]], b.words[y[i]])
     return out
 
 
+def _one_edit(a: bytes, b: bytes) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    differ = np.frombuffer(a, np.uint8) != np.frombuffer(b[: len(a)], np.uint8)
+    if len(a) == len(b):
+        return int(differ.sum()) == 1
+    at = int(np.argmax(differ)) if differ.any() else len(a)
+    return a[at:] == b[at + 1 :]
+
+
 @dataclass
 class Trie:
     """Words sorted by their letter-group counts: the words below a node are a range, its children the runs of one
@@ -185,9 +206,10 @@ def _compared(key: tuple, home: pd.DataFrame, looking: pd.DataFrame) -> pd.DataF
     n, m = home["n"].to_numpy(np.int64), looking["n"].to_numpy(np.int64)
     inside = looking["inside"].to_numpy(bool) if len(looking) else np.empty(0, bool)
     trie, rows, parts = Trie(own, vectors(own)), vectors(mine), []
+    spelled, theirs = Spelled(own), Spelled(mine)
 
     def verified(x: np.ndarray, y: np.ndarray) -> None:
-        ok = one_edit([mine[i] for i in x], [own[i] for i in y])
+        ok = one_edit(theirs, spelled, x, y)
         x, y = x[ok], y[ok]
         # words of the trie itself look for the others of it, so each of such a pair finds the other
         both = ~inside[x]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from clauseloom.llm import language_id, queries
 from tests.llm.conftest import ODD, SF
@@ -51,6 +52,15 @@ def test_long_text_counts_like_its_parts():
     assert set(at) == set(one) and np.allclose(n / 10, m, rtol=0.01)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_cuts_change_no_count(monkeypatch, size):
+    for text in ("inside a word, and  -- at a blank ", "x", " ", "", "12 ab", "ab 12", "a" * 20, "É漢字 " * 9):
+        whole = [x.tolist() if hasattr(x, "tolist") else x for x in language_id.counts(text)]
+        with monkeypatch.context() as m:
+            m.setattr(language_id, "SLICE", size)
+            assert [x.tolist() if hasattr(x, "tolist") else x for x in language_id.counts(text)] == whole
+
+
 def test_penalty_and_temperature():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from clauseloom.llm import queries, spelling
@@ -90,7 +91,9 @@ def test_one_edit():
     pairs = [("abc", "abc", False), ("abc", "abd", True), ("abc", "ab", True), ("abc", "bc", True), ("abc", "ac", True), ("abc", "acb", False), ("abc", "abcde", False),
              ("aab", "ab", True), ("", "a", True), ("", "", False), ("aaaa", "aaa", True), ("abab", "baba", False)]
     a, b, want = ([x.encode() if isinstance(x, str) else x for x in column] for column in zip(*pairs))
-    assert spelling.one_edit(a, b).tolist() == want == spelling.one_edit(b, a).tolist()
+    a, b, every = spelling.Spelled(a), spelling.Spelled(b), np.arange(len(want))
+    assert spelling.one_edit(a, b, every, every).tolist() == want == spelling.one_edit(b, a, every, every).tolist()
+    assert [spelling._one_edit(x, y) for x, y in zip(a.words, b.words)] == want
 
 
 def test_query(spark, sf_docs):
