@@ -57,3 +57,27 @@ def quality_report(fields: DataFrame, golden: DataFrame) -> DataFrame:
         F.expr(f"count_if({hit}) AS hits"),
         F.expr("count_if(golden <> '') AS scored"),
     )
+
+
+def quality_by_place(fields: DataFrame, golden: DataFrame, traced: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``quality_report`` by where a value stands: in a table, in other text, or nowhere that was found.
+
+    ``traced``: contract_id, field_key, page_no, sort_order of the first block
+    of each located source, as ``trace.locate_sources`` gives them.
+    """
+    where = ["page_no", "sort_order"]
+    kinds = blocks.groupBy(K, *where).agg(F.expr("bool_or(block_type = 'table') AS is_table"))
+    places = traced.select(K, "field_key", *where).join(kinds, [K, *where]).selectExpr(
+        K, "field_key", "CASE WHEN is_table THEN 'table' ELSE 'text' END AS place"
+    )
+    placed = fields.drop("place").join(places, [K, "field_key"], "left").selectExpr(
+        K, "field_key", "value", "reviewed_value", "coalesce(place, 'none') AS place"
+    )
+    g = golden.selectExpr(K, "field_key", f"coalesce({strip('expected')}, '') AS golden")
+    hit = f"golden <> '' AND (coalesce({strip('value')}, '') = golden OR coalesce({strip('reviewed_value')}, '') = golden)"
+    return placed.join(g, [K, "field_key"], "left").groupBy("place").agg(
+        F.expr("count(*) AS fields"),
+        F.expr("round(count_if(coalesce(value, '') = '') / count(*), 4) AS null_rate"),
+        F.expr(f"count_if({hit}) AS hits"),
+        F.expr("count_if(golden <> '') AS scored"),
+    )

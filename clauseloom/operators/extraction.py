@@ -49,19 +49,15 @@ def _kind(v: str) -> str:
     return f"schema_of_variant({v})"
 
 
-def _number(v: str) -> str:
-    """The number a variant stands for: a number, a text of one, or a boolean as 0 or 1; else NULL."""
+def _number(v: str, kind: str) -> str:
+    """The number a variant of a known kind stands for: a number, a text of one, or a boolean as 0 or 1; else NULL."""
     return (
-        f"CASE WHEN {_kind(v)} = 'BOOLEAN' THEN CAST(try_variant_get({v}, '$', 'BOOLEAN') AS DOUBLE) "
-        f"WHEN {_kind(v)} = 'STRING' THEN try_cast(trim(try_variant_get({v}, '$', 'STRING')) AS DOUBLE) "
-        f"WHEN {_kind(v)} <> 'VOID' THEN try_variant_get({v}, '$', 'DOUBLE') END"
+        f"CASE {kind} WHEN 'BOOLEAN' THEN CAST(try_variant_get({v}, '$', 'BOOLEAN') AS DOUBLE) "
+        f"WHEN 'STRING' THEN try_cast(trim(try_variant_get({v}, '$', 'STRING')) AS DOUBLE) "
+        f"WHEN 'VOID' THEN NULL ELSE try_variant_get({v}, '$', 'DOUBLE') END"
     )
 
 
-def _absent(v: str) -> str:
-    return f"coalesce({_kind(v)} = 'VOID', true)"
-
-
 def _items() -> str:
     """Candidates of an answer as structs of variants, one for each member, with the key they stand under."""
     get = ", ".join(f"try_variant_get(x.value, '$.{m}', 'VARIANT') AS {m}" for m in _MEMBERS)
@@ -81,27 +77,37 @@ def _items() -> str:
     return f"transform(CASE WHEN size(listed) > 0 THEN {listed} ELSE {mapped} END, x -> struct(x.key AS key, {whole}, {get}))"
 
 
-def _field() -> str:
-    """One field of a candidate ``m``; ``ok`` tells whether every member has a type it may have."""
+def _fields(found: str) -> str:
+    """The fields of the candidates ``found``; ``ok`` tells whether every member has a type it may have.
+
+    Steps over the array: each member's kind is looked up once, then each member is converted once, then judged.
+    """
+    kinds = ", ".join([*(f"m.{c} AS {c}" for c in _MEMBERS), *(f"{_kind(f'm.{c}')} AS k_{c}" for c in _MEMBERS)])
+    typed = f"transform({found}, m -> struct(m.key AS key, m.is_object AS is_object, {kinds}))"
     value = "CASE WHEN m.field_value IS NOT NULL THEN m.field_value ELSE m.value END"
-    shown = (
-        f"CASE {_kind(value)} WHEN 'VOID' THEN NULL WHEN 'BOOLEAN' THEN initcap(CAST({value} AS STRING)) "
-        f"ELSE CAST({value} AS STRING) END"
+    value_kind = "CASE WHEN m.field_value IS NOT NULL THEN m.k_field_value ELSE m.k_value END"
+    shown = f"CASE {value_kind} WHEN 'VOID' THEN NULL WHEN 'BOOLEAN' THEN initcap(CAST({value} AS STRING)) ELSE CAST({value} AS STRING) END"
+    text = lambda c: f"CASE WHEN m.k_{c} = 'STRING' THEN CAST(m.{c} AS STRING) END"
+    absent = lambda c: f"coalesce(m.k_{c} = 'VOID', true)"
+    corner = f"transform(try_variant_get(m.source_bbox, '$', 'ARRAY<VARIANT>'), e -> struct(e AS v, {_kind('e')} AS k))"
+    texts = " AND ".join(f"coalesce(m.k_{c} IN ('VOID', 'STRING'), true)" for c in ("field_name", "source_text"))
+    converted = (
+        f"transform({typed}, m -> struct(CASE WHEN m.field_key IS NULL THEN m.key ELSE {text('field_key')} END AS field_key, "
+        f"{text('field_name')} AS field_name, {shown} AS value, {text('source_text')} AS source_text, "
+        f"{_number('m.source_page', 'm.k_source_page')} AS page, {absent('source_page')} AS no_page, "
+        f"transform({corner}, e -> {_number('e.v', 'e.k')}) AS source_bbox, {absent('source_bbox')} AS no_bbox, "
+        f"CASE WHEN m.confidence IS NULL THEN 0.8D ELSE {_number('m.confidence', 'm.k_confidence')} END AS confidence, "
+        f"m.is_object AND {texts} AS ok))"
     )
-    text = lambda k: f"CASE WHEN {_kind(f'm.{k}')} = 'STRING' THEN CAST(m.{k} AS STRING) END"
-    key = f"CASE WHEN m.field_key IS NULL THEN m.key ELSE {text('field_key')} END"
-    page, box = _number("m.source_page"), "try_variant_get(m.source_bbox, '$', 'ARRAY<VARIANT>')"
-    corners = f"transform({box}, e -> {_number('e')})"
-    sure = f"CASE WHEN m.confidence IS NULL THEN 0.8D ELSE {_number('m.confidence')} END"
-    texts = " AND ".join(f"coalesce({_kind(f'm.{k}')} IN ('VOID', 'STRING'), true)" for k in ("field_name", "source_text"))
     ok = (
-        f"m.is_object AND {key} IS NOT NULL AND {texts} "
-        f"AND ({_absent('m.source_page')} OR coalesce({page} = floor({page}) AND abs({page}) < 2147483648, false)) "
-        f"AND ({_absent('m.source_bbox')} OR coalesce(forall({corners}, c -> c IS NOT NULL), false)) AND {sure} IS NOT NULL"
+        "f.ok AND f.field_key IS NOT NULL "
+        "AND (f.no_page OR coalesce(f.page = floor(f.page) AND abs(f.page) < 2147483648, false)) "
+        "AND (f.no_bbox OR coalesce(forall(f.source_bbox, c -> c IS NOT NULL), false)) AND f.confidence IS NOT NULL"
     )
     return (
-        f"struct({key} AS field_key, {text('field_name')} AS field_name, {shown} AS value, {text('source_text')} AS source_text, "
-        f"try_cast({page} AS INT) AS source_page, {corners} AS source_bbox, {sure} AS confidence, {ok} AS ok)"
+        f"transform({converted}, f -> struct(f.field_key AS field_key, f.field_name AS field_name, f.value AS value, "
+        "f.source_text AS source_text, try_cast(f.page AS INT) AS source_page, f.source_bbox AS source_bbox, "
+        f"f.confidence AS confidence, {ok} AS ok))"
     )
 
 
@@ -124,9 +130,8 @@ def explode_fields(responses: DataFrame) -> DataFrame:
         K, "chunk_no", "json", "v", "try_variant_get(v, '$.fields', 'ARRAY<VARIANT>') AS listed",
         "try_variant_get(v, '$.contract_type', 'VARIANT') AS t", "try_variant_get(v, '$.contract_type_confidence', 'VARIANT') AS s",
     )
-    typed = f"coalesce({_kind('t')} IN ('VOID', 'STRING'), true) AND (s IS NULL OR {_number('s')} IS NOT NULL)"
-    found = rows.selectExpr(K, "chunk_no", f"CASE WHEN {typed} THEN {_items()} END AS found")
-    items = found.selectExpr(K, "chunk_no", f"transform(found, m -> {_field()}) AS items")
+    typed = f"coalesce({_kind('t')} IN ('VOID', 'STRING'), true) AND (s IS NULL OR {_number('s', _kind('s'))} IS NOT NULL)"
+    items = rows.selectExpr(K, "chunk_no", f"CASE WHEN {typed} THEN {_fields(_items())} END AS items")
     whole = "CASE WHEN forall(items, x -> x.ok) THEN items END"
     return items.selectExpr(K, "chunk_no", f"posexplode({whole}) AS (pos, f)").selectExpr(
         K, "chunk_no", "pos", "f.field_key", "f.field_name", "f.value", "f.source_text", "f.source_page",

@@ -53,12 +53,16 @@ class Rule:
     message, field_key, item_order``. A value rule has ``items``: named values
     of the wide contract row, as (condition, message, field_key) SQL. All value
     rules of a run are evaluated together in one pass.
+
+    ``inputs`` is an SQL condition on ``field_key``: the fields that the rule
+    reads. A rule that does not say reads all of them.
     """
 
     name: str
     severity: str
     check: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     items: tuple[tuple[str, str, str], ...] = ()
+    inputs: str = "true"
 
 
 _registry: list[Rule] = []
@@ -77,6 +81,10 @@ def clear_rules() -> None:
     _registry.clear()
 
 
+def _reads(*keys: str) -> str:
+    return f"field_key IN ({', '.join(repr(k) for k in keys)})"
+
+
 def _with_pos(fields: DataFrame) -> DataFrame:
     return fields if "pos" in fields.columns else fields.selectExpr("*", "0 AS pos")
 
@@ -167,13 +175,14 @@ def low_confidence(fields: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 BUILTIN = [
-    Rule("required_fields", "error", items=tuple(_required_items())),
+    Rule("required_fields", "error", items=tuple(_required_items()), inputs=_reads("party-a-name", "party-b-name")),
     Rule(
         "date_consistency", "warning",
         items=(
             ("eff_date > fin_date", "concat('生效日期(', eff, ')晚于终止日期(', fin, ')')", "effective-date"),
             ("sig_date > fin_date", "concat('签署日期(', sig, ')晚于终止日期(', fin, ')')", "sign-date"),
         ),
+        inputs=_reads("effective-date", "end-date", "sign-date"),
     ),
     Rule(
         "amount_consistency", "error",
@@ -184,8 +193,9 @@ BUILTIN = [
                 "contract-amount",
             ),
         ),
+        inputs=_reads("contract-amount"),
     ),
-    Rule("payment_ratio", "warning", check=payment_ratio),
+    Rule("payment_ratio", "warning", check=payment_ratio, inputs=f"field_key RLIKE '{RATIO_KEY}'"),
     Rule(
         "financial_consistency", "warning",
         items=(
@@ -196,6 +206,7 @@ BUILTIN = [
                 "contract-amount",
             ),
         ),
+        inputs=_reads("contract-amount"),
     ),
     Rule("low_confidence", "warning", check=low_confidence),
 ]
@@ -293,13 +304,46 @@ def refresh_violations(
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def recompute(fields: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Validate reviewed values where given; a missing confidence counts as 0."""
+def _effective(fields: DataFrame) -> DataFrame:
     swap = {
         "value": f"{effective_value('reviewed_value', 'value')} AS value",
         "confidence": "coalesce(confidence, 0D) AS confidence",
     }
-    return validate(fields.selectExpr(*[swap.get(c, c) for c in fields.columns]), contracts)
+    return fields.selectExpr(*[swap.get(c, c) for c in fields.columns])
+
+
+def recompute(fields: DataFrame, contracts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Validate reviewed values where given; a missing confidence counts as 0."""
+    return validate(_effective(fields), contracts, rules=rules)
+
+
+def touched_rules(edits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(contract_id, rule_key) of the rules that read one of the edited fields.
+
+    ``edits``: contract_id, field_key. The index from field to rules is made
+    of the rules' own ``inputs`` and is as small as the list of rules, so it
+    is evaluated in place, without a join.
+    """
+    rules = [*BUILTIN, *registered()] if rules is None else rules
+    hit = ", ".join(f"CASE WHEN {rule.inputs} THEN '{rule.name}' END" for rule in rules)
+    return edits.selectExpr(K, f"explode(array({hit})) AS rule_key").filter("rule_key IS NOT NULL").distinct()
+
+
+def recompute_touched(
+    stored: DataFrame, fields: DataFrame, contracts: DataFrame, edits: DataFrame, rules: list[Rule] | None = None
+) -> DataFrame:
+    """``recompute`` after edits, worked out for the touched (contract, rule) pairs alone.
+
+    ``stored`` are the findings before the edits, ``fields`` the state after
+    them. Rules that no edit touches are not evaluated in any contract; the
+    others see the fields of edited contracts only.
+    """
+    rules = [*BUILTIN, *registered()] if rules is None else rules
+    pairs = touched_rules(edits, rules)
+    some = edits.select(K).distinct()
+    fresh = recompute(fields.join(some, K, "left_semi"), contracts.join(some, K, "left_semi"), rules)
+    kept = stored.join(pairs, [K, "rule_key"], "left_anti")
+    return kept.unionByName(fresh.join(pairs, [K, "rule_key"], "left_semi"))
 
 
 def apply_violation_reviews(violations: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,15 @@
 """Source tracing: find where on a page a field's source text stands.
 
-A field is compared with the blocks of its page (all pages when unknown). The
-comparison is an equi-join on small block buckets, never on a whole contract:
-a directory of the buckets that exist routes each field to exactly the buckets
-it needs, so a page or contract of any size is spread over many tasks. A
-contract has at most one field per definition, hence a bucket of at most
-``BUCKET`` blocks meets a bounded number of fields.
+A field whose page is known is compared with the blocks of that page. The
+comparison is an equi-join on small block buckets: a directory of the buckets
+that exist routes each field to exactly the buckets it needs, so a page of any
+size is spread over many tasks. A contract has at most one field per
+definition, hence a bucket of at most ``BUCKET`` blocks meets a bounded number
+of fields.
+
+A field without a page may stand anywhere in its contract. It finds its blocks
+through an inverted list of the contract's bigrams: only blocks that share one
+of its rarest bigrams, and can still reach the wanted score, are compared.
 """
 
 from __future__ import annotations
@@ -45,42 +49,113 @@ def _probes(fields: DataFrame) -> DataFrame:
     return probes.filter(f"length(source) >= {MIN_LENGTH}").selectExpr("*", f"{bigrams('source')} AS s_grams")
 
 
-def block_scores(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The three best blocks per field with their score and rank.
+_SCORE = "n / ns * 0.7D + n / (ns + nb - n) * 0.3D"
 
-    score = 0.7 * share of the source's bigrams in the block + 0.3 * Jaccard.
-    Ties go to the earlier block. The ranking keeps at most three rows per
-    field in every task before it shuffles.
-    """
-    prepared = _blocks(blocks)
-    directory = prepared.select(K, "page_no", "bucket").distinct()
-    probes = _probes(fields)
-    known = probes.filter("field_page IS NOT NULL").join(
-        directory.selectExpr(K, "page_no AS field_page", "bucket"), [K, "field_page"]
-    ).selectExpr(*probes.columns, "field_page AS page_no", "bucket")
-    anywhere = probes.filter("field_page IS NULL").join(directory, K).select(*known.columns)
-    routed = known.unionByName(anywhere)
+
+def _on_page(probes: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Fields with a page and all blocks of it, compared."""
+    directory = prepared.selectExpr(K, "page_no AS field_page", "bucket").distinct()
+    routed = probes.filter("field_page IS NOT NULL").join(directory, [K, "field_page"]).selectExpr(
+        *probes.columns, "field_page AS page_no", "bucket"
+    )
     grams = prepared.selectExpr("*", f"{bigrams('norm')} AS b_grams")
-    pairs = routed.join(grams, [K, "page_no", "bucket"]).selectExpr(
+    return routed.join(grams, [K, "page_no", "bucket"]).selectExpr(
         K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
         "size(array_intersect(s_grams, b_grams)) AS n", "size(s_grams) AS ns", "size(b_grams) AS nb",
     )
-    scored = pairs.selectExpr(
-        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
-        "n / ns * 0.7D + n / (ns + nb - n) * 0.3D AS score",
-    )
-    ranked = scored.selectExpr(
+
+
+class GramIndex:
+    """Inverted lists of the bigrams of contracts that have a field without a page.
+
+    Blocks of equal text score alike, so the first three of them stand for all.
+    The lists are cut by (contract, bigram); a field's bigrams are ordered by
+    how many blocks have them, rarest first. A block that shares none of the
+    first ``p`` of ``ns`` bigrams scores at most ``(ns - p) / ns``.
+    """
+
+    def __init__(self, probes: DataFrame, prepared: DataFrame):
+        self.probes = probes.filter("field_page IS NULL")
+        first = f"row_number() OVER (PARTITION BY {K}, norm ORDER BY page_no, sort_order, block_id) AS copy"
+        blocks = prepared.filter("norm <> ''").join(self.probes.select(K).distinct(), K, "left_semi")
+        self.blocks = blocks.selectExpr("*", first).filter(f"copy <= {ANCHORS}").selectExpr(
+            K, "page_no", "sort_order", "block_id", "bbox", f"{bigrams('norm')} AS b_grams"
+        )
+        self.lists = self.blocks.selectExpr(
+            K, "page_no", "sort_order", "block_id", "size(b_grams) AS nb", "explode(b_grams) AS gram"
+        )
+        held = self.lists.groupBy(K, "gram").agg(F.expr("count(*) AS held"))
+        order = "array_sort(collect_list(struct(coalesce(held, 0L) AS held, gram))) AS ordered"
+        self.fields = self.probes.selectExpr(K, "field_key", "explode(s_grams) AS gram").join(
+            held, [K, "gram"], "left"
+        ).groupBy(K, "field_key").agg(F.expr(order)).selectExpr("*", "size(ordered) AS ns")
+
+    def candidates(self, fields: DataFrame) -> DataFrame:
+        """(field, block) of all blocks that can score ``least`` or more, for ``fields`` with ordered, ns and least."""
+        rare = fields.selectExpr(K, "field_key", "ns", "least", "ordered", "least(ns, CAST(floor(ns * (1 - least) + 1e-9) AS INT) + 1) AS p")
+        looked_up = rare.selectExpr(
+            K, "field_key", "ns", "least", "p",
+            "explode(transform(filter(slice(ordered, 1, p), g -> g.held > 0), g -> g.gram)) AS gram",
+        )
+        met = looked_up.join(self.lists, [K, "gram"]).groupBy(
+            K, "field_key", "page_no", "sort_order", "block_id", "ns", "nb", "least", "p"
+        ).agg(F.expr("count(*) AS shared"))
+        # of the bigrams that were not looked up all may be shared at best
+        able = met.selectExpr("*", "least(shared + ns - p, nb) AS n").filter(f"{_SCORE} >= least - 1e-9")
+        return able.select(K, "field_key", "page_no", "sort_order", "block_id")
+
+    def compared(self, candidates: DataFrame) -> DataFrame:
+        """The candidates with exact counts, as ``_on_page`` has them."""
+        return candidates.join(self.blocks, [K, "page_no", "sort_order", "block_id"]).join(
+            self.probes, [K, "field_key"]
+        ).selectExpr(
+            K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
+            "size(array_intersect(s_grams, b_grams)) AS n", "size(s_grams) AS ns", "size(b_grams) AS nb",
+        )
+
+    def passing(self, least: float) -> DataFrame:
+        """All pairs that may score ``least`` or more."""
+        return self.compared(self.candidates(self.fields.selectExpr("*", f"{least}D AS least")))
+
+    def best(self) -> DataFrame:
+        """Pairs among which are the three best blocks of every field.
+
+        The rarest bigrams give some blocks, the third best of which sets what
+        other blocks must score; the bigrams that bound asks for give the rest.
+        """
+        some = self.compared(self.candidates(self.fields.selectExpr("*", f"{SINGLE_PASS}D AS least")))
+        third = _ranked(some).groupBy(K, "field_key").agg(F.expr(f"min(score) FILTER (WHERE rank = {ANCHORS}) AS third"))
+        wanted = self.fields.join(third, [K, "field_key"], "left").selectExpr(K, "field_key", "ns", "ordered", "coalesce(third, 0D) AS least")
+        return self.compared(self.candidates(wanted))
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """The three best pairs of a field by score; a block that shares nothing is behind all others."""
+    scored = pairs.selectExpr(*pairs.columns, f"{_SCORE} AS score")
+    return scored.selectExpr(
         "*",
         f"row_number() OVER (PARTITION BY {K}, field_key ORDER BY score DESC, page_no, sort_order, block_id) AS rank",
-    )
-    # a block that shares nothing scores 0 and ranks behind all others
-    return ranked.filter(f"rank <= {ANCHORS} AND score > 0")
+    ).filter(f"rank <= {ANCHORS} AND score > 0")
+
+
+def block_scores(fields: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The three best blocks per field with their score and rank.
+
+    score = 0.7 * share of the source's bigrams in the block + 0.3 * Jaccard,
+    from n bigrams shared of ns in the source and nb in the block. Ties go to
+    the earlier block. The ranking keeps at most three rows per field in every
+    task before it shuffles.
+    """
+    prepared, probes = _blocks(blocks), _probes(fields)
+    return _ranked(_on_page(probes, prepared).unionByName(GramIndex(probes, prepared).best()))
 
 
 def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Page, box, score and block count (``span``) of every field that can be traced.
+    """Page, first block's position, box, score and block count (``span``) of every field that can be traced.
 
-    A field is done when its best block passes alone and has a box. Otherwise,
+    A field is done when its best block passes alone and has a box; without a
+    page no other match is tried, so only blocks that can pass alone are looked
+    up. Otherwise,
     with a known page, windows of two to four neighbouring blocks are tried
     from its best blocks on: anchors in rank order, shorter windows first.
     Neighbours are at most two positions apart, so an anchor needs the blocks
@@ -90,7 +165,9 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     reach = MAX_JUMP * (MAX_SPAN - 1)
     passed = f"rank = 1 AND score >= {SINGLE_PASS} AND bbox IS NOT NULL"
-    scores = block_scores(fields, blocks).selectExpr(
+    prepared, probes = _blocks(blocks), _probes(fields)
+    pairs = _on_page(probes, prepared).unionByName(GramIndex(probes, prepared).passing(SINGLE_PASS))
+    scores = _ranked(pairs).selectExpr(
         "*", f"bool_or({passed}) OVER (PARTITION BY {K}, field_key) AS done"
     ).filter("(done AND rank = 1) OR (NOT done AND field_page IS NOT NULL)")
     anchors = scores.selectExpr(
@@ -99,7 +176,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         f"explode(CASE WHEN done THEN array(-1L) ELSE sequence(floor(sort_order / {BUCKET}), "
         f"floor((sort_order + {reach}) / {BUCKET})) END) AS bucket",
     )
-    near = _blocks(blocks).selectExpr(
+    near = prepared.selectExpr(
         f"{K} AS r_key", "page_no AS r_page", "bucket AS r_bucket", "sort_order", "block_id", "norm", "bbox"
     )
     match = (
@@ -108,6 +185,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     )
     runs = anchors.join(near, F.expr(match), "left").groupBy(K, "field_key", "page_no", "rank", "done").agg(
         F.expr("any_value(s_grams) AS s_grams"), F.expr("any_value(a_box) AS a_box"), F.expr("any_value(a_score) AS a_score"),
+        F.expr("any_value(a_order) AS a_order"),
         F.expr(
             "array_sort(collect_list(struct(sort_order, block_id, norm, bbox)) FILTER (WHERE norm IS NOT NULL)) AS run"
         ),
@@ -120,12 +198,12 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         runs.selectExpr("*", f"explode(CASE WHEN done THEN array(1) ELSE sequence(2, {MAX_SPAN}) END) AS span")
         .filter(reachable)
         .selectExpr(
-            K, "field_key", "page_no", "rank", "done", "span", "s_grams", "a_box", "a_score",
+            K, "field_key", "page_no", "rank", "done", "span", "s_grams", "a_box", "a_score", "a_order",
             "transform(slice(run, 1, span), b -> b.bbox) AS boxes",
             "array_join(transform(slice(run, 1, span), b -> b.norm), '') AS text",
         )
         .selectExpr(
-            K, "field_key", "page_no", "rank", "done", "span",
+            K, "field_key", "page_no", "rank", "done", "span", "a_order AS sort_order",
             f"CASE WHEN done THEN a_box ELSE {union_box('boxes')} END AS bbox",
             # a two-character gram is in the window's gram set exactly when the text contains it
             "CASE WHEN done THEN a_score ELSE size(filter(s_grams, g -> contains(text, g))) / size(s_grams) END AS score",
@@ -133,8 +211,8 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     )
     hit = f"(done OR score >= {MERGED_PASS}) AND bbox IS NOT NULL"
     return windows.groupBy(K, "field_key").agg(
-        F.expr(f"min_by(struct(page_no, bbox, score, span), struct(rank, span)) FILTER (WHERE {hit}) AS m")
-    ).filter("m IS NOT NULL").selectExpr(K, "field_key", "m.page_no", "m.bbox", "m.score", "m.span")
+        F.expr(f"min_by(struct(page_no, sort_order, bbox, score, span), struct(rank, span)) FILTER (WHERE {hit}) AS m")
+    ).filter("m IS NOT NULL").selectExpr(K, "field_key", "m.page_no", "m.sort_order", "m.bbox", "m.score", "m.span")
 
 
 def attach_boxes(fields: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -185,14 +185,13 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def traces(spark: SparkSession, sf_dir: str, every_line: bool = False) -> DataFrame:
-    """Fields to trace: three lines a page or every line, in odd documents two lines each.
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a field to trace, in odd documents two lines each.
 
     Every third document does not know its pages.
     """
-    chosen = "true" if every_line else "pos % 20 IN (1, 7, 13)"
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", r"split(text, '\\n') AS ls")
-    return docs.selectExpr("doc_id", "ls", "posexplode(ls) AS (pos, line)").filter(chosen).selectExpr(
+    return docs.selectExpr("doc_id", "ls", "posexplode(ls) AS (pos, line)").selectExpr(
         "doc_id AS contract_id", "concat('f', pos) AS field_key", "'v' AS value",
         "CASE WHEN doc_id % 2 = 0 THEN line ELSE concat(line, ' ', coalesce(get(ls, pos + 1), '')) END AS source_text",
         "CASE WHEN doc_id % 3 <> 0 THEN CAST(floor(pos / 20) AS INT) + 1 END AS page_no",

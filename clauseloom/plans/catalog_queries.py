@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.boxes import rescale_box
 from clauseloom.operators import catalog as Q
+from clauseloom.operators import feed, grams, pages
 from clauseloom.operators import rules as V
 from clauseloom.plans import adapters as A
 from clauseloom.plans.clause_queries import BLOCKS
-from clauseloom.plans.rule_queries import ALL_FINDINGS
+from clauseloom.plans.rule_queries import ALL_FINDINGS, feed_sql
 from clauseloom.schemas import DEFINITIONS, seed_patches
+from clauseloom.streaming import jobs
 
 NOW = "2000-06-15 00:00:00"
 
@@ -173,6 +175,43 @@ def record_statuses(spark, sf_dir):
     )
 
 
+def contract_page(spark, sf_dir):
+    """A deep page of the contract list, read from the run it lies in."""
+    rows = A.contracts(spark, sf_dir).filter("status = 'reviewing'")
+    index = pages.paged(rows, [F.desc("created_at"), F.asc("contract_id")], jobs.work_folder(spark, "pages"), run=500)
+    return index.page(31, 20)
+
+
+def audit_page_indexed(spark, sf_dir):
+    """The same for the audit trail of all contracts, newest first."""
+    rows = A.reviews(spark, sf_dir).select("event_id", "contract_id", "field_key", "action", "reviewer_id", "created_at")
+    index = pages.paged(rows, [F.desc("created_at"), F.desc("event_id")], jobs.work_folder(spark, "audit-pages"), run=1000)
+    return index.page(17, 50)
+
+
+def search_grams(spark, sf_dir):
+    lists = grams.gram_lists(_stored_definitions(spark, sf_dir), jobs.work_folder(spark, "grams"))
+    return lists.search("  ECONOMY ", page=2, page_size=15).select("field_key", "sort_order", "total", "required_total")
+
+
+def search_grams_short(spark, sf_dir):
+    """A query of two letters."""
+    lists = grams.gram_lists(_stored_definitions(spark, sf_dir), jobs.work_folder(spark, "grams"))
+    return lists.search("Ti", page=1, page_size=50).select("field_key", "sort_order", "total", "required_total")
+
+
+def feed_definition_updates(spark, sf_dir):
+    """What a partial update of the definitions changes."""
+    old = _stored_definitions(spark, sf_dir).select("field_key", "field_name", "description")
+    return feed.changes(old, update_definitions(spark, sf_dir), ["field_key"])
+
+
+def feed_seed_sync(spark, sf_dir):
+    """What a seed synchronisation changes."""
+    old = _stored_definitions(spark, sf_dir)
+    return feed.changes(old, seed_sync(spark, sf_dir), ["field_key"]).select("op", *old.columns)
+
+
 QUERIES = {
     "latest_files": latest_files, "contract_list": contract_list, "contract_detail": contract_detail, "field_list": field_list,
     "active_definitions": active_definitions, "seed_sync": seed_sync, "seed_reset": seed_reset, "add_definitions": add_definitions,
@@ -181,6 +220,8 @@ QUERIES = {
     "result_counts": result_counts, "result_report": result_report, "tasks_of": tasks_of, "batch_outcomes": batch_outcomes,
     "batch_summary": batch_summary, "expired_tasks": expired_tasks, "due_tasks": due_tasks, "task_state": task_state,
     "ready_contracts": ready_contracts, "rescaled_boxes": rescaled_boxes, "record_statuses": record_statuses,
+    "contract_page": contract_page, "audit_page_indexed": audit_page_indexed, "search_grams": search_grams,
+    "search_grams_short": search_grams_short, "feed_definition_updates": feed_definition_updates, "feed_seed_sync": feed_seed_sync,
 }
 
 # --- reference SQL -----------------------------------------------------------
@@ -280,3 +321,18 @@ ORACLES = {
         CASE WHEN contract_id % 6 = 0 THEN 0 ELSE greatest(1, (y2 - y1) * 0.5) END AS h FROM blocks WHERE x1 IS NOT NULL""",
     "record_statuses": f"WITH contracts AS ({A.CONTRACTS_SQL}) SELECT status, {_RECORD} AS record_status, count(*) AS n FROM contracts GROUP BY status",
 }
+
+
+_DEF = ["field_name", "description", "value_type", "required", "sort_order", "is_active", "contract_type"]
+ORACLES |= {
+    "contract_page": f"""{_C} SELECT *, (SELECT count(*) FROM contracts WHERE status = 'reviewing') AS total FROM contracts
+        WHERE status = 'reviewing' ORDER BY created_at DESC, contract_id LIMIT 20 OFFSET 600""",
+    "audit_page_indexed": f"""WITH reviews AS ({A.REVIEWS_SQL}) SELECT event_id, contract_id, field_key, action, reviewer_id, created_at,
+        (SELECT count(*) FROM reviews) AS total FROM reviews ORDER BY created_at DESC, event_id DESC LIMIT 50 OFFSET 800""",
+    "search_grams": ORACLES["search_definitions"],
+    "search_grams_short": ORACLES["search_definitions"].replace("'economy'", "'ti'").replace("LIMIT 15 OFFSET 15", "LIMIT 50"),
+    "feed_definition_updates": feed_sql(
+        f"{_STORED} SELECT field_key, field_name, description FROM defs", ORACLES["update_definitions"], ["field_key"], ["field_name", "description"]
+    ),
+    "feed_seed_sync": feed_sql(f"{_STORED} SELECT * FROM defs", ORACLES["seed_sync"], ["field_key"], _DEF),
+}

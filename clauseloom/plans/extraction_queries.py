@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauseloom.operators import evaluation as M
 from clauseloom.operators import extraction as E
+from clauseloom.operators import feed
 from clauseloom.operators import trace as T
 from clauseloom.plans import adapters as A
 from clauseloom.plans import batch
 from clauseloom.plans.clause_queries import BLOCKS
+from clauseloom.plans.rule_queries import feed_sql
 
 REQUESTED = ["party-a-name", "party-b-name", "contract-amount", "sign-date", "effective-date", "end-date", "payment-method"]
 
@@ -84,10 +87,19 @@ def extraction_diagnostics(spark, sf_dir):
     return E.extraction_diagnostics(fields, merged, requested)
 
 
-def upsert_fields(spark, sf_dir):
-    stored = A.fields(spark, sf_dir).selectExpr(
+def _approved(spark, sf_dir):
+    return A.fields(spark, sf_dir).selectExpr(
         "contract_id", "field_key", "value", "confidence", "'approved' AS review_status", "'r' AS reviewed_value"
     )
+
+
+def feed_upsert(spark, sf_dir):
+    """What an upsert of extracted fields changes."""
+    return feed.changes(_approved(spark, sf_dir), upsert_fields(spark, sf_dir), ["contract_id", "field_key"])
+
+
+def upsert_fields(spark, sf_dir):
+    stored = _approved(spark, sf_dir)
     new = A.fields(spark, sf_dir).filter("contract_id % 2 = 0 AND pos <= 3").selectExpr(
         "contract_id", "field_key", "concat(value, '!') AS value", "confidence"
     )
@@ -116,56 +128,78 @@ def resolve_type(spark, sf_dir):
     return E.resolve_type(classified, inline)
 
 
-def trace_sources(spark, sf_dir, every_line=False):
-    found = T.locate_sources(A.traces(spark, sf_dir, every_line), A.blocks(spark, sf_dir))
+def trace_sources(spark, sf_dir):
+    found = T.locate_sources(A.traces(spark, sf_dir), A.blocks(spark, sf_dir))
     return found.selectExpr(
         "contract_id", "field_key", "page_no", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2",
         "round(score, 6) AS score", "span",
     )
 
 
-def trace_scores(spark, sf_dir, every_line=False):
-    scores = T.block_scores(A.traces(spark, sf_dir, every_line), A.blocks(spark, sf_dir))
-    return scores.selectExpr("contract_id", "field_key", "page_no", "sort_order", "round(score, 6) AS score", "rank")
+def trace_scores(spark, sf_dir):
+    """The counts a score is made of, which are whole numbers, and its rank."""
+    scores = T.block_scores(A.traces(spark, sf_dir), A.blocks(spark, sf_dir))
+    return scores.select("contract_id", "field_key", "page_no", "sort_order", "n", "ns", "nb", "rank")
+
+
+def trace_attach(spark, sf_dir):
+    out = T.attach_boxes(A.traces(spark, sf_dir), A.blocks(spark, sf_dir))
+    return out.selectExpr("contract_id", "field_key", "page_no", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2")
 
 
-def trace_attach(spark, sf_dir, every_line=False):
-    out = T.attach_boxes(A.traces(spark, sf_dir, every_line), A.blocks(spark, sf_dir))
-    return out.groupBy("page_no").agg(
-        F.expr("count(*) AS fields"), F.expr("count(bbox) AS located"), F.expr("sum(bbox.y1) AS y1_sum")
+def line_answers(spark, sf_dir):
+    """One model answer a document with all of its lines as fields; the documents' own field sets."""
+    lines = A.traces(spark, sf_dir)
+    field = "struct(field_key, concat('V', field_key) AS field_value, source_text, page_no AS source_page, 0.9D AS confidence)"
+    responses = lines.groupBy("contract_id").agg(F.expr(f"to_json(struct(collect_list({field}) AS fields)) AS raw")).selectExpr(
+        "contract_id", "0 AS chunk_no", "raw", "CAST(NULL AS STRING) AS error"
     )
+    sets = lines.selectExpr(
+        "contract_id", "field_key", "concat('Line ', field_key) AS field_name", "'' AS description", "'string' AS value_type", "1 AS sort_order"
+    )
+    contracts = A.table(spark, sf_dir, "documents").selectExpr("doc_id AS contract_id", "'done' AS ocr_completed_at").distinct()
+    return contracts, responses, sets
 
 
-def extract_contracts(spark, sf_dir):
-    """The whole batch plan: one answered field per document, traced, completed to the field set and validated."""
-    field = "struct('party-a-name' AS field_key, concat('V', contract_id) AS field_value, source_text, page_no AS source_page, 0.9D AS confidence)"
-    responses = A.traces(spark, sf_dir).filter("field_key = 'f1'").selectExpr(
-        "contract_id", "0 AS chunk_no", f"to_json(struct(array({field}) AS fields)) AS raw", "CAST(NULL AS STRING) AS error"
+def extracted_rows(fields):
+    return fields.selectExpr(
+        "contract_id", "field_key", "field_name", "value", "page_no", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2", "confidence", "review_status"
     )
-    contracts = A.table(spark, sf_dir, "documents").selectExpr("doc_id AS contract_id", "'done' AS ocr_completed_at")
-    out = batch.extract(contracts, A.blocks(spark, sf_dir), responses, A.definitions(spark))
-    fields = out.fields.groupBy("contract_id").agg(F.expr("count(*) AS n_fields"), F.expr("count(bbox) AS located"))
-    found = out.violations.groupBy("contract_id").agg(F.expr("count(*) AS n_findings"))
-    kinds = out.types.select("contract_id", "contract_type")
-    return fields.join(found, "contract_id").join(kinds, "contract_id")
+
+
+def extract_contracts(spark, sf_dir):
+    """The whole batch plan: every line of every document answered, matched to the field set, traced and stored."""
+    contracts, responses, sets = line_answers(spark, sf_dir)
+    out = batch.extract(contracts, A.blocks(spark, sf_dir), responses, A.definitions(spark), overrides=sets)
+    return extracted_rows(out.fields)
+
+
+def extract_findings(spark, sf_dir):
+    """The findings of the same plan."""
+    contracts, responses, sets = line_answers(spark, sf_dir)
+    out = batch.extract(contracts, A.blocks(spark, sf_dir), responses, A.definitions(spark), overrides=sets)
+    return out.violations.select("contract_id", "rule_key", "field_key")
+
+
+def quality_by_place(spark, sf_dir):
+    """Null rate and hits of every line's field by where it was traced to; every fifth block is a table."""
+    traces = A.traces(spark, sf_dir)
+    blocks = A.blocks(spark, sf_dir).withColumn("block_type", F.expr("CASE WHEN sort_order % 5 = 0 THEN 'table' ELSE block_type END"))
+    fields = traces.selectExpr("contract_id", "field_key", "CASE WHEN length(source_text) % 7 <> 0 THEN 'v' END AS value", "CAST(NULL AS STRING) AS reviewed_value")
+    golden = traces.selectExpr("contract_id", "field_key", "CASE length(source_text) % 3 WHEN 0 THEN 'v' WHEN 1 THEN 'w' ELSE '' END AS expected")
+    return M.quality_by_place(fields, golden, T.locate_sources(traces, blocks), blocks)
 
 
 QUERIES = {
-    "extract_contracts": extract_contracts, "recover_json": recover_json, "explode_fields": explode_fields, "type_fields": type_fields,
+    "extract_contracts": extract_contracts, "extract_findings": extract_findings, "recover_json": recover_json, "explode_fields": explode_fields, "type_fields": type_fields,
     "unrequested_fields": unrequested_fields, "merge_chunks": merge_chunks, "merge_types": merge_types,
     "reconcile": reconcile, "reconcile_failed": reconcile_failed, "extraction_diagnostics": extraction_diagnostics,
-    "upsert_fields": upsert_fields, "field_sets": field_sets, "field_set_overrides": field_set_overrides,
+    "upsert_fields": upsert_fields, "feed_upsert": feed_upsert, "field_sets": field_sets, "field_set_overrides": field_set_overrides,
     "resolve_type": resolve_type, "trace_scores": trace_scores, "trace_sources": trace_sources, "trace_attach": trace_attach,
+    "quality_by_place": quality_by_place,
 }
 
 
-def _every_line(query):
-    return lambda spark, sf_dir: query(spark, sf_dir, every_line=True)
-
-
-#: The same of every line of every document.
-QUERIES |= {f"{q.__name__}_every_line": _every_line(q) for q in (trace_scores, trace_sources, trace_attach)}
-
 # --- reference SQL -----------------------------------------------------------
 
 _ANSWERED = f"WITH answered AS ({A.ANSWERED_SQL}), readable AS (SELECT * FROM answered WHERE contract_id % 5 <> 4)"
@@ -207,7 +241,7 @@ _TRACE = f"""{BLOCKS}, docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls
  traces AS (SELECT doc_id AS contract_id, concat('f', CAST(pos AS VARCHAR)) AS field_key,
     CASE WHEN doc_id % 2 = 0 THEN ls[pos + 1] ELSE concat(ls[pos + 1], ' ', coalesce(ls[pos + 2], '')) END AS source_text,
     CASE WHEN doc_id % 3 <> 0 THEN CAST(floor(pos / 20) AS INT) + 1 END AS page_no
-    FROM (SELECT *, unnest(range(0, len(ls))) AS pos FROM docs) WHERE pos % 20 IN (1, 7, 13)),
+    FROM (SELECT *, unnest(range(0, len(ls))) AS pos FROM docs)),
  probes AS (SELECT contract_id, field_key, page_no, source, {_grams('source')} AS s FROM
     (SELECT *, {_NORM.format('source_text')} AS source FROM traces WHERE source_text <> '') WHERE length(source) >= 6),
  b AS (SELECT *, {_grams('norm')} AS g, row_number() OVER (PARTITION BY contract_id, page_no ORDER BY sort_order) AS idx
@@ -219,8 +253,8 @@ _TRACE = f"""{BLOCKS}, docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls
  ranked AS (SELECT *, row_number() OVER (PARTITION BY contract_id, field_key ORDER BY score DESC, page_no, sort_order) AS rank FROM scored),
  top AS (SELECT *, bool_or(rank = 1 AND score >= 0.85 AND x1 IS NOT NULL) OVER (PARTITION BY contract_id, field_key) AS done
     FROM ranked WHERE rank <= 3),
- single AS (SELECT contract_id, field_key, page_no, x1, y1, x2, y2, score, 1 AS span FROM top WHERE done AND rank = 1),
- wins AS (SELECT t.contract_id, t.field_key, t.page_no, t.rank, sp.span, t.s,
+ single AS (SELECT contract_id, field_key, page_no, sort_order, x1, y1, x2, y2, score, 1 AS span FROM top WHERE done AND rank = 1),
+ wins AS (SELECT t.contract_id, t.field_key, t.page_no, t.sort_order, t.rank, sp.span, t.s,
     string_agg(w.norm, '' ORDER BY w.idx) AS text, min(w.x1) AS x1, min(w.y1) AS y1, max(w.x2) AS x2, max(w.y2) AS y2
     FROM top t, (VALUES (2), (3), (4)) AS sp(span) JOIN b w ON w.contract_id = t.contract_id AND w.page_no = t.page_no
       AND w.idx BETWEEN t.idx AND t.idx + sp.span - 1
@@ -229,12 +263,14 @@ _TRACE = f"""{BLOCKS}, docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls
  merged AS (SELECT *, row_number() OVER (PARTITION BY contract_id, field_key ORDER BY rank, span) AS rn FROM good
     WHERE score >= 0.7 AND x1 IS NOT NULL),
  found AS (SELECT * FROM single UNION ALL
-    SELECT contract_id, field_key, page_no, x1, y1, x2, y2, score, span FROM merged WHERE rn = 1)"""
+    SELECT contract_id, field_key, page_no, sort_order, x1, y1, x2, y2, score, span FROM merged WHERE rn = 1)"""
 
 ORACLES = {
-    "extract_contracts": f"""{_TRACE} SELECT t.contract_id, CAST(23 AS BIGINT) AS n_fields, count(f.x1) AS located, CAST(23 AS BIGINT) AS n_findings,
-        'sale' AS contract_type FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key
-        WHERE t.field_key = 'f1' GROUP BY t.contract_id""",
+    "extract_contracts": f"""{_TRACE} SELECT t.contract_id, t.field_key, 'Line ' || t.field_key AS field_name, 'V' || t.field_key AS value,
+        coalesce(t.page_no, f.page_no) AS page_no, f.x1, f.y1, f.x2, f.y2, 0.9::DOUBLE AS confidence, 'extracted' AS review_status
+        FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key""",
+    "extract_findings": """SELECT DISTINCT doc_id AS contract_id, 'required_fields' AS rule_key, k AS field_key
+        FROM documents, (VALUES ('party-a-name'), ('party-b-name')) q(k) WHERE text IS NOT NULL""",
     "recover_json": f"""{_ANSWERED}, n AS (SELECT contract_id, chunk_no, count(*) AS fields FROM readable GROUP BY ALL)
         SELECT o_orderkey AS contract_id, c.chunk_no, o_orderkey % 5 <> 4 AS found, CASE WHEN o_orderkey % 5 <> 4 THEN '{{' ELSE '' END AS opens,
           CASE WHEN o_orderkey % 5 <> 4 THEN '}}' ELSE '' END AS closes, coalesce(n.fields, 0) AS fields
@@ -271,9 +307,17 @@ ORACLES = {
         CASE WHEN coalesce(c.contract_type, 'unknown') <> 'unknown' THEN c.contract_type ELSE t.contract_type END AS contract_type,
         CASE WHEN coalesce(c.contract_type, 'unknown') <> 'unknown' THEN 0.8::DOUBLE ELSE t.contract_type_confidence END AS contract_type_confidence
         FROM c LEFT JOIN types t ON t.contract_id = c.contract_id""",
-    "trace_scores": f"{_TRACE} SELECT contract_id, field_key, page_no, sort_order, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM top",
+    "trace_scores": f"{_TRACE} SELECT contract_id, field_key, page_no, sort_order, n, ns, nb, CAST(rank AS INT) AS rank FROM top",
     "trace_sources": f"{_TRACE} SELECT contract_id, field_key, page_no, x1, y1, x2, y2, round(score, 6) AS score, span FROM found",
-    "trace_attach": f"""{_TRACE} SELECT coalesce(t.page_no, f.page_no) AS page_no, count(*) AS fields, count(f.x1) AS located,
-        sum(f.y1) AS y1_sum FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key GROUP BY 1""",
+    "trace_attach": f"""{_TRACE} SELECT t.contract_id, t.field_key, coalesce(t.page_no, f.page_no) AS page_no, f.x1, f.y1, f.x2, f.y2
+        FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key""",
 }
-ORACLES |= {f"{name}_every_line": ORACLES[name].replace(" WHERE pos % 20 IN (1, 7, 13)", "") for name in ("trace_scores", "trace_sources", "trace_attach")}
+ORACLES["feed_upsert"] = feed_sql(
+    f"WITH fields AS ({A.FIELDS_SQL}) SELECT contract_id, field_key, value, confidence, 'approved' AS review_status, 'r' AS reviewed_value FROM fields",
+    ORACLES["upsert_fields"], ["contract_id", "field_key"], ["value", "confidence", "review_status", "reviewed_value"],
+)
+ORACLES["quality_by_place"] = f"""{_TRACE}, f AS (SELECT t.*, CASE WHEN sort_order IS NULL THEN 'none' WHEN sort_order % 5 = 0 THEN 'table' ELSE 'text' END AS place,
+    CASE WHEN length(source_text) % 7 <> 0 THEN 'v' END AS value, CASE length(source_text) % 3 WHEN 0 THEN 'v' WHEN 1 THEN 'w' ELSE '' END AS golden
+    FROM traces t LEFT JOIN found f ON f.contract_id = t.contract_id AND f.field_key = t.field_key)
+  SELECT place, count(*) AS fields, round(count(*) FILTER (WHERE value IS NULL) / count(*), 4) AS null_rate,
+    count(*) FILTER (WHERE golden <> '' AND value = golden) AS hits, count(*) FILTER (WHERE golden <> '') AS scored FROM f GROUP BY place"""

@@ -166,23 +166,22 @@ _FIELD_CHANGE = "action = 'modify' AND new_value IS NOT NULL"
 _AUDIT = f"""{_BASE}, audit AS (SELECT event_id, r.contract_id, 'field' AS target_type, r.field_key AS target_id, action, f.value AS old_value,
    new_value, reviewer_id, created_at FROM reviews r JOIN fields f ON f.contract_id = r.contract_id AND f.field_key = r.field_key)"""
 
-_CORR = f"""{_BASE}, req AS (SELECT event_id, contract_id, field_key, reviewer_id, created_at,
+_CORR = f"""WITH fields AS MATERIALIZED ({A.FIELDS_SQL}), reviews AS MATERIALIZED ({A.REVIEWS_SQL}), req AS (SELECT event_id, contract_id, field_key, reviewer_id, created_at,
    CASE WHEN event_id % 3 = 0 THEN 'reviewed' WHEN event_id % 3 = 1 THEN 'corrected' ELSE 'rejected' END AS action,
    CASE WHEN event_id % 8 = 4 THEN 'note' END AS comment FROM reviews),
  items AS (SELECT event_id, contract_id, action, reviewer_id, created_at, 0 AS pos, field_key, concat('c', CAST(event_id AS VARCHAR)) AS new_value,
      CASE WHEN event_id % 4 = 1 THEN NULL ELSE 'why' END AS comment FROM req WHERE event_id % 4 <> 0
    UNION ALL SELECT event_id, contract_id, action, reviewer_id, created_at, 1, CASE WHEN event_id % 9 = 2 THEN 'no-such-field' ELSE 'sign-date' END,
      concat('d', CAST(event_id AS VARCHAR)), 'too' FROM req WHERE event_id % 4 > 1),
- refused AS (SELECT DISTINCT event_id FROM items i WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.contract_id = i.contract_id AND f.field_key = i.field_key)),
- good AS (SELECT * FROM items WHERE event_id NOT IN (SELECT event_id FROM refused)),
+ refused AS MATERIALIZED (SELECT DISTINCT event_id FROM items LEFT JOIN (SELECT contract_id, field_key, 1 AS known FROM fields) USING (contract_id, field_key) WHERE known IS NULL),
+ good AS (SELECT i.* FROM items i LEFT JOIN (SELECT event_id, 1 AS gone FROM refused) r ON r.event_id = i.event_id WHERE gone IS NULL),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY contract_id, field_key ORDER BY created_at DESC, event_id DESC, pos DESC) AS rn FROM good)"""
 
-_VERDICTS = f"""WITH raw AS ({A.FIELDS_SQL}), golden AS (SELECT contract_id, field_key,
-   trim(coalesce(CASE WHEN contract_id % 9 = 0 THEN value || 'x' WHEN contract_id % 8 = 0 THEN NULL ELSE value END, '')) AS golden FROM raw),
- answers AS (SELECT contract_id, field_key, trim(coalesce(CASE WHEN (contract_id + pos) % 6 = 0 THEN NULL ELSE value END, '')) AS extracted FROM raw),
- verdicts AS (SELECT contract_id, field_key, golden, coalesce(extracted, '') AS extracted,
-   CASE WHEN coalesce(extracted, '') = golden THEN 'tp' WHEN coalesce(extracted, '') <> '' THEN 'fp' ELSE 'fn' END AS verdict
-   FROM golden FULL OUTER JOIN answers USING (contract_id, field_key) WHERE golden <> '')"""
+_VERDICTS = f"""WITH raw AS MATERIALIZED ({A.FIELDS_SQL}), both_sides AS (SELECT contract_id, field_key,
+   trim(coalesce(CASE WHEN contract_id % 9 = 0 THEN value || 'x' WHEN contract_id % 8 = 0 THEN NULL ELSE value END, '')) AS golden,
+   trim(coalesce(CASE WHEN (contract_id + pos) % 6 = 0 THEN NULL ELSE value END, '')) AS extracted FROM raw),
+ verdicts AS (SELECT contract_id, field_key, golden, extracted,
+   CASE WHEN extracted = golden THEN 'tp' WHEN extracted <> '' THEN 'fp' ELSE 'fn' END AS verdict FROM both_sides WHERE golden <> '')"""
 
 
 def _accuracy(by: str) -> str:

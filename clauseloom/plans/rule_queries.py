@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clauseloom.operators import clauses as C
+from clauseloom.operators import feed
 from clauseloom.operators import rules as V
 from clauseloom.plans import adapters as A
 from clauseloom.plans.clause_queries import CLAUSE_TITLES_SQL
@@ -54,44 +56,74 @@ def refresh_violations_suppressed(spark, sf_dir):
     return _refreshed(spark, sf_dir, True)
 
 
-def recompute_violations(spark, sf_dir):
+#: What names a finding.
+_FINDING = ["contract_id", "rule_key", "item_order", "status"]
+
+
+def feed_refresh(spark, sf_dir):
+    """What a refresh of the findings changes."""
+    return feed.changes(_stored(spark, sf_dir).select(*_OUT, "rule_order", "status"), refresh_violations(spark, sf_dir), _FINDING)
+
+
+def _reviewed(spark, sf_dir):
     reviewed = """CASE WHEN contract_id % 4 = 1 AND field_key = 'party-a-name' THEN '审核公司'
       WHEN contract_id % 4 = 2 AND field_key = 'party-a-name' THEN '   ' WHEN contract_id % 4 = 3 THEN '' END AS reviewed_value"""
-    fields = A.fields(spark, sf_dir).selectExpr(
+    return A.fields(spark, sf_dir).selectExpr(
         "contract_id", "field_key", "pos", "value", "source_text", reviewed,
         "CASE WHEN contract_id % 9 <> 0 THEN confidence END AS confidence",
     )
-    return V.recompute(fields, A.contracts(spark, sf_dir)).select(*_OUT, "rule_order")
 
 
-def violation_reviews(spark, sf_dir):
-    events = A.reviews(spark, sf_dir).selectExpr(
-        "event_id", "contract_id AS target_id", "action", "reviewer_id", "created_at"
-    )
-    when = events.schema["created_at"].dataType.simpleString()
-    found = V.validate(A.fields(spark, sf_dir), A.contracts(spark, sf_dir), rules=V.BUILTIN[:1])
-    violations = found.filter("item_order = 1").selectExpr(
-        "contract_id AS id", "contract_id", "rule_key", "field_key", "'active' AS status",
-        f"CAST(NULL AS {when}) AS ignored_at", "CAST(NULL AS STRING) AS ignored_by",
-    )
-    return V.apply_violation_reviews(violations, events)[0]
+def recompute_violations(spark, sf_dir):
+    return V.recompute(_reviewed(spark, sf_dir), A.contracts(spark, sf_dir)).select(*_OUT, "rule_order")
+
+
+def recompute_touched(spark, sf_dir):
+    """The same from the findings before the reviews and the reviewed fields."""
+    after, contracts = _reviewed(spark, sf_dir), A.contracts(spark, sf_dir)
+    stored = V.recompute(after.withColumn("reviewed_value", F.lit(None).cast("string")), contracts)
+    return V.recompute_touched(stored, after, contracts, after.filter("reviewed_value <> ''")).select(*_OUT, "rule_order")
+
+
+#: A user's rule: contracts over a million that name no end date.
+OPEN_END = V.Rule(
+    "open_end", "warning",
+    items=(("amount > 1000000 AND fin IS NULL", "concat('金额较大但无终止日期: ', amt)", "end-date"),),
+    inputs="field_key IN ('contract-amount', 'end-date')",
+)
+
+
+def custom_rule(spark, sf_dir):
+    """Validation with the built-in amount rule and a registered one."""
+    before = V.registered()
+    try:
+        V.register(OPEN_END)
+        rules = [r for r in V.BUILTIN if r.name == "financial_consistency"] + V.registered()[-1:]
+        return V.validate(A.fields(spark, sf_dir), A.contracts(spark, sf_dir), rules=rules)
+    finally:
+        V.clear_rules()
+        for rule in before:
+            V.register(rule)
+
+
+def violation_groups(spark, sf_dir):
+    """The findings of each contract and field, as text in their order."""
+    groups = V.violation_groups(_stored(spark, sf_dir))
+    return groups.selectExpr("contract_id", "field_key", "array_join(transform(items, i -> concat(i.rule_key, ':', i.item_order, ':', i.status)), '|') AS items")
 
 
 # A finding's own id; item_order is the field's position for low confidence.
 _FINDING_ID = "CAST(contract_id AS BIGINT) * 100000 + rule_order * 10000 + item_order"
+# The finding that a review event names; not all of them exist.
+_EVENT_TARGET = "CAST(contract_id AS BIGINT) * 100000 + (1 + event_id % 6) * 10000 + 1 + event_id % 4"
 
 
-def violation_reviews_every_rule(spark, sf_dir):
-    """The findings of all rules; an event goes to every second finding of its contract."""
-    reviews = A.reviews(spark, sf_dir).select("event_id", "contract_id", "action", "reviewer_id", "created_at")
-    when = reviews.schema["created_at"].dataType.simpleString()
-    found = _all(spark, sf_dir).selectExpr(f"{_FINDING_ID} AS id", "*")
-    targets = found.select("id", "contract_id", "rule_order", "item_order")
-    events = reviews.join(targets, "contract_id").where("(event_id + rule_order + item_order) % 2 = 0").selectExpr(
-        "event_id", "id AS target_id", "action", "reviewer_id", "created_at"
-    )
-    violations = found.selectExpr(
-        "id", "contract_id", "rule_key", "field_key", "item_order", "'active' AS status",
+def violation_reviews(spark, sf_dir):
+    """The findings of all rules under review events that name one finding each."""
+    events = A.reviews(spark, sf_dir).selectExpr("event_id", f"{_EVENT_TARGET} AS target_id", "action", "reviewer_id", "created_at")
+    when = events.schema["created_at"].dataType.simpleString()
+    violations = _all(spark, sf_dir).selectExpr(
+        f"{_FINDING_ID} AS id", "contract_id", "rule_key", "field_key", "item_order", "'active' AS status",
         f"CAST(NULL AS {when}) AS ignored_at", "CAST(NULL AS STRING) AS ignored_by",
     )
     return V.apply_violation_reviews(violations, events)[0]
@@ -112,11 +144,10 @@ QUERIES |= {
     "validate_all": _all,
     "contract_verdict": contract_verdict,
     "violation_summary": violation_summary,
-    "refresh_violations": refresh_violations,
+    "refresh_violations": refresh_violations, "feed_refresh": feed_refresh,
     "refresh_violations_suppressed": refresh_violations_suppressed,
-    "recompute_violations": recompute_violations,
+    "recompute_violations": recompute_violations, "recompute_touched": recompute_touched, "custom_rule": custom_rule, "violation_groups": violation_groups,
     "violation_reviews": violation_reviews,
-    "violation_reviews_every_rule": violation_reviews_every_rule,
     "clause_completeness": clause_completeness,
 }
 
@@ -242,28 +273,42 @@ ORACLES = {
         UNION ALL SELECT contract_id, rule_key, severity, message, field_key, item_order, rule_order, 'active' FROM found
         WHERE severity = 'error' AND contract_id % 2 = 1 AND contract_id % 10 <> 3""",
     "recompute_violations": f"{_all_cte(_REVIEWED_FIELDS + ', ' + _WIDE)} SELECT * FROM found",
-    "violation_reviews": f"""{_HEAD}, reviews AS ({A.REVIEWS_SQL}
-        ), last AS (SELECT contract_id AS k, arg_max(action, struct_pack(a := created_at, b := event_id)) AS action,
+    "violation_reviews": f"""{_all_cte()}, reviews AS ({A.REVIEWS_SQL}
+        ), last AS (SELECT {_EVENT_TARGET} AS k, arg_max(action, struct_pack(a := created_at, b := event_id)) AS action,
             arg_max(reviewer_id, struct_pack(a := created_at, b := event_id)) AS reviewer_id, max(created_at) AS created_at
-            FROM reviews WHERE action IN ('approve', 'reject') GROUP BY contract_id)
-        SELECT contract_id AS id, contract_id, rule_key, field_key,
+            FROM reviews WHERE action IN ('approve', 'reject') GROUP BY k)
+        SELECT {_FINDING_ID} AS id, contract_id, rule_key, field_key, item_order,
           CASE WHEN action = 'approve' THEN 'ignored' ELSE 'active' END AS status,
           CASE WHEN action = 'approve' THEN created_at END AS ignored_at,
           CASE WHEN action = 'approve' THEN reviewer_id END AS ignored_by
-        FROM ({_REQUIRED}) v LEFT JOIN last ON k = contract_id WHERE item_order = 1""",
-    "violation_reviews_every_rule": f"""{_all_cte()}, reviews AS ({A.REVIEWS_SQL}
-        ), ids AS (SELECT *, CAST(contract_id AS BIGINT) * 100000 + rule_order * 10000 + item_order AS id FROM found),
-        last AS (SELECT v.id AS k, arg_max(action, struct_pack(a := created_at, b := event_id)) AS action,
-            arg_max(reviewer_id, struct_pack(a := created_at, b := event_id)) AS reviewer_id, max(created_at) AS created_at
-            FROM reviews r JOIN ids v ON v.contract_id = r.contract_id AND (event_id + rule_order + item_order) % 2 = 0
-            WHERE action IN ('approve', 'reject') GROUP BY v.id)
-        SELECT id, contract_id, rule_key, field_key, item_order,
-          CASE WHEN action = 'approve' THEN 'ignored' ELSE 'active' END AS status,
-          CASE WHEN action = 'approve' THEN created_at END AS ignored_at,
-          CASE WHEN action = 'approve' THEN reviewer_id END AS ignored_by
-        FROM ids LEFT JOIN last ON k = id""",
+        FROM found LEFT JOIN last ON k = {_FINDING_ID}""",
     "clause_completeness": _COMPLETENESS,
 }
 
+
+def feed_sql(old: str, new: str, keys: list[str], rest: list[str]) -> str:
+    """The rows in which two states differ, as SQL over their SQL."""
+    on = " AND ".join(f"o.{k} IS NOT DISTINCT FROM n.{k}" for k in keys)
+    named = ", ".join([*(f"coalesce(n.{k}, o.{k}) AS {k}" for k in keys), *(f"n.{c}" for c in rest)])
+    same = " AND ".join(f"o.{c} IS NOT DISTINCT FROM n.{c}" for c in rest)
+    return f"""WITH o AS (SELECT *, 1 AS had FROM ({old})), n AS (SELECT *, 1 AS has FROM ({new}))
+        SELECT CASE WHEN had IS NULL THEN 'insert' WHEN has IS NULL THEN 'delete' ELSE 'update' END AS op, {named}
+        FROM o FULL OUTER JOIN n ON {on} WHERE had IS NULL OR has IS NULL OR NOT ({same})"""
+
+
+ORACLES |= {
+    "recompute_touched": ORACLES["recompute_violations"],
+    "custom_rule": f"""{_HEAD} SELECT *, 1 AS rule_order FROM ({_FINANCIAL}) UNION ALL
+        SELECT contract_id, 'open_end', 'warning', concat('金额较大但无终止日期: ', amt), 'end-date', 1, 2
+        FROM wide WHERE fin IS NULL AND TRY_CAST(replace(amt, ',', '') AS DOUBLE) > 1000000""",
+    "violation_groups": f"""{_all_cte()}, {_STORED} SELECT contract_id, field_key,
+        string_agg(concat(rule_key, ':', CAST(item_order AS VARCHAR), ':', status), '|' ORDER BY rule_order, item_order) AS items
+        FROM stored GROUP BY contract_id, field_key""",
+}
+ORACLES["feed_refresh"] = feed_sql(
+    f"{_all_cte()}, {_STORED} SELECT {_O} FROM stored", ORACLES["refresh_violations"], _FINDING,
+    ["severity", "message", "field_key", "rule_order"],
+)
+
 # All findings as a CTE list ending in "found"; "fields" is in it as well.
 ALL_FINDINGS = _all_cte()

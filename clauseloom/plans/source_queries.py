@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clauseloom.functions.boxes import decode_box
 from clauseloom.plans import adapters as A
 from clauseloom.plans.clause_queries import BLOCKS, strip_sql
 from clauseloom.sources import definitions as D
@@ -11,6 +12,8 @@ from clauseloom.sources import exports as X
 from clauseloom.sources import files as S
 from clauseloom.sources import ocr as O
 from clauseloom.sources import tables as T
+from clauseloom.sources.store import Store
+from clauseloom.streaming.jobs import work_folder
 
 KEYS = ["party-a-name", "contract-amount", "end-date", "no-such-key"]
 NAMES = ["甲方名称", "合同金额", "终止日期", "备注,其他"]
@@ -118,12 +121,66 @@ def replace_contracts(spark, sf_dir):
     return T.replace_contracts(old, new)
 
 
+def import_definitions(spark, sf_dir):
+    """Parts written as one delimited text, with quotes and line ends inside cells, and read as definitions."""
+    folder = work_folder(spark, "definitions")
+    quoted = lambda e: f"concat('\"', replace({e}, '\"', '\"\"'), '\"')"
+    name = "concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' \"x\"' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '\\nsecond; line' ELSE '' END)"
+    rows = A.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS k",
+        f"concat_ws(';', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('custom-', p_partkey) END, {quoted(name)}, {quoted('p_type')}, "
+        "CASE WHEN p_partkey % 3 = 0 THEN 'number' ELSE '' END) AS value",
+    )
+    head = spark.range(1).selectExpr("-1L AS k", "'key;name;desc;type' AS value")
+    rows.unionByName(head).repartition(1).sortWithinPartitions("k").select("value").write.text(f"{folder}/text")
+    return D.read_field_definitions(spark, f"{folder}/text")
+
+
+def decoded_boxes(spark, sf_dir):
+    """Boxes kept as JSON text, as objects, lists, incomplete ones and none."""
+    stored = A.blocks(spark, sf_dir).selectExpr(
+        "contract_id", "page_no", "sort_order",
+        "CASE sort_order % 4 WHEN 0 THEN to_json(bbox) WHEN 1 THEN to_json(array(bbox.x1, bbox.y1, bbox.x2, bbox.y2)) "
+        "WHEN 2 THEN concat('{\"x1\":', bbox.x1, '}') ELSE concat('[', bbox.x1, ',2,3]') END AS stored",
+    )
+    return stored.selectExpr("contract_id", "page_no", "sort_order", f"{decode_box('stored')} AS b").selectExpr(
+        "contract_id", "page_no", "sort_order", "b.x1", "b.y1", "b.x2", "b.y2"
+    )
+
+
+#: Batches of the stored table: batch b replaces every (b + 2)th contract; every fifth of those loses its rows.
+_BATCHES = 6
+
+
+def _stored_batches(spark, sf_dir):
+    store = Store(spark, work_folder(spark, "store"), fan=3)
+    fields = A.fields(spark, sf_dir).select("contract_id", "field_key", "value")
+    for b in range(_BATCHES):
+        touched = A.contracts(spark, sf_dir).filter(f"contract_id % {b + 2} = 0").select("contract_id")
+        rows = fields.filter(f"contract_id % {b + 2} = 0 AND contract_id % 5 <> {b % 5}").withColumn("batch", F.lit(b))
+        with store.batch(b) as made:
+            made.write("fields", rows, touched)
+    return store
+
+
+def stored_batches(spark, sf_dir):
+    """The current rows of a table replaced in batches, through merged runs."""
+    return _stored_batches(spark, sf_dir).read("fields")
+
+
+def stored_look_up(spark, sf_dir):
+    """The current rows of the contracts that have a review, from the files that can hold them."""
+    keys = A.reviews(spark, sf_dir).select("contract_id")
+    return _stored_batches(spark, sf_dir).read("fields", keys)
+
+
 QUERIES = {
     "intake_checks": intake_checks, "duplicate_files": duplicate_files, "batch_checks": batch_checks,
     "layout_blocks": layout_blocks, "text_ocr_blocks": text_ocr_blocks, "text_ocr_errors": text_ocr_errors,
     "text_ocr_pages": text_ocr_pages, "span_blocks": span_blocks, "route_documents": route_documents, "assign_keys": assign_keys,
     "export_wide": export_wide, "export_csv_lines": export_csv_lines, "export_json_rows": export_json_rows,
-    "replace_contracts": replace_contracts,
+    "replace_contracts": replace_contracts, "import_definitions": import_definitions, "decoded_boxes": decoded_boxes,
+    "stored_batches": stored_batches, "stored_look_up": stored_look_up,
 }
 
 # --- reference SQL -----------------------------------------------------------
@@ -216,3 +273,15 @@ ORACLES = {
     "replace_contracts": f"""{BLOCKS} SELECT contract_id, page_no, sort_order, text FROM blocks WHERE contract_id NOT IN (SELECT contract_id FROM blocks WHERE contract_id % 3 = 0 AND page_no = 1)
         UNION ALL SELECT contract_id, page_no, sort_order, concat('NEW ', text) FROM blocks WHERE contract_id % 3 = 0 AND page_no = 1""",
 }
+_NEWEST = f"""WITH fields AS ({A.FIELDS_SQL}), reviews AS ({A.REVIEWS_SQL}),
+ newest AS (SELECT o_orderkey AS contract_id, max(b) AS batch FROM orders, range({_BATCHES}) r(b) WHERE o_orderkey % (b + 2) = 0 GROUP BY 1)
+ SELECT contract_id, field_key, value, CAST(batch AS INT) AS batch FROM fields JOIN newest USING (contract_id) WHERE contract_id % 5 <> batch % 5"""
+ORACLES |= {
+    "import_definitions": """SELECT CASE WHEN p_partkey % 4 <> 0 THEN concat('custom-', CAST(p_partkey AS VARCHAR)) END AS field_key,
+        concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' "x"' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN concat(chr(10), 'second; line') ELSE '' END) AS field_name,
+        p_type AS description, CASE WHEN p_partkey % 3 = 0 THEN 'number' ELSE 'string' END AS value_type FROM part""",
+    "decoded_boxes": f"""{BLOCKS} SELECT contract_id, page_no, sort_order, CASE WHEN sort_order % 4 < 2 THEN x1 END AS x1, CASE WHEN sort_order % 4 < 2 THEN y1 END AS y1,
+        CASE WHEN sort_order % 4 < 2 THEN x2 END AS x2, CASE WHEN sort_order % 4 < 2 THEN y2 END AS y2 FROM blocks""",
+    "stored_batches": _NEWEST,
+    "stored_look_up": f"{_NEWEST} AND contract_id IN (SELECT contract_id FROM reviews)",
+}

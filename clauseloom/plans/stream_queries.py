@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.plans import adapters as A
+from clauseloom.plans import extraction_queries as X
 from clauseloom.plans.clause_queries import BLOCKS, strip_sql
 from clauseloom.sources import tables
+from clauseloom.sources.store import Store
 from clauseloom.streaming import jobs
 
 
@@ -52,15 +54,35 @@ def stream_blocks(spark, sf_dir):
     )
 
 
+def _extracted(spark, sf_dir):
+    """The documents' answers arrive in six files, a micro-batch each; their blocks are stored before."""
+    folder = jobs.work_folder(spark, "extract")
+    contracts, responses, sets = X.line_answers(spark, sf_dir)
+    blocks = A.blocks(spark, sf_dir)
+    with Store(spark, f"{folder}/ocr/blocks").batch(0) as made:
+        made.write("blocks", blocks, blocks)
+    responses.selectExpr("CAST(contract_id AS STRING) AS contract_id", "chunk_no", "raw", "error").repartition(6, "contract_id").write.json(f"{folder}/incoming")
+    stream = jobs.read_responses(spark, f"{folder}/incoming", "model", max_files=1).withColumn("contract_id", F.col("contract_id").cast("long"))
+    jobs.extract_fields(stream, f"{folder}/ocr", contracts, A.definitions(spark), folder, sets).awaitTermination()
+    return folder
+
+
+def stream_extract(spark, sf_dir):
+    """The whole extraction as a stream: the stored fields equal those of the batch plan."""
+    return X.extracted_rows(jobs.read_extracted(spark, _extracted(spark, sf_dir), "fields"))
+
+
 QUERIES = {
     "stream_review_state": stream_review_state,
     "stream_distinct_events": stream_distinct_events,
     "stream_blocks": stream_blocks,
+    "stream_extract": stream_extract,
 }
 
 # --- reference SQL -----------------------------------------------------------
 
 ORACLES = {
+    "stream_extract": X.ORACLES["extract_contracts"],
     "stream_review_state": f"""WITH reviews AS ({A.REVIEWS_SQL}), st AS (SELECT *, coalesce(action = 'modify' AND new_value IS NOT NULL, false) AS chg FROM reviews)
         SELECT contract_id, field_key, arg_max(CASE WHEN chg THEN 'corrected' WHEN action = 'approve' THEN 'approved' WHEN action = 'reject' THEN 'rejected'
             ELSE action END, (created_at, event_id)) AS review_status,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import blank_to_null, has_content, regex, strip
 from clauseloom.operators.ordered import number_rows
+from clauseloom.sources.delimited import records
 
 # Accepted header names per column.
 HEADERS = {
@@ -30,7 +31,8 @@ def read_field_definitions(spark: SparkSession, path: str) -> DataFrame:
     """Field definitions from a delimited text file, with or without a header.
 
     Only the first line is looked at on the driver, to settle separator and
-    columns; the rows are read by Spark.
+    columns; the records are found and parsed by Spark, also where one large
+    file is read in several parts. Empty lines are skipped.
     """
     first = spark.read.text(path).filter(has_content("value")).first()
     line = (first["value"] if first else "").removeprefix(BOM).rstrip("\r")
@@ -44,7 +46,12 @@ def read_field_definitions(spark: SparkSession, path: str) -> DataFrame:
     elif at["field_name"] < 0:
         at["field_name"] = 0
     schema = ", ".join(f"c{i} STRING" for i in range(max(len(names), 1)))
-    rows = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', multiLine=True, header=has_header)
+    texts = records(spark, path).filter("text <> ''")
+    if has_header:  # the first record of a file that is not empty
+        heads = texts.groupBy("file").agg(F.expr("min(record) AS head"))
+        texts = texts.join(heads, "file").filter("record > head")
+    parsed = F.from_csv("text", schema, {"sep": sep, "quote": '"', "escape": '"'})
+    rows = texts.select(parsed.alias("r")).select("r.*")
     cell = lambda c: strip(f"replace(c{at[c]}, '{BOM}', '')") if at[c] >= 0 else "CAST(NULL AS STRING)"
     out = rows.selectExpr(
         f"nullif({cell('field_key')}, '') AS field_key", f"coalesce({cell('field_name')}, '') AS field_name",

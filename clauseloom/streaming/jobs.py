@@ -17,6 +17,7 @@ from clauseloom.operators.review import AT
 from clauseloom.plans import batch
 from clauseloom.schemas import MODEL_RESPONSES, OCR_RESPONSES
 from clauseloom.sources import tables
+from clauseloom.sources.store import Store
 
 K = "contract_id"
 
@@ -34,10 +35,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_responses(spark: SparkSession, path: str, kind: str = "ocr") -> DataFrame:
-    """Response files (JSON lines) as a stream, every file taken up once."""
+def read_responses(spark: SparkSession, path: str, kind: str = "ocr", max_files: int | None = None) -> DataFrame:
+    """Response files (JSON lines) as a stream, every file taken up once, ``max_files`` at most in a micro-batch."""
     schema = OCR_RESPONSES if kind == "ocr" else MODEL_RESPONSES
-    return spark.readStream.schema(schema).json(path).select("*", "_metadata.file_modification_time")
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(path).select("*", "_metadata.file_modification_time")
 
 
 def newest_responses(rows: DataFrame) -> DataFrame:
@@ -60,45 +64,67 @@ def ingest_blocks(responses: DataFrame, folder: str) -> StreamingQuery:
     def handle(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         try:
-            tables.write_batch(batch.ingest(newest_responses(rows)).blocks, rows, f"{folder}/blocks", batch_id)
+            with Store(rows.sparkSession, f"{folder}/blocks").batch(batch_id) as made:
+                if not made.done:
+                    made.write("blocks", batch.ingest(newest_responses(rows)).blocks, rows)
         finally:
             rows.unpersist()
 
     return _run(responses, handle, folder)
 
 
-def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.read_current(spark, f"{folder}/blocks")
+def read_blocks(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
+    """The current blocks, of some contracts alone if ``keys`` names them."""
+    return Store(spark, f"{folder}/blocks").read("blocks", keys)
 
 
 def extract_fields(
-    responses: DataFrame, blocks_folder: str, contracts: DataFrame, definitions: DataFrame, folder: str
+    responses: DataFrame, blocks_folder: str, contracts: DataFrame, definitions: DataFrame, folder: str,
+    overrides: DataFrame | None = None,
 ) -> StreamingQuery:
     """Model responses to fields and findings, refreshing only the contracts a batch touches.
 
     Chunks of a contract may come in different batches, so the answers are
-    kept and a touched contract is worked out again from all of its answers.
+    kept and a touched contract is worked out again from all of its answers;
+    those and its blocks are looked up by key. Answers, fields and findings of
+    a batch become visible together.
     """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        tables.append_batch(rows, f"{folder}/responses", batch_id)
-        stored = tables.read_appended(spark, f"{folder}/responses").filter(F.col("batch_id") <= batch_id)
-        touched = stored.filter(F.col("batch_id") == batch_id).select(K).distinct()
-        newest = stored.join(touched, K, "left_semi").groupBy(K, "chunk_no").agg(
-            F.expr("max_by(struct(raw, error), batch_id) AS r")
-        ).selectExpr(K, "chunk_no", "r.raw", "r.error")
-        blocks = read_blocks(spark, blocks_folder).join(touched, K, "left_semi")
-        out = batch.extract(contracts.join(touched, K, "left_semi"), blocks, newest, definitions)
-        tables.write_batch(out.fields, touched, f"{folder}/fields", batch_id)
-        # findings follow from the fields as stored, not from a second pass over the answers
-        fields = spark.read.parquet(f"{folder}/fields/rows/batch_id={batch_id}")
-        found = batch.V.validate(fields, fields.select(K).distinct()).selectExpr("*", "'active' AS status")
-        tables.write_batch(found, touched, f"{folder}/violations", batch_id)
+        store = Store(rows.sparkSession, f"{folder}/extracted")
+        rows = rows.select(K, "chunk_no", "raw", "error").persist()
+        try:
+            with store.batch(batch_id) as made:
+                if made.done:
+                    return
+                touched = rows.select(K).distinct()
+                fresh = rows.groupBy(K, "chunk_no").agg(F.expr("max(struct(raw, error)) AS r")).selectExpr(
+                    K, "chunk_no", "r.raw", "r.error"
+                )
+                answers = fresh
+                if "answers" in store.snapshot().schemas:
+                    older = store.read("answers", touched).alias("o")
+                    again = F.expr(f"o.{K} <=> f.{K} AND o.chunk_no <=> f.chunk_no")
+                    answers = older.join(fresh.alias("f"), again, "left_anti").unionByName(fresh)
+                answers = made.write("answers", answers, touched)
+                blocks = read_blocks(rows.sparkSession, blocks_folder, touched)
+                own = None if overrides is None else overrides.join(touched, K, "left_semi")
+                out = batch.extract(contracts.join(touched, K, "left_semi"), blocks, answers, definitions, own)
+                fields = made.write("fields", out.fields, touched)
+                # findings follow from the fields as written, not from a second pass over the answers
+                found = batch.V.validate(fields, fields.select(K).distinct()).selectExpr("*", "'active' AS status")
+                made.write("violations", found, touched)
+        finally:
+            rows.unpersist()
 
     return _run(responses, handle, folder)
 
 
+def read_extracted(spark: SparkSession, folder: str, table: str, keys: DataFrame | None = None) -> DataFrame:
+    """The current ``fields``, ``violations`` or ``answers``."""
+    return Store(spark, f"{folder}/extracted").read(table, keys)
+
+
 def live_review_state(events: DataFrame, folder: str) -> StreamingQuery:
     """Latest review status and value per field, updated with every batch."""
     changed = "coalesce(action = 'modify' AND new_value IS NOT NULL, false)"

@@ -6,7 +6,6 @@ from types import SimpleNamespace
 from clauseloom.operators import rules as V
 from clauseloom.plans import batch
 from clauseloom.schemas import DEFINITIONS, seed_rows
-from clauseloom.sources import tables as T
 from clauseloom.streaming import jobs
 
 
@@ -39,7 +38,7 @@ def test_incremental_equals_batch(spark, tmp_path):
     drop(ocr, "1.json", {"contract_id": "a", "body": response("甲公司在此处说明", "采购合同")}, {"contract_id": "b", "body": response("旧文字")})
     drop(models, "1.json", {"contract_id": "a", "chunk_no": 0, "raw": answer(party_a_name="甲公司")})
     drain()
-    first = T.read_current(spark, f"{work}/fields/fields").filter("value IS NOT NULL").collect()
+    first = jobs.read_extracted(spark, f"{work}/fields", "fields").filter("value IS NOT NULL").collect()
     assert [(r.contract_id, r.field_key, r.bbox is not None) for r in first] == [("a", "party-a-name", True)]
 
     drop(ocr, "2.json", {"contract_id": "b", "body": response("乙公司在此处说明", "租赁")})
@@ -51,9 +50,9 @@ def test_incremental_equals_batch(spark, tmp_path):
     everything = spark.read.schema("contract_id STRING, chunk_no INT, raw STRING, error STRING").json(str(models))
     whole = batch.extract(contracts, blocks, everything, defs)
     cols = ["contract_id", "field_key", "value", "page_no", "bbox", "confidence"]
-    stored = T.read_current(spark, f"{work}/fields/fields")
+    stored = jobs.read_extracted(spark, f"{work}/fields", "fields")
     assert sorted(map(str, stored.select(*cols).collect())) == sorted(map(str, whole.fields.select(*cols).collect()))
-    found = T.read_current(spark, f"{work}/fields/violations").select("contract_id", "rule_key", "field_key", "message")
+    found = jobs.read_extracted(spark, f"{work}/fields", "violations").select("contract_id", "rule_key", "field_key", "message")
     expected = V.validate(stored, contracts).select("contract_id", "rule_key", "field_key", "message")
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
     assert spark.streams.active == []

@@ -105,4 +105,43 @@ def test_hot_page_is_split_into_buckets(spark):
 def test_every_line_is_traced(spark):
     sf = "/root/testdata/sf0.001"
     lines = A.table(spark, sf, "documents").selectExpr(r"explode(split(text, '\\n'))").count()
-    assert registry.queries()["trace_attach_every_line"](spark, sf).agg({"fields": "sum"}).first()[0] == lines
+    assert registry.queries()["trace_attach"](spark, sf).count() == lines
+
+
+def test_hot_contract_compares_few_blocks(spark, make):
+    """Thousands of blocks, most of them copies of a few: a field without a page meets those that can pass."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(600)] + ["the same line on every page of it"] * 2400
+    rng.shuffle(texts)
+    blocks = [("k", i // 30 + 1, i % 30, f"{i:05d}", t, (0.0, float(i), 1.0, float(i + 1))) for i, t in enumerate(texts)]
+    own = {t: next(b for b in blocks if b[4] == t) for t in texts}
+    chosen = rng.sample(sorted(own), 40) + ["the same line on every page of it"]
+    fields = [("k", f"f{i}", "v", t, None, None) for i, t in enumerate(chosen)]
+    fields, blocks = make(FIELDS, *fields), make(BLOCKS, *blocks).repartition(4).persist()
+    index = T.GramIndex(T._probes(fields), T._blocks(blocks))
+    assert index.passing(T.SINGLE_PASS).count() <= 41 * 3000 / 100
+    got = {r.field_key: (r.page_no, r.bbox.y1, r.span) for r in T.locate_sources(fields, blocks).collect()}
+    assert got == {f"f{i}": (own[t][1], own[t][5][1], 1) for i, t in enumerate(chosen)}
+
+
+def test_three_best_blocks_through_the_index(make):
+    """Scores and ranks of fields without a page against all blocks of the contract, copies and ties included."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(6):
+        pool = ["".join(rng.choice("甲乙丙丁ab ") for _ in range(rng.randrange(0, 14))) for _ in range(25)]
+        rows += [(f"k{k}", 1 + i // 9, i % 9, f"{i:03d}", rng.choice(pool), None) for i in range(70)]
+    fields = [(f"k{rng.randrange(7)}", f"f{i}", "v", "".join(rng.choice("甲乙丙丁ab") for _ in range(rng.randrange(6, 15))), None, None) for i in range(60)]
+    want = set()
+    for key, name, _, source, _, _ in fields:
+        scored = []
+        for _, page, order, block, text, _ in (r for r in rows if r[0] == key):
+            text = "".join(text.split())
+            s, b = grams(source), grams(text) if text else set()
+            n = len(s & b)
+            if n:
+                scored.append((-(n / len(s) * 0.7 + n / len(s | b) * 0.3), page, order, block))
+        want |= {(key, name, page, order, rank + 1) for rank, (_, page, order, _) in enumerate(sorted(scored)[:3])}
+    got = T.block_scores(make(FIELDS, *fields), make(BLOCKS, *rows)).collect()
+    assert {(r.contract_id, r.field_key, r.page_no, r.sort_order, r["rank"]) for r in got} == want and len(got) == len(want)
