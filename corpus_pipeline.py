@@ -18,7 +18,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Without a labelled document there is nothing to judge by: all documents with a letter stay then.
     """
     model = language_id.train(docs.select("doc_id", "text", "lang"))
-    judged = language_id.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    judged = language_id.predict(docs.select(F.struct(*docs.columns).alias("row")), model, text="row.text")
     sure = F.col("score") >= LEAST_SCORE if model.labels else F.expr(r"row.text RLIKE '\\p{L}'")
     return judged.where(sure).select("row.*")
 
