@@ -197,7 +197,7 @@ def search_grams(spark, sf_dir):
 def search_grams_short(spark, sf_dir):
     """A query of two letters."""
     lists = grams.gram_lists(_stored_definitions(spark, sf_dir), jobs.work_folder(spark, "grams"))
-    return lists.search("Ti", page=1, page_size=50).select("field_key", "sort_order", "total", "required_total")
+    return lists.search("Ri", page=1, page_size=50).select("field_key", "sort_order", "total", "required_total")
 
 
 def feed_definition_updates(spark, sf_dir):
@@ -330,7 +330,7 @@ ORACLES |= {
     "audit_page_indexed": f"""WITH reviews AS ({A.REVIEWS_SQL}) SELECT event_id, contract_id, field_key, action, reviewer_id, created_at,
         (SELECT count(*) FROM reviews) AS total FROM reviews ORDER BY created_at DESC, event_id DESC LIMIT 50 OFFSET 800""",
     "search_grams": ORACLES["search_definitions"],
-    "search_grams_short": ORACLES["search_definitions"].replace("'economy'", "'ti'").replace("LIMIT 15 OFFSET 15", "LIMIT 50"),
+    "search_grams_short": ORACLES["search_definitions"].replace("'economy'", "'ri'").replace("LIMIT 15 OFFSET 15", "LIMIT 50"),
     "feed_definition_updates": feed_sql(
         f"{_STORED} SELECT field_key, field_name, description FROM defs", ORACLES["update_definitions"], ["field_key"], ["field_name", "description"]
     ),

@@ -85,10 +85,10 @@ def recompute_touched(spark, sf_dir):
     return V.recompute_touched(stored, after, contracts, after.filter("reviewed_value <> ''")).select(*_OUT, "rule_order")
 
 
-#: A user's rule: contracts over a million that name no end date.
+#: A user's rule: contracts over a hundred thousand that name no end date.
 OPEN_END = V.Rule(
     "open_end", "warning",
-    items=(("amount > 1000000 AND fin IS NULL", "concat('金额较大但无终止日期: ', amt)", "end-date"),),
+    items=(("amount > 100000 AND fin IS NULL", "concat('金额较大但无终止日期: ', amt)", "end-date"),),
     inputs="field_key IN ('contract-amount', 'end-date')",
 )
 
@@ -300,7 +300,7 @@ ORACLES |= {
     "recompute_touched": ORACLES["recompute_violations"],
     "custom_rule": f"""{_HEAD} SELECT *, 1 AS rule_order FROM ({_FINANCIAL}) UNION ALL
         SELECT contract_id, 'open_end', 'warning', concat('金额较大但无终止日期: ', amt), 'end-date', 1, 2
-        FROM wide WHERE fin IS NULL AND TRY_CAST(replace(amt, ',', '') AS DOUBLE) > 1000000""",
+        FROM wide WHERE fin IS NULL AND TRY_CAST(replace(amt, ',', '') AS DOUBLE) > 100000""",
     "violation_groups": f"""{_all_cte()}, {_STORED} SELECT contract_id, field_key,
         string_agg(concat(rule_key, ':', CAST(item_order AS VARCHAR), ':', status), '|' ORDER BY rule_order, item_order) AS items
         FROM stored GROUP BY contract_id, field_key""",

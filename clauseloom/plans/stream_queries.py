@@ -55,13 +55,13 @@ def stream_blocks(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    """The documents' answers arrive in six files, a micro-batch each; their blocks are stored before."""
+    """The documents' answers arrive in two files, a micro-batch each; their blocks are stored before."""
     folder = jobs.work_folder(spark, "extract")
     contracts, responses, sets = X.line_answers(spark, sf_dir)
     blocks = A.blocks(spark, sf_dir)
     with Store(spark, f"{folder}/ocr/blocks").batch(0) as made:
         made.write("blocks", blocks, blocks)
-    responses.selectExpr("CAST(contract_id AS STRING) AS contract_id", "chunk_no", "raw", "error").repartition(6, "contract_id").write.json(f"{folder}/incoming")
+    responses.selectExpr("CAST(contract_id AS STRING) AS contract_id", "chunk_no", "raw", "error").repartition(2, "contract_id").write.json(f"{folder}/incoming")
     stream = jobs.read_responses(spark, f"{folder}/incoming", "model", max_files=1).withColumn("contract_id", F.col("contract_id").cast("long"))
     jobs.extract_fields(stream, f"{folder}/ocr", contracts, A.definitions(spark), folder, sets).awaitTermination()
     return folder

@@ -12,9 +12,9 @@ key winning; a read therefore meets a number of runs that grows with the
 logarithm of the number of batches. Runs are retired only after a manifest
 without them is in place, and stay for readers of the manifest before.
 
-Rows are ranged over the files of a run by a hash of their key, and each file's
-range is kept beside the run: a look-up of some keys opens the files whose
-range holds one of their hashes, not the history.
+Rows are dealt over the files of a run by leading bits of a hash of their key,
+and the bits of each file are kept beside the run: a look-up of some keys opens
+the files that hold their bits, not the history.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from pyspark.sql.types import StructType
 
 K = "contract_id"
 
-#: Leading bits of a hash by which a file's range and the hashes of keys are matched.
-_BITS = 12
+#: Leading bits of a key's hash by which rows are dealt over files.
+_BITS = 16
+_PART = f"shiftright(_hash, {64 - _BITS})"
 
 
 @dataclass(frozen=True)
@@ -145,12 +146,12 @@ class Store:
         names = [c for c in rows.columns if c != "_hash"]
         for part, df in (("rows", rows.select(*names, hashed)), ("keys", touched.select(*self.keys, "_batch", hashed).distinct())):
             folder = f"{self.root}/{path}/{part}"
-            # the number of ranges follows the size, by adaptive coalescing; a hot key's rows go to several files
-            spread = F.xxhash64(*[n for n, kind in df.dtypes if "map<" not in kind])
-            df.repartitionByRange(F.col("_hash"), spread).sortWithinPartitions("_hash").write.mode("overwrite").parquet(folder)
-            ranges = self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("file"))
-            ranges = ranges.agg(F.min("_hash").alias("low"), F.max("_hash").alias("high"))
-            ranges.coalesce(1).write.mode("overwrite").parquet(f"{folder}-ranges")
+            # files of about one size: small parts are put together, and the part of a hot key is split
+            dealt = df.withColumn("_part", F.expr(_PART)).hint("rebalance", F.col("_part")).drop("_part")
+            dealt.sortWithinPartitions("_hash").write.mode("overwrite").parquet(folder)
+            held = self.spark.read.schema(df.schema).parquet(folder)
+            held = held.select(F.col("_metadata.file_name").alias("file"), F.expr(_PART).alias("part")).distinct()
+            held.coalesce(1).write.mode("overwrite").parquet(f"{folder}-parts")
 
     def _merged(self, table: str, runs: list[dict], schema: str) -> list[dict]:
         """The runs with every full level merged into the next. Levels fall from the oldest run to the newest."""
@@ -196,17 +197,15 @@ class Store:
         return self.spark.read.schema(shape).parquet(*(folders if files is None else files))
 
     def _files(self, runs: list[dict], part: str, hashes: DataFrame) -> list[str]:
-        """The files whose range holds one of the hashes; only names reach the driver."""
-        ranges = None
+        """The files that hold the bits of one of the hashes; only names reach the driver."""
+        held = None
         for run in runs:
             folder = f"{self.root}/{run['path']}/{part}"
-            own = self.spark.read.schema("file string, low long, high long").parquet(f"{folder}-ranges")
-            own = own.select(F.concat(F.lit(folder + "/"), "file").alias("file"), "low", "high")
-            ranges = own if ranges is None else ranges.unionByName(own)
-        cut = 64 - _BITS
-        spread = ranges.selectExpr("*", f"explode(sequence(shiftright(low, {cut}), shiftright(high, {cut}))) AS part")
-        looked_up = hashes.selectExpr("_hash", f"shiftright(_hash, {cut}) AS part")
-        return [r["file"] for r in spread.join(looked_up, "part").where("_hash BETWEEN low AND high").select("file").distinct().collect()]
+            own = self.spark.read.schema("file string, part long").parquet(f"{folder}-parts")
+            own = own.select(F.concat(F.lit(folder + "/"), "file").alias("file"), "part")
+            held = own if held is None else held.unionByName(own)
+        looked_up = hashes.select(F.expr(_PART).alias("part")).distinct()
+        return [r["file"] for r in held.join(looked_up, "part").select("file").distinct().collect()]
 
     def read(self, table: str, keys: DataFrame | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """The current rows of a table; with ``keys``, those of these keys, from the files that can hold them."""
