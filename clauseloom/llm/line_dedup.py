@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,21 +140,22 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, scratch: Scratch) -> DataFr
 
         return docs.select(*columns, "text").mapInArrow(by_set, schema)
     frequent = frequent.select("h1", "h2")
-    keyed = docs.select("doc_id", text_key().alias("_tk"), "text").mapInArrow(_keys_of_rows, "doc_id long, tk int, h1 long, h2 long")
+    keyed = docs.select("doc_id", text_key().alias("_tk"), "text").mapInArrow(_keys_of_rows, "doc_id long, tk binary, h1 long, h2 long")
     digest = F.struct("h1", "h2")
-    per_doc = keyed.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id", "tk").agg(F.collect_set(digest).alias("_gone"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_gone")
-    rows = docs.select(*columns, "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_tk")), "left")
+    per_doc = keyed.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id", "tk").agg(F.collect_set(digest).alias("gone"))
+    # the user's columns stay inside a struct, so that no name can clash
+    rows = docs.select(F.struct(*columns, "text").alias("row"), F.col("doc_id").alias("id"), text_key().alias("key")).alias("d")
+    rows = rows.join(per_doc.alias("p"), F.expr("d.id <=> p.doc_id AND d.key = p.tk"), "left").select("row", "gone")
 
     def by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [
                 {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in row or []}
-                for row in batch.column(batch.num_columns - 1).to_pylist()
+                for row in batch.column(1).to_pylist()
             ]
-            yield _rebuilt(batch, columns, gone)
+            yield _rebuilt(pa.RecordBatch.from_struct_array(batch.column(0)), columns, gone)
 
-    return rows.select(*columns, "text", "_gone").mapInArrow(by_list, schema)
+    return rows.mapInArrow(by_list, schema)
 
 
 def _keys_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +192,3 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 8, fanout: i
     runs = count_runs(docs, scratch, min_docs, batches, fanout)
     return drop_lines(docs, runs.frequent(), scratch)
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

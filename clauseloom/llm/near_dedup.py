@@ -89,7 +89,7 @@ def mixed(least: np.ndarray) -> np.ndarray:
     return _mixed(least.astype(np.uint64) ^ _OWN[: len(least)])
 
 
-SKETCH = "doc_id long, tk int, n_shingles int, cls binary, sig array<bigint>, bands array<bigint>"
+SKETCH = "doc_id long, tk binary, n_shingles int, cls binary, sig array<bigint>, bands array<bigint>"
 LONGS = BANDS * ROWS // 8
 
 

@@ -130,7 +130,7 @@ def split_nodes(text: memoryview, nodes: np.ndarray, length: int, size: int) ->
         start = stop
 
 
-NODE = "doc_id long, tk int, a long, lo int, hi int, core long, whole long"
+NODE = "doc_id long, tk binary, a long, lo int, hi int, core long, whole long"
 _NAMES = ["doc_id", "tk", "a", "lo", "hi", "core", "whole"]
 
 

@@ -67,7 +67,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = passage_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"))
 
 
 #: The rules of the registered URL query.

@@ -68,8 +68,8 @@ class Scratch:
 
 
 def text_key() -> F.Column:
-    """Tells apart rows of one doc_id with different texts; null and empty texts are alike."""
-    return (F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
+    """Tells apart rows of one doc_id (or of none) with different texts, by 128 bits; null and empty texts are alike."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
 def crc_of_id(modulus: int) -> F.Column:

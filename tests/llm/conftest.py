@@ -16,7 +16,7 @@ def docs(spark):
     """A frame of (doc_id, text) rows with a column that clashes with nothing and one that might."""
 
     def build(*rows):
-        return spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, cls string, n long")
+        return spark.createDataFrame([(i, t, "x", 7, 1, 2, 3) for i, t in rows], "doc_id long, text string, cls string, n long, _id int, _tk int, _gone int")
 
     return build
 

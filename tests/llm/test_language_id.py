@@ -29,7 +29,7 @@ def test_odd_rows(spark, docs):
     rows = [*ODD, (11, "und die Katze"), (12, "and the cat"), (13, "123 !!! ???"), (14, "漢字")]
     df = docs(*rows).withColumnRenamed("cls", "score")
     out = language_id.predict(df, model)
-    assert set(out.columns) == {"doc_id", "text", "score", "n", "lang_pred"}
+    assert set(out.columns) == {"doc_id", "text", "score", "n", "lang_pred", "_id", "_tk", "_gone"}
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in out.collect()}
     assert len(out.collect()) == len(rows)
     assert got[11, "und die Katze"][0] == "de" and got[12, "and the cat"][0] == "en"

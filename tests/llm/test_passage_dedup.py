@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -79,11 +80,40 @@ def test_odd_rows(docs, length):
 def test_text_and_columns(docs):
     rows = [(1, "é" * 30 + "end"), (2, "x" + "é" * 30)]
     out = passage_dedup.remove_repeats(docs(*rows), 21, texts=True)
-    assert set(out.columns) == {"doc_id", "cls", "n", "n_bytes", "n_removed", "n_spans", "text"}
+    assert set(out.columns) == {"doc_id", "cls", "n", "_id", "_tk", "_gone", "n_bytes", "n_removed", "n_spans", "text"}
     assert {r.text for r in out.collect()} == {"end", "x"}
     assert passage_dedup.remove_repeats(docs().limit(0)).count() == 0
 
 
+def same_crc(text, other):
+    """``other`` with some of its a's turned to q's, so that both texts have one crc32: a linear system over bits."""
+    at = [i for i, c in enumerate(other) if c == "a"][:48]
+    base = zlib.crc32(other.encode())
+    rows = []  # (effect on the crc, letters turned)
+    for k, i in enumerate(at):
+        effect, turned = zlib.crc32((other[:i] + "q" + other[i + 1 :]).encode()) ^ base, 1 << k
+        for e, t in rows:
+            if effect ^ e < effect:
+                effect, turned = effect ^ e, turned ^ t
+        if effect:
+            rows = sorted([*rows, (effect, turned)], reverse=True)
+    want, turned = zlib.crc32(text.encode()) ^ base, 0
+    for e, t in rows:
+        if want ^ e < want:
+            want, turned = want ^ e, turned ^ t
+    assert want == 0
+    return "".join("q" if i in at and turned >> at.index(i) & 1 else c for i, c in enumerate(other))
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_id_and_one_crc(docs, doc_id):
+    first = "passage that stands twice in this table of texts, " * 2 + "x" * 50
+    second = same_crc(first, "y" * 33 + "another passage, found in one more text, of sixty letters..." + "a" * 64)
+    assert first != second and zlib.crc32(first.encode()) == zlib.crc32(second.encode())
+    rows = [(doc_id, first), (doc_id, second), (3, "-" + first[:100]), (4, "--" + second[33:93])]
+    assert got(passage_dedup.remove_repeats(docs(*rows), 40)) == brute(rows, 40)
+
+
 def test_query(spark, sf_docs):
     want = [(*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute(list(zip(sf_docs.doc_id, sf_docs.text)), 400)]
     rows = queries.op8_passage_dedup(spark, SF).collect()

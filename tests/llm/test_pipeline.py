@@ -19,8 +19,9 @@ def rows_of(df):
 
 @pytest.fixture
 def odd(spark):
-    rows = [(i, t, "en", "s", len(t or ""), "extra") for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    rows = [(i, t, "en", "s", len(t or ""), "extra", 1, 2, 3) for i, t in ODD]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, _id int, _tk int, _gone int"
+    return spark.createDataFrame(rows, names)
 
 
 @pytest.mark.parametrize("name, stage", pipeline.STAGES[:-1])
