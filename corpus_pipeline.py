@@ -38,11 +38,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     groups = near_dedup.near_duplicates(docs, with_class=True)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("best")
     grouped = groups.where("group is not null").groupBy("group").agg(best)
-    kept = grouped.select(F.col("best.doc_id").alias("_id"), F.col("best.tk").alias("_tk"))
-    single = groups.where("group is null").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
+    kept = grouped.select("best.doc_id", "best.tk")
+    single = groups.where("group is null").select("doc_id", "tk").distinct()
     kept = scratch.keep(kept.unionByName(single), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_tk"))
-    rows = docs.join(kept, same, "left_semi")
+    # the columns of docs stay inside a struct, so that no name can clash
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
+    rows = named.alias("d").join(kept.alias("k"), F.expr("d.id <=> k.doc_id AND d.key = k.tk"), "left_semi").select("row.*")
     # rows alike in doc_id and text are one document; the rare repeats are found by key, without the texts
     twice = rows.groupBy("doc_id", text_key().alias("tk")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     return rows if twice else rows.dropDuplicates(["doc_id", "text"])
