@@ -43,7 +43,7 @@ def test_odd_rows(docs, monkeypatch, min_docs, joined):
 
 def test_keeps_columns_and_empty(docs):
     out = line_dedup.dedup_lines(docs((1, "a")), 2)
-    assert set(out.columns) == {"doc_id", "text", "cls", "n", "n_lines", "n_dropped"}
+    assert set(out.columns) == {"doc_id", "text", "cls", "n", "_id", "_tk", "_gone", "n_lines", "n_dropped"}
     assert line_dedup.dedup_lines(docs().limit(0), 2).count() == 0
 
 
