@@ -188,6 +188,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             found = found.values.to_numpy().astype(np.int64)
             features.append((found, _weighted(found, n.values.to_numpy(), idf)))
             targets.append(number[lang.as_py()])
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
     order = sorted(range(len(features)), key=lambda i: (features[i][0].tobytes(), features[i][1].tobytes(), targets[i]))
     features, y = [features[i] for i in order], np.array([targets[i] for i in order], np.int64)
     held = np.arange(len(features)) % 5 == 4

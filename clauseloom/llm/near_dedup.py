@@ -189,7 +189,7 @@ def _joined(scratch: Scratch, labels: DataFrame | None, links: DataFrame, turn:
 
 
 def near_duplicates(docs: DataFrame, threshold_pct: int = 75, with_class: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document; ``with_class`` adds tk (a number of the text) and
+    """doc_id, n_shingles, component_id, kept for every document; ``with_class`` adds tk (a digest of the text) and
     group (the component by content, null without words), which tell rows apart where doc_ids do not.
 
     Words are runs of anything but 0x20 and 0x09-0x0D with A-Z lower-cased. Documents of equal shingle sets form a
