@@ -55,9 +55,9 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
         blank = chars == 32
         any_letter = any_letter or not blank.all()
         parts = [before, chars[~(blank & np.r_[before[-1] == 32, blank[:-1]])] if len(chars) else chars]
-        if start + SLICE >= len(text):
-            parts.append(np.array([32], np.uint32))
         chars = np.concatenate(parts)
+        if start + SLICE >= len(text) and chars[-1] != 32:
+            chars = np.append(chars, np.uint32(32))
         name = np.zeros(len(chars), np.uint32)
         for n in range(min(ORDERS, len(chars))):
             name = (name[: len(chars) - n] ^ (chars[n:] + np.uint32(n + 1))) * _MULTIPLIERS[n]
