@@ -28,3 +28,41 @@ def test_definitions_are_not_joined_by_shuffle(spark):
     assert "scope" not in shuffles(registry.queries()["field_set_overrides"](spark, SF))
     for name in ("type_fields", "reconcile", "reconcile_failed"):
         assert "field_key" not in shuffles(registry.queries()[name](spark, SF))
+
+
+def test_types_of_answers_are_parsed_once(spark, make):
+    df = E.response_types(make(RAW, ("c", 0, '{"contract_type": "lease"}', None), ("c", 1, "none", None)))
+    assert len(re.findall("ParseJson|parseJson", plan(df))) == 3
+    assert [tuple(r) for r in df.collect()] == [("c", 0, "lease", 0.0)]
+
+
+def test_fences(make):
+    raws = {
+        "```json\n{\"a\": 1}": '{"a": 1}', "```[1]": None, "``````{}": "{}", "x ```json [1] ``` y": "[1]",
+        "```\njson```{\"b\":2}": '{"b":2}', "````{\"a\":1}```": '{"a":1}', "{x ```{\"a\":1}```": '{"a":1}',
+    }
+    got = E.recover_json(make(RAW, *[("c", i, r, None) for i, r in enumerate(raws)])).orderBy("chunk_no").collect()
+    assert [r.json for r in got] == list(raws.values())
+
+
+def test_lists_that_hold_other_than_objects(make):
+    rows = [
+        '{"fields":[5,{"field_key":"a"}]}', '{"fields":[{"field_key":"a"},null]}', '{"fields":["",{"field_key":"a"}],"x":{"value":1}}',
+        '{"fields":[[]],"x":{"value":1}}', '{"fields":"none","x":{"value":1}}', '{"fields":[],"x":{"value":[1, {"b":2}]}}',
+        '{"fields":{"field_key":"a"},"y":{"value":1.50},"x":{"field_key":null,"value":2},"contract_type":null}', '{"fields":[{"field_key":"a","source_bbox":null,"source_page":null}]}',
+        '{"fields":[{"field_key":"a","source_bbox":{"x":1}}]}', '{"fields":[{"field_key":"a","source_bbox":[1,"2",true]}]}', '{"fields":null,"x":{"value":1}}',
+        '{"fields":[{"field_key":"a","value":1},{"field_key":"b","field_value":null,"value":3}],"contract_type":7}',
+    ]
+    got = E.explode_fields(make(RAW, *[("c", i, r, None) for i, r in enumerate(rows)])).orderBy("chunk_no", "pos").collect()
+    assert [(r.chunk_no, r.field_key, r.value, r.source_bbox) for r in got] == [
+        (4, "x", "1", None), (5, "x", '[1,{"b":2}]', None),
+        (7, "a", None, None), (9, "a", None, [1, 2, 1]), (10, "x", "1", None),
+    ]
+
+
+def test_keys_of_a_map_are_not_looked_up_one_by_one(spark, make):
+    """The map of an answer's members is built once, not for each of its keys."""
+    raw = json.dumps({f"k{i}": {"value": i} for i in range(300)})
+    out = E.explode_fields(make(RAW, ("c", 0, raw, None)))
+    assert [r.field_key for r in out.orderBy("pos").collect()] == [f"k{i}" for i in range(300)]
+    assert "element_at(try_variant_get" not in plan(out)
