@@ -46,21 +46,25 @@ def _probes(fields: DataFrame) -> DataFrame:
     """Fields that still need a box and have enough source text."""
     open_fields = fields.filter("bbox IS NULL AND source_text <> '' AND value IS NOT NULL")
     probes = open_fields.selectExpr(K, "field_key", "page_no AS field_page", f"{match_norm('source_text')} AS source")
-    return probes.filter(f"length(source) >= {MIN_LENGTH}").selectExpr("*", f"{bigrams('source')} AS s_grams")
+    return probes.filter(f"length(source) >= {MIN_LENGTH}")
 
 
 _SCORE = "n / ns * 0.7D + n / (ns + nb - n) * 0.3D"
 
 
 def _on_page(probes: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Fields with a page and all blocks of it, compared."""
+    """Fields with a page and all blocks of it, compared.
+
+    Texts are shuffled, not their bigrams, which take many times the room; those are made once a row, where the rows meet.
+    """
+    keys = [K, "page_no", "bucket"]
     directory = prepared.selectExpr(K, "page_no AS field_page", "bucket").distinct()
     routed = probes.filter("field_page IS NOT NULL").join(directory, [K, "field_page"]).selectExpr(
         *probes.columns, "field_page AS page_no", "bucket"
-    )
-    grams = prepared.selectExpr("*", f"{bigrams('norm')} AS b_grams")
-    return routed.join(grams, [K, "page_no", "bucket"]).selectExpr(
-        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
+    ).repartition(*keys).selectExpr("*", f"{bigrams('source')} AS s_grams")
+    grams = prepared.repartition(*keys).selectExpr("*", f"{bigrams('norm')} AS b_grams").drop("norm")
+    return routed.join(grams, keys).selectExpr(
+        K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "source",
         "size(array_intersect(s_grams, b_grams)) AS n", "size(s_grams) AS ns", "size(b_grams) AS nb",
     )
 
@@ -79,14 +83,14 @@ class GramIndex:
         first = f"row_number() OVER (PARTITION BY {K}, norm ORDER BY page_no, sort_order, block_id) AS copy"
         blocks = prepared.filter("norm <> ''").join(self.probes.select(K).distinct(), K, "left_semi")
         self.blocks = blocks.selectExpr("*", first).filter(f"copy <= {ANCHORS}").selectExpr(
-            K, "page_no", "sort_order", "block_id", "bbox", f"{bigrams('norm')} AS b_grams"
+            K, "page_no", "sort_order", "block_id", "bbox", "norm"
         )
-        self.lists = self.blocks.selectExpr(
+        self.lists = self.blocks.selectExpr(K, "page_no", "sort_order", "block_id", f"{bigrams('norm')} AS b_grams").selectExpr(
             K, "page_no", "sort_order", "block_id", "size(b_grams) AS nb", "explode(b_grams) AS gram"
         )
         held = self.lists.groupBy(K, "gram").agg(F.expr("count(*) AS held"))
         order = "array_sort(collect_list(struct(coalesce(held, 0L) AS held, gram))) AS ordered"
-        self.fields = self.probes.selectExpr(K, "field_key", "explode(s_grams) AS gram").join(
+        self.fields = self.probes.selectExpr(K, "field_key", f"explode({bigrams('source')}) AS gram").join(
             held, [K, "gram"], "left"
         ).groupBy(K, "field_key").agg(F.expr(order)).selectExpr("*", "size(ordered) AS ns")
 
@@ -109,7 +113,10 @@ class GramIndex:
         return candidates.join(self.blocks, [K, "page_no", "sort_order", "block_id"]).join(
             self.probes, [K, "field_key"]
         ).selectExpr(
-            K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "s_grams",
+            K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "source",
+            f"{bigrams('source')} AS s_grams", f"{bigrams('norm')} AS b_grams",
+        ).selectExpr(
+            K, "field_key", "field_page", "page_no", "sort_order", "block_id", "bbox", "source",
             "size(array_intersect(s_grams, b_grams)) AS n", "size(s_grams) AS ns", "size(b_grams) AS nb",
         )
 
@@ -171,7 +178,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         "*", f"bool_or({passed}) OVER (PARTITION BY {K}, field_key) AS done"
     ).filter("(done AND rank = 1) OR (NOT done AND field_page IS NOT NULL)")
     anchors = scores.selectExpr(
-        K, "field_key", "page_no", "rank", "done", "CASE WHEN NOT done THEN s_grams END AS s_grams", "bbox AS a_box", "score AS a_score",
+        K, "field_key", "page_no", "rank", "done", "CASE WHEN NOT done THEN source END AS source", "bbox AS a_box", "score AS a_score",
         "sort_order AS a_order", "block_id AS a_id",
         f"explode(CASE WHEN done THEN array(-1L) ELSE sequence(floor(sort_order / {BUCKET}), "
         f"floor((sort_order + {reach}) / {BUCKET})) END) AS bucket",
@@ -184,7 +191,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         "AND (sort_order > a_order OR (sort_order = a_order AND block_id >= a_id))"
     )
     runs = anchors.join(near, F.expr(match), "left").groupBy(K, "field_key", "page_no", "rank", "done").agg(
-        F.expr("any_value(s_grams) AS s_grams"), F.expr("any_value(a_box) AS a_box"), F.expr("any_value(a_score) AS a_score"),
+        F.expr("any_value(source) AS source"), F.expr("any_value(a_box) AS a_box"), F.expr("any_value(a_score) AS a_score"),
         F.expr("any_value(a_order) AS a_order"),
         F.expr(
             "array_sort(collect_list(struct(sort_order, block_id, norm, bbox)) FILTER (WHERE norm IS NOT NULL)) AS run"
@@ -195,7 +202,7 @@ def locate_sources(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         f"i -> get(run, i).sort_order - get(run, i - 1).sort_order > {MAX_JUMP}))"
     )
     windows = (
-        runs.selectExpr("*", f"explode(CASE WHEN done THEN array(1) ELSE sequence(2, {MAX_SPAN}) END) AS span")
+        runs.selectExpr("*", f"{bigrams('source')} AS s_grams").selectExpr("*", f"explode(CASE WHEN done THEN array(1) ELSE sequence(2, {MAX_SPAN}) END) AS span")
         .filter(reachable)
         .selectExpr(
             K, "field_key", "page_no", "rank", "done", "span", "s_grams", "a_box", "a_score", "a_order",

@@ -66,3 +66,11 @@ def test_keys_of_a_map_are_not_looked_up_one_by_one(spark, make):
     out = E.explode_fields(make(RAW, ("c", 0, raw, None)))
     assert [r.field_key for r in out.orderBy("pos").collect()] == [f"k{i}" for i in range(300)]
     assert "element_at(try_variant_get" not in plan(out)
+
+
+def test_traced_texts_are_shuffled_not_their_bigrams(spark):
+    from clauseloom.operators import trace as T
+
+    lines = plan(T.locate_sources(A.traces(spark, SF), A.blocks(spark, SF))).split("\n")
+    below = [lines[i + 1] for i, line in enumerate(lines) if "RepartitionByExpression" in line]
+    assert len(below) == 2 and not any("grams" in line for line in below)
