@@ -74,3 +74,9 @@ def test_traced_texts_are_shuffled_not_their_bigrams(spark):
     lines = plan(T.locate_sources(A.traces(spark, SF), A.blocks(spark, SF))).split("\n")
     below = [lines[i + 1] for i, line in enumerate(lines) if "RepartitionByExpression" in line]
     assert len(below) == 2 and not any("grams" in line for line in below)
+
+
+def test_requested_keys_are_not_broadcast(spark):
+    """The definitions are the small side; the keys of all contracts would go through the driver."""
+    for name in ("extraction_diagnostics", "reconcile", "field_sets"):
+        assert "BuildLeft" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
