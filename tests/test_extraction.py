@@ -118,6 +118,15 @@ def test_reconcile(make):
     assert (diag.returned_keys, diag.non_null_keys, diag.null_keys, diag.missing_keys, diag.unknown_keys) == ("a", "a", "b", "b", "odd")
 
 
+def test_reconcile_merges_the_answers_once(make):
+    """Counting a contract's hits read and merged all answers a second time, and failed contracts gathered their values."""
+    asked = make("contract_id STRING, field_key STRING, field_name STRING, value_type STRING, sort_order INT", ("c", "a", "A", "string", 0), ("d", "a", "A", "string", 0))
+    got, failed = E.reconcile(make(RETURNED, ("c", "a", 0, None, "x", None, None, 1, None, 0.9)), asked)
+    merges = [df._jdf.queryExecution().optimizedPlan().toString().count("max_by(") for df in (got, failed)]
+    assert merges == [1, 0]
+    assert [r.contract_id for r in got.collect()] == ["c"] and [r.contract_id for r in failed.collect()] == ["d"]
+
+
 def test_field_sets(make):
     defs = make(
         DEFINITIONS, ("common-1", "x", "", "string", False, 1, True, None), ("lease-1", "x", "", "string", False, 2, True, "lease"),
