@@ -30,6 +30,7 @@ class Extracted:
     types: DataFrame
     violations: DataFrame
     failed: DataFrame
+    matched: DataFrame  # the fields before tracing, which reads them several times: worth keeping where they are stored
 
 
 def ingest(responses: DataFrame) -> Ingested:
@@ -76,4 +77,4 @@ def extract(
     stored = traced.drop("missing").selectExpr(
         "*", "'extracted' AS review_status", "CAST(NULL AS STRING) AS reviewed_value"
     )
-    return Extracted(stored, types, V.validate(fields, done), failed)
+    return Extracted(stored, types, V.validate(fields, done), failed, fields)

@@ -93,6 +93,7 @@ def extract_fields(
     def handle(rows: DataFrame, batch_id: int) -> None:
         store = Store(rows.sparkSession, f"{folder}/extracted")
         rows = rows.select(K, "chunk_no", "raw", "error").persist()
+        held = [rows]
         try:
             with store.batch(batch_id) as made:
                 if made.done:
@@ -107,15 +108,19 @@ def extract_fields(
                     again = F.expr(f"o.{K} <=> f.{K} AND o.chunk_no <=> f.chunk_no")
                     answers = older.join(fresh.alias("f"), again, "left_anti").unionByName(fresh)
                 answers = made.write("answers", answers, touched)
-                blocks = read_blocks(rows.sparkSession, blocks_folder, touched)
+                # tracing reads blocks and matched fields several times: looked up, parsed and merged once for all
+                blocks = read_blocks(rows.sparkSession, blocks_folder, touched).persist()
+                held.append(blocks)
                 own = None if overrides is None else overrides.join(touched, K, "left_semi")
                 out = batch.extract(contracts.join(touched, K, "left_semi"), blocks, answers, definitions, own)
+                held.append(out.matched.persist())
                 fields = made.write("fields", out.fields, touched)
                 # findings follow from the fields as written, not from a second pass over the answers
                 found = batch.V.validate(fields, fields.select(K).distinct()).selectExpr("*", "'active' AS status")
                 made.write("violations", found, touched)
         finally:
-            rows.unpersist()
+            for kept in held:
+                kept.unpersist()
 
     return _run(responses, handle, folder)
 

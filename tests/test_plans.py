@@ -80,3 +80,26 @@ def test_requested_keys_are_not_broadcast(spark):
     """The definitions are the small side; the keys of all contracts would go through the driver."""
     for name in ("extraction_diagnostics", "reconcile", "field_sets"):
         assert "BuildLeft" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_fields_are_not_parsed_again_for_tracing(spark):
+    """Tracing read the answers several times over, each time from their text."""
+    from clauseloom.plans import batch
+    from clauseloom.plans import extraction_queries as X
+
+    contracts, responses, sets = X.line_answers(spark, SF)
+    out = batch.extract(contracts, A.blocks(spark, SF), responses, A.definitions(spark), sets)
+
+    def leaves():
+        found = out.fields.select("contract_id", "bbox")._jdf.queryExecution().withCachedData().collectLeaves()
+        return [found.apply(i).nodeName() for i in range(found.size())]
+
+    before = leaves()
+    matched = out.matched.persist()
+    try:
+        after = leaves()
+        kept = after.count("InMemoryRelation")
+        # what is left are the blocks; every reading of the matched fields is one of the kept rows
+        assert kept > 1 and len(after) - kept < len(before) / 2
+    finally:
+        matched.unpersist()
