@@ -141,17 +141,22 @@ class Store:
         self._publish(after)
         self._retire(after)
 
-    def _write(self, path: str, rows: DataFrame, touched: DataFrame) -> None:
+    def _write(self, path: str, rows: DataFrame, touched: DataFrame | None) -> None:
+        """Write a run; without ``touched`` its keys are those of its rows, read back as written."""
         hashed = F.xxhash64(*self.keys).alias("_hash")
         names = [c for c in rows.columns if c != "_hash"]
-        for part, df in (("rows", rows.select(*names, hashed)), ("keys", touched.select(*self.keys, "_batch", hashed).distinct())):
-            folder = f"{self.root}/{path}/{part}"
-            # files of about one size: small parts are put together, and the part of a hot key is split
-            dealt = df.withColumn("_part", F.expr(_PART)).hint("rebalance", F.col("_part")).drop("_part")
-            dealt.sortWithinPartitions("_hash").write.mode("overwrite").parquet(folder)
-            held = self.spark.read.schema(df.schema).parquet(folder)
-            held = held.select(F.col("_metadata.file_name").alias("file"), F.expr(_PART).alias("part")).distinct()
-            held.coalesce(1).write.mode("overwrite").parquet(f"{folder}-parts")
+        stored = self._write_part(f"{self.root}/{path}/rows", rows.select(*names, hashed))
+        keys = (stored if touched is None else touched).select(*self.keys, "_batch", hashed)
+        self._write_part(f"{self.root}/{path}/keys", keys.distinct())
+
+    def _write_part(self, folder: str, df: DataFrame) -> DataFrame:
+        # files of about one size: small parts are put together, and the part of a hot key is split
+        dealt = df.withColumn("_part", F.expr(_PART)).hint("rebalance", F.col("_part")).drop("_part")
+        dealt.sortWithinPartitions("_hash").write.mode("overwrite").parquet(folder)
+        stored = self.spark.read.schema(df.schema).parquet(folder)
+        held = stored.select(F.col("_metadata.file_name").alias("file"), F.expr(_PART).alias("part")).distinct()
+        held.coalesce(1).write.mode("overwrite").parquet(f"{folder}-parts")
+        return stored
 
     def _merged(self, table: str, runs: list[dict], schema: str) -> list[dict]:
         """The runs with every full level merged into the next. Levels fall from the oldest run to the newest."""
@@ -163,9 +168,8 @@ class Store:
             path = f"{table}/run-{old[0]['first']}-{old[-1]['last']}-{uuid.uuid4().hex}"
             keys = self._newest(self._part(old, "keys", None))
             rows = self._of_newest(self._part(old, "rows", schema), keys)
-            if old[0] is runs[0]:  # nothing older is left to be hidden by a key without rows
-                keys = keys.alias("n").join(rows.select("_hash", *self.keys).alias("r"), self._same(), "left_semi")
-            self._write(path, rows, keys)
+            # with nothing older left to be hidden by a key without rows, the keys are those of the rows
+            self._write(path, rows, None if old[0] is runs[0] else keys)
             at = runs.index(old[0])
             made = {"path": path, "level": full + 1, "first": old[0]["first"], "last": old[-1]["last"]}
             runs = [*runs[:at], made, *[r for r in runs[at:] if r not in old]]

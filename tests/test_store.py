@@ -114,3 +114,21 @@ def test_look_up_opens_files_of_the_keys_alone(spark, make, tmp_path):
         assert store.read("t", spark.range(6000).selectExpr("concat('k', id) AS contract_id")).count() == 6000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_merge_joins_rows_and_keys_once(spark, make, tmp_path, monkeypatch):
+    """With no older run left the merged keys were joined to a second working-out of the merged rows."""
+    plans = {}
+    whole = S.Store._write_part
+
+    def seen(self, folder, df):
+        plans.setdefault(folder.split("/")[-1], []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return whole(self, folder, df)
+
+    monkeypatch.setattr(S.Store, "_write_part", seen, raising=True)
+    store = S.Store(spark, str(tmp_path), fan=2)
+    write(store, 0, [("a", 1, "x"), ("b", 2, "y")], ["a", "b"], make)
+    write(store, 1, [("b", 3, "z")], ["a", "b"], make)  # a is gone
+    assert "Join" in plans["rows"][-1] and "Join" not in plans["keys"][-1]
+    assert current(store.read("t")) == [("b", 3, "z")]
+    assert current(store.read("t", make("contract_id STRING", ("a",), ("b",)))) == [("b", 3, "z")]
