@@ -22,6 +22,8 @@ EXAMPLES = {1: 4000, 0: 8000}
 FAINT = 0.05
 #: Neighbours that vote, and examples in a block of an inverted list.
 NEIGHBOURS, BLOCK = 25, 64
+#: Postings that the driver takes at once while it puts the index together, but for a term with more.
+SLICE = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,15 +53,19 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Terms:
-    """Finds the known terms of whole texts; what a word stands for is remembered, up to a million words."""
+    """Finds the known terms of whole texts; what a word stands for is remembered, up to a million words.
 
-    def __init__(self, terms: list[str]):
-        self.number, self.known = {t: i for i, t in enumerate(terms)}, {}
+    The terms travel as one Arrow array; a dictionary of them is made where texts are read."""
+
+    def __init__(self, terms: pa.Array):
+        self.terms, self.number, self.known = terms, None, {}
 
     def __reduce__(self):
-        return Terms, (sorted(self.number, key=self.number.get),)
+        return Terms, (self.terms,)
 
     def counts(self, text: str | None) -> dict[int, int]:
+        if self.number is None:
+            self.number = {t: i for i, t in enumerate(self.terms.to_pylist())}
         known, number, out = self.known, self.number, {}
         if len(known) > 1_000_000:
             known.clear()
@@ -82,11 +88,19 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], ["toxic", "term"])
 
 
+def _damped(tf: np.ndarray) -> np.ndarray:
+    return 1 + np.log(tf.astype(float))
+
+
+def _least_type(most: int) -> np.dtype:
+    return np.dtype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32)
+
+
 def vector(text: str | None, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term, weight) of a whole text over the known terms, of unit length; nothing if none occurs."""
     tf = terms.counts(text)
     at = np.array(sorted(tf), np.int64)
-    x = (1 + np.log(np.array([tf[k] for k in at.tolist()], float))) * idf[at]
+    x = _damped(np.array([tf[k] for k in at.tolist()])) * idf[at]
     return at, x / np.sqrt(x @ x) if len(at) else x
 
 
@@ -114,7 +128,15 @@ class BlockMaxIndex:
         self.counts = np.bincount(terms, minlength=self.n_terms).astype(np.int32)
         self.ids = np.repeat(np.arange(self.n_rows, dtype=np.int32), [len(a) for a, _ in self.rows])[order]
         self.weights = np.concatenate([np.empty(0), *[x for _, x in self.rows]])[order]
-        self._index()
+        self.starts = None
+
+    @classmethod
+    def of_postings(cls, counts: np.ndarray, ids: np.ndarray, tf: np.ndarray, idf: np.ndarray, norms: np.ndarray) -> BlockMaxIndex:
+        """The index of postings in order of term and example; ``counts`` has the length of each term's list. Weights
+        are worked out where they are first used: until then a posting is the number of its example and a count."""
+        index = cls.__new__(cls)
+        index.__setstate__((len(counts), BLOCK, len(norms), counts, ids, (tf, idf, norms)))
+        return index
 
     def __getstate__(self):
         """Postings alone, without what they give again."""
@@ -122,11 +144,14 @@ class BlockMaxIndex:
 
     def __setstate__(self, state):
         self.n_terms, self.block, self.n_rows, self.counts, self.ids, self.weights = state
-        self.rows = []
-        self._index()
+        self.rows, self.starts = [], None
 
     def _index(self):
-        terms = np.repeat(np.arange(self.n_terms), self.counts)
+        """Entries and their bounds, made where they are first used."""
+        terms = np.repeat(np.arange(self.n_terms, dtype=np.int32), self.counts)
+        if isinstance(self.weights, tuple):
+            tf, idf, norms = self.weights
+            self.weights = _damped(tf) * idf[terms] / norms[self.ids]
         blocks = self.ids // self.block
         starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])][: len(terms)])
         self.starts, self.blocks = np.r_[starts, len(terms)], blocks[starts]
@@ -144,6 +169,8 @@ class BlockMaxIndex:
         The blocks of the largest bounds are scored first, then twice as many each time; the k-th best score so far
         closes all blocks whose bound is less.
         """
+        if self.starts is None:
+            self._index()
         entries, n = _ranges(self.firsts[at], self.firsts[at + 1])
         q, blocks = np.repeat(x, n), self.blocks[entries]
         bound = np.bincount(blocks, q * self.best[entries], minlength=-(-self.n_rows // self.block))
@@ -171,7 +198,7 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    terms: list[str]
+    finder: Terms
     idf: np.ndarray
     index: BlockMaxIndex
     ids: np.ndarray
@@ -181,8 +208,9 @@ class Model:
     shift: float = 0.0
     base: float = 0.0
 
-    def __post_init__(self):
-        self.finder = Terms(self.terms)
+    @property
+    def terms(self) -> list[str]:
+        return self.finder.terms.to_pylist()
 
     def votes(self, at: np.ndarray, x: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic votes, weighted by nearness and by how many documents an example stands for."""
@@ -216,11 +244,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
+def _index_of(postings: DataFrame, counts: np.ndarray, most: int, idf: np.ndarray, norms: np.ndarray) -> BlockMaxIndex:
+    """The index of postings (at, id, tf), taken term range by term range; no more than a slice of them is held twice.
+    ``most`` is the largest tf."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    n = int(ends[-1]) if len(ends) else 0
+    ids, tf = np.empty(n, _least_type(len(norms))), np.empty(n, _least_type(most))
+    first = place = 0
+    while first < len(counts):
+        stop = max(first + 1, int(np.searchsorted(ends, place + SLICE, side="right")))
+        at, own, times = (c.to_numpy() for c in postings.where(f"at >= {first} and at < {stop}").toArrow().columns)
+        order, upto = np.lexsort((own, at)), int(ends[stop - 1])
+        ids[place:upto], tf[place:upto] = own[order], times[order]
+        first, place = stop, upto
+    return BlockMaxIndex.of_postings(counts, ids, tf, idf, norms)
+
+
 def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None = None) -> Model | None:
     """Index labelled documents. ``labels`` has doc_id and toxic; an id labelled twice counts as toxic if any says so.
 
-    About ``examples[c]`` documents of class c are drawn; that sample alone, its terms and its vectors reach the
-    driver. All terms of all drawn examples are indexed, their document counts cover every row of ``docs``. None if no labelled row is found.
+    About ``examples[c]`` documents of class c are drawn; of that sample alone the terms and the postings, slice by
+    slice, reach the driver. All terms of all drawn examples are indexed, their document counts cover every row of ``docs``. None if no labelled row is found.
     """
     ship(docs.sparkSession)
     want = examples or EXAMPLES
@@ -245,7 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     seen = sample.select("toxic", "text").mapInArrow(_example_terms, "toxic int, term string")
     seen = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     seen = scratch.keep(seen, "terms").toArrow().sort_by("term")
-    terms, a, n = seen.column(0).to_pylist(), seen.column(1).to_numpy().astype(float), seen.column(2).to_numpy().astype(float)
+    terms, a, n = pa.concat_arrays(seen.column(0).chunks or [pa.array([], pa.string())]), *(seen.column(k).to_numpy().astype(float) for k in (1, 2))
+    del seen
+    scratch.drop("terms")
     least = 2 * np.log(max(1, len(terms))) + 2  # the ratio of a chance term exceeds x with a chance of about exp(-x / 2)
     rate, ratio = n1 / (n1 + n0), np.zeros(len(terms))
     for got, expected in ((a, n * rate), (n - a, n * (1 - rate)), (n1 - a, (n1 + n0 - n) * rate), (n0 - n + a, (n1 + n0 - n) * (1 - rate))):
@@ -263,42 +309,57 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, total[some]])], ["k", "n"])
 
     total = docs.select("text").mapInArrow(document_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    df = dict(zip(total.column(0).to_pylist(), total.column(1).to_pylist(), strict=True))
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))]) * (FAINT + telling)
+    df = np.zeros(len(terms) + 1)  # the last one, of number -1, counts all rows
+    df[total.column(0).to_numpy()] = total.column(1).to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FAINT + telling)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Terms(terms)
         for batch in batches:
-            rows = [vector(text.as_py(), finder, idf) for text in batch.column(2)]
+            at, tf, norms, most = [], [], [], []
+            for text in batch.column(2):
+                found = sorted(finder.counts(text.as_py()).items())
+                at.append(np.array([k for k, _ in found], np.int32))
+                tf.append(np.array([m for _, m in found], np.int32))
+                x = _damped(tf[-1]) * idf[at[-1]]
+                norms.append(np.sqrt(x @ x))
+                most.append(max(tf[-1], default=0))
+            lists = [pa.array(v, pa.list_(pa.int32())) for v in (at, tf)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([a for a, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.float64()))],
-                ["doc_id", "toxic", "at", "x"])
-
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, at array<long>, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    toxic = rows.column(1).to_numpy()
-    pairs = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(rows.column(2), rows.column(3), strict=True)]
+                [batch.column(0), batch.column(1), *lists, pa.array(norms, pa.float64()), pa.array(most, pa.int32())],
+                ["doc_id", "toxic", "at", "tf", "norm", "most"])
+
+    held = sample.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, tf array<int>, norm double, most int")
+    held = scratch.keep(held.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    scratch.drop("examples")
+    rows = held.select("doc_id", "toxic", "row", "norm", "most").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "toxic", "row")])
+    toxic, norms, most = (rows.column(k).to_numpy() for k in (1, 3, 4))
+    full = most > 0
+    numbers = rows.filter(pa.array(full)).select(["row"]).add_column(0, "id", pa.array(np.arange(full.sum()), pa.int32()))
+    numbered = held.join(F.broadcast(docs.sparkSession.createDataFrame(numbers)), "row")
     stands = np.where(toxic == 1, sizes.get(1, 0) / max(1, n1), sizes.get(0, 0) / max(1, n0))
     stands = stands / stands.mean()
-    full = np.array([len(a) > 0 for a, _ in pairs], bool)
     # texts without words: their own share of toxic ones, and one at the rate of all
     base = float((stands * toxic)[~full].sum() + stands @ toxic / stands.sum()) / float(stands[~full].sum() + 1)
-    model = Model(terms, idf, BlockMaxIndex(len(terms), [p for p, f in zip(pairs, full, strict=True) if f]), rows.column(0).to_numpy()[full],
-                  toxic[full].astype(float), stands[full], base=base)
+    postings = numbered.select("id", F.explode(F.arrays_zip("at", "tf")).alias("p")).select("p.at", "id", "p.tf")
+    # the examples that hold a term, n, are the length of its list
+    index = _index_of(postings, n.astype(np.int32), int(max(most, default=0)), idf, norms[full])
+    model = Model(Terms(terms), idf, index, rows.column(0).to_numpy()[full], toxic[full].astype(float), stands[full], base=base)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
-            own = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)
-            share = [judge.votes(a.values.to_numpy(), x.values.to_numpy(), i)[0] for i, a, x in own]
+            share = []
+            for i, at, tf in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                at = at.values.to_numpy()
+                x = _damped(tf.values.to_numpy()) * judge.idf[at]
+                share.append(judge.votes(at, x / np.sqrt(x @ x), i)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64())], ["id", "share"])
 
     # each example judged by the others
-    numbers = pa.array(np.arange(full.sum()), pa.int64())
-    numbered = rows.filter(pa.array(full)).select(["at", "x"]).add_column(0, "id", numbers)
-    judged = docs.sparkSession.createDataFrame(numbered).mapInArrow(votes, "id long, share double").toArrow().sort_by("id")
+    judged = numbered.select("id", "at", "tf").mapInArrow(votes, "id int, share double").toArrow().sort_by("id")
     shares = judged.column(1).to_pylist()
-    model.index.rows = []
     sent.destroy()
     x = np.log((np.array([*shares, base]) + 1e-3) / (1 - np.array([*shares, base]) + 1e-3))
     rest = stands[~full]

@@ -78,6 +78,28 @@ def test_every_text_with_a_known_word_meets_its_nearest_examples(spark, docs):
         assert np.allclose(r.cosines, [cosine[i] for i in r.neighbours])
 
 
+def test_postings_reach_the_driver_in_slices(spark, docs, monkeypatch):
+    rows, labels = corpus(300)
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.train(docs(*rows), marked)
+    taken, frame = [], type(marked)
+    collect = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: taken.append((df.columns, collect(df))) or taken[-1][1])
+    monkeypatch.setattr(toxicity, "SLICE", 500)
+    model = toxicity.train(docs(*rows), marked)
+    assert not any("list" in str(kind) for _, table in taken for kind in table.schema.types)
+    sizes = [len(table) for columns, table in taken if columns == ["at", "id", "tf"]]
+    assert len(sizes) > 2 and max(sizes) <= max(500, model.index.counts.max()) and sum(sizes) == model.index.counts.sum()
+    assert model.index.ids.itemsize == 2 and model.index.weights[0].itemsize == 1  # what is sent of a posting
+    for made in (model, whole):
+        made.index._index()
+    assert (model.index.ids == whole.index.ids).all() and np.allclose(model.index.weights, whole.index.weights)
+    # the postings as the vectors of the examples give them
+    texts = dict(rows)
+    plain = toxicity.BlockMaxIndex(len(model.idf), [toxicity.vector(texts[i], model.finder, model.idf) for i in model.ids.tolist()])
+    assert (plain.ids == model.index.ids).all() and (plain.counts == model.index.counts).all() and np.allclose(plain.weights, model.index.weights)
+
+
 def test_odd_rows(spark, docs):
     rows, labels = corpus(200)
     model = toxicity.train(docs(*rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
