@@ -22,8 +22,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LOCAL_PIECES, FAN_IN = 20_000, 8
 #: Unfinished bins that a group hands on for another round, the emptiest first; the other bins are done.
 CARRIED = 512
-#: Word encodings that a Python worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Word encodings that a Python worker remembers before it starts anew, and those of words with punctuation among them.
+REMEMBERED, MARKED = 1_000_000, 400_000
 #: Runs of ASCII punctuation, but for the apostrophe, with a letter, digit or white space on either side
 #: (U+001C to U+001F, white space elsewhere, are punctuation to the tokenizer).
 _MARKS = re.compile(r"(?<![^\w\s])(?<![_\x1c-\x1f])([!-&(-/:-@\[-`{-~]++)(?![^\w\s])(?![\x1c-\x1f])")
@@ -32,8 +32,8 @@ _MARKS = re.compile(r"(?<![^\w\s])(?<![_\x1c-\x1f])([!-&(-/:-@\[-`{-~]++)(?![^\w
 class WordEncoder:
     """Token ids as little-endian uint32 bytes. A run without blanks and line ends is encoded on its own, which
     the tokenizer allows: its normaliser and pre-tokeniser never look across white space. So that words repeat more
-    often, Latin-1 texts are lower-cased as the normaliser does, and get blanks round punctuation where the
-    pre-tokeniser cuts anyway."""
+    often, Latin-1 texts are lower-cased as the normaliser does, and Latin-1 runs that are new are cut round punctuation
+    where the pre-tokeniser cuts anyway, so that their parts may be known."""
 
     def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
@@ -42,6 +42,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.marked: list[str] = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], "<u4").tobytes()
 
     @staticmethod
@@ -49,11 +53,36 @@ class WordEncoder:
         text = text or ""
         try:
             text.encode("latin-1")
-            text = _MARKS.sub(r" \1 ", text.lower())
+            text = text.lower()
         except UnicodeEncodeError:
-            pass  # elsewhere a letter can turn into a letter and a mark that belongs to the punctuation after it
+            pass  # elsewhere lower-casing before the normaliser's composition can differ
         return text.replace("\n", " ").split(" ")
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember words and their parts."""
+        # beyond Latin-1 a letter can turn into a letter and a mark that belongs to the punctuation after it
+        plain = [w for w in words if w.isascii() or max(w) < "\u0100"]
+        # words hold no line end, which bounds them here as the blanks or line ends do in their text
+        cut = _MARKS.sub(r" \1 ", "\n".join(plain)).split("\n") if plain else []
+        parts = {w: c.split(" ") for w, c in zip(plain, cut, strict=True) if len(c) > len(w)}
+        new = [w for w in set(words).difference(parts).union(*parts.values()) if w not in self.known]
+        # words of letters alone are one pre-token each, so many can share a text
+        letters = [w for w in new if w.isalpha() and max(w) < "\u0100"]
+        for i in range(0, len(letters), 256):
+            some = letters[i : i + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, data = (np.flatnonzero(self.last[ids]) + 1).tolist(), ids.tobytes()
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *cuts], cuts, strict=False))
+        new = [w for w in new if w not in self.known]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(some, made, strict=True))
+        get = self.known.__getitem__
+        self.known.update([(w, b"".join(map(get, p))) for w, p in parts.items()])
+        self.marked += parts
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, end id included; a group of texts of about a million characters at a time."""
         start = 0
@@ -65,11 +94,12 @@ class WordEncoder:
             split = [self.words(t) for t in texts[start:stop]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = [w for w in set().union(*split) if w not in self.known]
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                self.known.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(some, made, strict=True))
+                self.marked.clear()
+            if len(self.marked) > MARKED:  # their parts stay
+                for word in self.marked:
+                    del self.known[word]
+                self.marked.clear()
+            self._learn([w for w in set().union(*split) if w not in self.known])
             get = self.known.__getitem__
             for words in split:
                 yield b"".join(map(get, words)) + self.end

@@ -72,3 +72,31 @@ def test_best_fit(seed):
     assert sorted(i for b in bins for i in b) == list(range(300))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
     assert sum(2 * sum(sizes[i] for i in b) <= 100 for b in bins) <= 1
+
+
+def test_punctuation_is_cut_in_new_words_alone(monkeypatch):
+    texts = ["Ab,c d. a.b", "x ab,c (d)", "...é, \x1c,y it's", "漢字,a ab,c", None, "a\u0301,b. ab,c"] * 3
+    plain = Tokenizer.from_file(packing.TOKENIZER)
+    want = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    encoder, cut = packing.WordEncoder(packing.TOKENIZER), []
+    marks = packing._MARKS
+    monkeypatch.setattr(packing, "_MARKS", type("Marks", (), {"sub": staticmethod(lambda by, text: cut.append(text) or marks.sub(by, text))}))
+    assert list(encoder.encode(texts)) == want
+    words = "\n".join(cut).split("\n")
+    assert words and len(words) == len(set(words))  # each once, however often it stands in the texts
+    known = len(encoder.known)
+    monkeypatch.setattr(packing, "MARKED", 1)
+    assert list(encoder.encode(texts)) == want and len(encoder.known) == known and len(cut) == 2  # forgotten, and learnt from their parts
+
+
+def test_new_words_of_letters_share_a_text(monkeypatch):
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("aeiouxzqbcdstéßñÿªµ") for _ in range(rng.randrange(1, 14))) for _ in range(3000)})
+    encoder, asked = packing.WordEncoder(packing.TOKENIZER), []
+    plain = encoder.tokenizer
+    encode = lambda texts, **kw: asked.append(len(texts)) or plain.encode_batch_fast(texts, **kw)
+    encoder.tokenizer = type("Counted", (), {"encode_batch_fast": staticmethod(encode)})
+    encoder._learn(words)
+    want = plain.encode_batch_fast(words, add_special_tokens=False)
+    assert [encoder.known[w] for w in words] == [np.array(m.ids, "<u4").tobytes() for m in want]
+    assert sum(asked) <= len(words) / 100
