@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from clauseloom.operators import trace as T
 from clauseloom.plans import adapters as A
 from clauseloom.plans import registry
@@ -145,3 +147,41 @@ def test_three_best_blocks_through_the_index(make):
         want |= {(key, name, page, order, rank + 1) for rank, (_, page, order, _) in enumerate(sorted(scored)[:3])}
     got = T.block_scores(make(FIELDS, *fields), make(BLOCKS, *rows)).collect()
     assert {(r.contract_id, r.field_key, r.page_no, r.sort_order, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_bigrams_are_no_rows(spark):
+    """Lists of bigrams took hundreds of rows a line, shuffled several times over."""
+    sf = "/root/testdata/sf0.001"
+    for found in (T.block_scores(A.traces(spark, sf), A.blocks(spark, sf)), T.locate_sources(A.traces(spark, sf), A.blocks(spark, sf))):
+        assert "gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tiles_in_slices_of_bigrams(monkeypatch):
+    """However many characters a tile has, its matrices stay small; counts and windows are those of plain sets."""
+    rng = random.Random(5)
+    for chars, cells in (("甲乙丙丁ab", 10**6), ("甲乙丙丁ab", 60), ("".join(map(chr, range(0x4E00, 0x5600))) + "😀", 400)):
+        monkeypatch.setattr(T, "CELLS", cells)
+        text = lambda least: "".join(rng.choice(chars) for _ in range(rng.randrange(least, 14)))  # noqa: E731, B023
+        sources, texts = [text(6) for _ in range(7)], ["", *[text(0) for _ in range(9)], "", ""]
+        tile = T._Tile(sources, texts)
+        assert all((hi - lo) * (len(sources) + len(texts)) <= cells for lo, hi in tile.slices)
+        pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+        n, ns, nb = tile.shared()
+        assert n.tolist() == [[len(pairs(s) & pairs(t)) for t in texts] for s in sources]
+        assert ns.tolist() == [len(pairs(s)) for s in sources] and nb.tolist() == [len(pairs(t)) for t in texts]
+        f_at, b_at = (g.ravel() for g in np.meshgrid(range(7), range(len(texts) - 1), indexing="ij"))
+        got = tile.windows(f_at, b_at)
+        for span in (2, 3, 4):
+            want = [len(pairs(sources[f]) & pairs("".join(texts[b : b + span]))) for f, b in zip(f_at, b_at) if b + span <= len(texts)]
+            assert got[span][b_at + span <= len(texts)].tolist() == want
+
+
+def test_fields_of_scattered_pages(make):
+    """Fields of many pages of one contract, in no order and in several partitions, each find their own page's block."""
+    rng = random.Random(9)
+    texts = {(p, o): "".join(rng.choice("abcdefghij") for _ in range(12)) for p in range(1, 40) for o in (0, 255, 256, 600)}
+    blocks = [("k", p, o, "", t, (float(p), float(o), 1.0, 1.0)) for (p, o), t in texts.items()]
+    fields = [("k", f"{p}-{o}", "v", t, p, None) for (p, o), t in texts.items()]
+    rng.shuffle(fields)
+    got = T.locate_sources(make(FIELDS, *fields).repartition(5), make(BLOCKS, *blocks)).collect()
+    assert {(r.field_key, r.page_no, r.bbox.y1, r.span) for r in got} == {(f"{p}-{o}", p, float(o), 1) for p, o in texts}
