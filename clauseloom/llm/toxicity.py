@@ -1,11 +1,11 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over inverted lists, whose dense parts are matrix products."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm import near_dedup
-from clauseloom.llm.shared import Scratch, ship
+from clauseloom.llm.shared import Scratch, bound_batches, ship
 
 #: Labelled examples of each class, as expected numbers, drawn by a hash of the doc_id.
 EXAMPLES = {1: 4000, 0: 8000}
@@ -24,14 +24,34 @@ FAINT = 0.05
 NEIGHBOURS, BLOCK = 25, 64
 #: Postings that the driver takes at once while it puts the index together, but for a term with more.
 SLICE = 2_000_000
+#: Groups of alike examples, the terms that are told by them, and the part of a group that holds a term whose list there is a row of a matrix.
+GROUPS, TELLING, DENSE = 4, 1000, 0.05
+#: Texts compared at once, postings that are summed at once, and words that are remembered.
+TEXTS, SUMMED, WORDS = 64, 250_000, 200_000
+
+
+class _Letters(dict):
+    """str.translate table: letters stay, all else becomes a space."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = kept = code if c.isalnum() and not c.isdecimal() else 32
+        return kept
+
+
+_LETTERS = _Letters()
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, in order."""
+    return (text or "").lower().translate(_LETTERS).split()
 
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str | None) -> dict[str, int]:
     """Counts of the words of a whole text, lower-cased runs of letters, and of their beginnings of four to six letters."""
     out: dict[str, int] = {}
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+    for word, n in Counter(words_of(text)).items():
         for term in {word, word[:4], word[:5], word[:6]}:
             out[term] = out.get(term, 0) + n
     return out
@@ -52,30 +72,46 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in columns]], ["doc_id", "toxic", "text", *COPY_KEYS])
 
 
+class _Known(dict):
+    """The row of a word in a table of the known terms it stands for; row 0 is that of words that stand for none."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number, self.rows, self.table = number, 1, np.full((1024, 4), -1, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        held = [self.number[t] for t in {word, word[:4], word[:5], word[:6]} if t in self.number]
+        row = 0
+        if held:
+            if self.rows == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            row = self.rows
+            self.table[row, : len(held)] = held
+            self.rows += 1
+        self[word] = row
+        return row
+
+
 class Terms:
-    """Finds the known terms of whole texts; what a word stands for is remembered, up to a million words.
+    """Finds the known terms of whole texts; what a word stands for is remembered, up to ``WORDS`` of them.
 
     The terms travel as one Arrow array; a dictionary of them is made where texts are read."""
 
     def __init__(self, terms: pa.Array):
-        self.terms, self.number, self.known = terms, None, {}
+        self.terms, self.number, self.known = terms, None, None
 
     def __reduce__(self):
         return Terms, (self.terms,)
 
-    def counts(self, text: str | None) -> dict[int, int]:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text in their order, and how often each occurs."""
         if self.number is None:
             self.number = {t: i for i, t in enumerate(self.terms.to_pylist())}
-        known, number, out = self.known, self.number, {}
-        if len(known) > 1_000_000:
-            known.clear()
-        for word in _WORD.findall((text or "").lower()):
-            held = known.get(word)
-            if held is None:
-                held = known[word] = tuple(number[t] for t in {word, word[:4], word[:5], word[:6]} if t in number)
-            for k in held:
-                out[k] = out.get(k, 0) + 1
-        return out
+        if self.known is None or len(self.known) > WORDS:
+            self.known = _Known(self.number)
+        rows = np.array(list(map(self.known.__getitem__, words_of(text))), np.int64)
+        held = self.known.table[rows].ravel()
+        return np.unique(held[held >= 0], return_counts=True)
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +134,8 @@ def _least_type(most: int) -> np.dtype:
 
 def vector(text: str | None, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term, weight) of a whole text over the known terms, of unit length; nothing if none occurs."""
-    tf = terms.counts(text)
-    at = np.array(sorted(tf), np.int64)
-    x = _damped(np.array([tf[k] for k in at.tolist()])) * idf[at]
+    at, tf = terms.counts(text)
+    x = _damped(tf) * idf[at]
     return at, x / np.sqrt(x @ x) if len(at) else x
 
 
@@ -158,6 +193,17 @@ class BlockMaxIndex:
         self.best = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
         self.firsts = np.searchsorted(terms[starts], np.arange(self.n_terms + 1))
 
+    def weights_at(self, at: np.ndarray, terms: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The weights of the postings ``at``, worked out a slice at a time; ``terms`` has the term of every posting."""
+        for first in range(0, len(at), SLICE // 4):
+            part = at[first : first + SLICE // 4]
+            if isinstance(self.weights, tuple):
+                tf, idf, norms = self.weights
+                out[first : first + len(part)] = _damped(tf[part]) * idf[terms[part]] / norms[self.ids[part]]
+            else:
+                out[first : first + len(part)] = self.weights[part]
+        return out
+
     def _sums(self, entries: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Scores of the examples in the entries of open blocks; the postings of all others are passed over."""
         at, n = _ranges(self.starts[entries], self.starts[entries + 1])
@@ -196,6 +242,134 @@ class BlockMaxIndex:
         return ids, scores
 
 
+def grouped(index: BlockMaxIndex) -> np.ndarray:
+    """A group of alike examples for each example (texts of one language share most frequent terms), by spherical k-means
+    over the most frequent terms. Groups change the work alone, no result."""
+    starts = np.r_[0, np.cumsum(index.counts, dtype=np.int64)]
+    told = np.argsort(-index.counts, kind="stable")[:TELLING]
+    at, n = _ranges(starts[told], starts[told + 1])
+    x = np.zeros((index.n_rows, len(told)), np.float32)
+    x[index.ids[at], np.repeat(np.arange(len(told)), n)] = 1
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
+    x = unit(x)
+    chosen, near = [0], x @ x[0] if len(x) else np.empty(0)
+    for _ in range(min(GROUPS, len(x)) - 1):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    centres, group = x[chosen] if len(x) else x, np.zeros(len(x), np.int64)
+    for _ in range(10 if len(x) else 0):
+        group = (x @ centres.T).argmax(axis=1)
+        centres = unit(np.stack([x[group == k].sum(axis=0) if (group == k).any() else centres[k] for k in range(len(centres))]))
+    return group.astype(np.uint8)
+
+
+class Products:
+    """Cosines of many texts with all examples.
+
+    Examples are put in order of their groups. A term that enough examples of a group hold has a row in that group's
+    matrix; texts with many of those terms are multiplied with it in single precision. All other postings are summed
+    one by one. The sum's error is bounded by the number of a text's terms, so every example that may be among the
+    nearest is known, and those alone are compared again in double precision.
+    """
+
+    def __init__(self, index: BlockMaxIndex, group: np.ndarray):
+        n_terms, self.n = index.n_terms, index.n_rows
+        self.order = np.argsort(group, kind="stable")
+        self.place = np.empty(self.n, np.int64)
+        self.place[self.order] = np.arange(self.n)
+        sizes = np.bincount(group, minlength=1)
+        self.n_groups, self.edges = len(sizes), np.r_[0, np.cumsum(sizes)]
+        # arrays as long as all postings: few of them at a time
+        terms = np.repeat(np.arange(n_terms, dtype=np.int32), index.counts)
+        # the examples' vectors, for the comparison in double precision; frequent terms come first, so that few cells are met most
+        self.rank = np.empty(n_terms, np.int32)
+        self.rank[np.argsort(-index.counts, kind="stable")] = np.arange(n_terms)
+        by_row = np.argsort(index.ids, kind="stable")
+        self.row_weights = index.weights_at(by_row, terms, np.empty(len(terms)))
+        self.row_terms = self.rank[terms[by_row]]
+        self.row_starts = np.r_[0, np.cumsum(np.bincount(index.ids, minlength=self.n))]
+        del by_row
+        entry = terms * np.int64(self.n_groups)
+        entry += group[index.ids]
+        held = np.bincount(entry, minlength=n_terms * self.n_groups)
+        by_entry = np.argsort(entry, kind="stable")
+        del entry
+        self.weights = index.weights_at(by_entry, terms, np.empty(len(terms), np.float32))
+        del terms
+        self.posted = self.place.astype(np.int32)[index.ids[by_entry]]
+        del by_entry
+        self.starts = np.r_[0, np.cumsum(held)]
+        held = held.reshape(n_terms, self.n_groups)
+        self.rows, self.matrices = [], []
+        for g, size in enumerate(sizes):
+            dense = np.flatnonzero(held[:, g] >= max(8, DENSE * size))
+            row = np.full(n_terms, -1, np.int32)
+            row[dense] = np.arange(len(dense))
+            matrix = np.zeros((len(dense), size), np.float32)
+            at, n = _ranges(self.starts[dense * self.n_groups + g], self.starts[dense * self.n_groups + g + 1])
+            matrix[np.repeat(np.arange(len(dense)), n), self.posted[at] - self.edges[g]] = self.weights[at]
+            self.rows.append(row)
+            self.matrices.append(matrix)
+        self.query = np.zeros(n_terms)
+
+    def _sums(self, texts: np.ndarray, terms: np.ndarray, x: np.ndarray, n_texts: int) -> np.ndarray:
+        """Cosines with all examples in their order, in single precision."""
+        out, left = np.zeros((n_texts, self.n)), []
+        for g, (row, matrix) in enumerate(zip(self.rows, self.matrices, strict=True)):
+            at = row[terms]
+            # the matrix is worth it from so many of its terms on
+            many = np.bincount(texts[at >= 0], minlength=n_texts) >= max(1, len(matrix) / 25)
+            own = (at >= 0) & many[texts]
+            some = np.flatnonzero(many)
+            if len(some):
+                number = np.cumsum(many) - 1
+                q = np.zeros((len(some), len(matrix)), np.float32)
+                q[number[texts[own]], at[own]] = x[own]
+                out[some, self.edges[g] : self.edges[g + 1]] = q @ matrix
+            entry = terms[~own] * self.n_groups + g
+            left.append((texts[~own], self.starts[entry], self.starts[entry + 1], x[~own]))
+        of, starts, stops, x = (np.concatenate(c) for c in zip(*left, strict=True))
+        some = np.flatnonzero(stops > starts)
+        some = some[np.argsort(of[some], kind="stable")]
+        of, starts, stops, x = of[some], starts[some], stops[some], x[some]
+        met = np.r_[0, np.cumsum(np.bincount(of, stops - starts, minlength=n_texts))]
+        upto = np.searchsorted(of, np.arange(n_texts + 1))
+        first = 0
+        while first < n_texts:
+            last = max(first + 1, int(np.searchsorted(met, met[first] + SUMMED, side="right")) - 1)
+            part = slice(upto[first], upto[last])
+            at, n = _ranges(starts[part], stops[part])
+            cell = np.repeat((of[part] - first) * self.n, n) + self.posted[at]
+            out[first:last] += np.bincount(cell, np.repeat(x[part], n) * self.weights[at], minlength=(last - first) * self.n).reshape(-1, self.n)
+            first = last
+        return out
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The exact k nearest examples of each query by cosine above 0: most similar first, ties to the smaller number;
+        ``skip`` names an example that a query does not meet."""
+        lengths = np.array([len(at) for at, _ in queries], np.int64)
+        texts = np.repeat(np.arange(len(queries)), lengths)
+        terms, x = (np.concatenate([q[c] for q in queries]) for c in (0, 1))
+        sums = self._sums(texts, terms.astype(np.int64), x, len(queries))
+        if skip is not None:
+            sums[np.arange(len(queries)), self.place[skip]] = 0
+        least = np.partition(sums, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(len(queries))
+        # nothing is below 0, so that each rounding of a weight, a product or a sum is off by 2^-24 of the cosine at most
+        least = least * (1 - 2 * (lengths + 8) * 2.0**-23) - 1e-11
+        may = (sums >= least[:, None]) & (sums > 0)
+        out = []
+        for i, (at, q) in enumerate(queries):
+            ids = np.sort(self.order[may[i]])
+            own = self.rank[at]
+            self.query[own] = q
+            rows = [slice(*ends) for ends in zip(self.row_starts[ids].tolist(), self.row_starts[ids + 1].tolist(), strict=True)]
+            cosine = np.array([self.query[self.row_terms[row]] @ self.row_weights[row] for row in rows])
+            self.query[own] = 0
+            best = np.lexsort((ids, -np.round(cosine, 12)))[:k]
+            out.append((ids[best], cosine[best]))
+        return out
+
+
 @dataclass
 class Model:
     finder: Terms
@@ -207,24 +381,34 @@ class Model:
     slope: float = 0.0
     shift: float = 0.0
     base: float = 0.0
+    group: np.ndarray | None = None
+    products: Products | None = None
+
+    def __getstate__(self):
+        """Without what is made again where texts are scored."""
+        return self.__dict__ | {"products": None}
 
     @property
     def terms(self) -> list[str]:
         return self.finder.terms.to_pylist()
 
-    def votes(self, at: np.ndarray, x: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic votes, weighted by nearness and by how many documents an example stands for."""
-        ids, cosine = self.index.nearest(at, x, NEIGHBOURS, skip)
-        w = self.weight[ids] / (1.05 - np.minimum(cosine, 1.0))
-        # one vote of the base rate keeps few or far neighbours from extreme scores
-        return float((w @ self.toxic[ids] + self.base) / (w.sum() + 1)), ids, cosine
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        at, x = vector(text, self.finder, self.idf)
-        if not len(at):
-            return self.calibrated(self.base), [], []
-        share, ids, cosine = self.votes(at, x)
-        return self.calibrated(share), self.ids[ids[:3]].tolist(), cosine[:3].tolist()
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of toxic votes for each query, weighted by nearness and by how many documents an example stands for."""
+        if self.products is None:
+            self.products = Products(self.index, np.zeros(self.index.n_rows, np.uint8) if self.group is None else self.group)
+        for ids, cosine in self.products.nearest(queries, NEIGHBOURS, skip) if queries else ():
+            w = self.weight[ids] / (1.05 - np.minimum(cosine, 1.0))
+            # one vote of the base rate keeps few or far neighbours from extreme scores
+            yield float((w @ self.toxic[ids] + self.base) / (w.sum() + 1)), ids, cosine
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        vectors = [vector(text, self.finder, self.idf) for text in texts]
+        found = self.votes([v for v in vectors if len(v[0])])
+        out = []
+        for at, _ in vectors:
+            share, ids, cosine = next(found) if len(at) else (self.base, np.empty(0, int), np.empty(0))
+            out.append((self.calibrated(share), self.ids[ids[:3]].tolist(), cosine[:3].tolist()))
+        return out
 
     def calibrated(self, share: float) -> float:
         x = np.log((share + 1e-3) / (1 - share + 1e-3))
@@ -267,6 +451,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     slice, reach the driver. All terms of all drawn examples are indexed, their document counts cover every row of ``docs``. None if no labelled row is found.
     """
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     want = examples or EXAMPLES
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -303,7 +488,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
         total, n, finder = np.zeros(len(terms), np.int64), 0, Terms(terms)
         for batch in batches:
             for text in batch.column(0):
-                total[list(finder.counts(text.as_py()))] += 1
+                total[finder.counts(text.as_py())[0]] += 1
                 n += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n, total[some]])], ["k", "n"])
@@ -318,9 +503,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
         for batch in batches:
             at, tf, norms, most = [], [], [], []
             for text in batch.column(2):
-                found = sorted(finder.counts(text.as_py()).items())
-                at.append(np.array([k for k, _ in found], np.int32))
-                tf.append(np.array([m for _, m in found], np.int32))
+                for kept, column in zip((at, tf), finder.counts(text.as_py()), strict=True):
+                    kept.append(column.astype(np.int32))
                 x = _damped(tf[-1]) * idf[at[-1]]
                 norms.append(np.sqrt(x @ x))
                 most.append(max(tf[-1], default=0))
@@ -344,17 +528,20 @@ def train(docs: DataFrame, labels: DataFrame, examples: dict[int, int] | None =
     postings = numbered.select("id", F.explode(F.arrays_zip("at", "tf")).alias("p")).select("p.at", "id", "p.tf")
     # the examples that hold a term, n, are the length of its list
     index = _index_of(postings, n.astype(np.int32), int(max(most, default=0)), idf, norms[full])
-    model = Model(Terms(terms), idf, index, rows.column(0).to_numpy()[full], toxic[full].astype(float), stands[full], base=base)
+    model = Model(Terms(terms), idf, index, rows.column(0).to_numpy()[full], toxic[full].astype(float), stands[full], base=base, group=grouped(index))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
             share = []
-            for i, at, tf in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                at = at.values.to_numpy()
-                x = _damped(tf.values.to_numpy()) * judge.idf[at]
-                share.append(judge.votes(at, x / np.sqrt(x @ x), i)[0])
+            for first, last in pairwise([*range(0, len(batch), TEXTS), len(batch)]):
+                queries, part = [], batch.slice(first, last - first)
+                for at, tf in zip(part.column(1), part.column(2), strict=True):
+                    at = at.values.to_numpy()
+                    x = _damped(tf.values.to_numpy()) * judge.idf[at]
+                    queries.append((at, x / np.sqrt(x @ x)))
+                share += [v[0] for v in judge.votes(queries, part.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share, pa.float64())], ["id", "share"])
 
     # each example judged by the others
@@ -379,6 +566,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
+    bound_batches(spark)
     made = ["score", "predicted", "neighbours", "cosines"]
     columns = [c for c in docs.columns if c != "text" and c not in made]
     own = docs.select("text", F.struct(*columns, F.lit(0).alias("_")).alias("carried"))
@@ -387,7 +575,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
-            out = [judge.score(t.as_py()) if judge else (0.0, [], []) for t in batch.column(0)]
+            out = []
+            for first in range(0, len(batch), TEXTS):
+                texts = batch.column(0).slice(first, TEXTS).to_pylist()
+                out += judge.score(texts) if judge else [(0.0, [], [])] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([x[0] for x in out], pa.float64()), pa.array([int(x[0] >= 0.5) for x in out], pa.int32()),
                  pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["carried", *made])

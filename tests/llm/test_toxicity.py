@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -36,6 +37,45 @@ def test_index_is_exact(seed):
         assert ids.tolist() == want and np.allclose(scores, cosine[want])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_products_are_exact(seed, monkeypatch):
+    """Many queries at once against brute force: groups, matrices, single postings, ties and examples left out."""
+    monkeypatch.setattr(toxicity, "SUMMED", 500)
+    rng = np.random.default_rng(seed)
+
+    def some(language):
+        at = np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 40)), 150) - 1 + 150 * language)
+        at = np.union1d(at, rng.choice(300, 1))
+        x = rng.choice([0.5, 1.0, 2.0], len(at))
+        return at, x / np.sqrt(x @ x)
+
+    rows = [some(i % 2) for i in range(700)]
+    rows[1::7] = rows[0::7]  # equal examples
+    dense = np.zeros((700, 300))
+    for i, (at, x) in enumerate(rows):
+        dense[i, at] = x
+    index = toxicity.BlockMaxIndex(300, rows)
+    products = toxicity.Products(index, toxicity.grouped(index))
+    assert products.n_groups > 1 and any(len(m) for m in products.matrices)
+    queries = [some(i % 2) for i in range(40)] + rows[:20]
+    for skip in (None, [*range(690, 700)] * 4 + [*range(20)]):
+        for i, (ids, scores) in enumerate(products.nearest(queries, 25, skip)):
+            q = np.zeros(300)
+            q[queries[i][0]] = queries[i][1]
+            cosine = np.round(dense @ q, 12)
+            if skip:
+                cosine[skip[i]] = 0
+            want = [k for k in np.lexsort((np.arange(700), -cosine)) if cosine[k] > 0][:25]
+            assert ids.tolist() == want and np.allclose(scores, cosine[want], rtol=0, atol=1e-12)
+    few = toxicity.BlockMaxIndex(300, rows[:9])
+    assert [len(ids) for ids, _ in toxicity.Products(few, toxicity.grouped(few)).nearest(rows[:1], 25)] == [int((dense[:9] @ dense[0] > 0).sum())]
+
+
+def test_words_are_runs_of_letters():
+    every = "".join(chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)])
+    assert toxicity.words_of(every) == re.findall(r"[^\W\d_]+", every.lower()) and toxicity.words_of(None) == []
+
+
 def corpus(n=600):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
